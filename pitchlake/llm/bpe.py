@@ -172,7 +172,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 #: What encode_documents can return: Spark type, Arrow type, value of (ids, decoded text).
 OUTPUTS = {
-    "ids": ("array<long>", pa.list_(pa.int64()), lambda ids, text: ids.astype(np.int64)),
+    "ids": ("array<int>", pa.list_(pa.int32()), lambda ids, text: ids.astype(np.int32)),
     "decoded": ("string", pa.string(), lambda ids, text: text()),
     "n_tokens": ("long", pa.int64(), lambda ids, text: len(ids)),
     "ids_sha256": ("string", pa.string(), lambda ids, text: hashlib.sha256(ids.tobytes()).hexdigest()),

@@ -187,6 +187,23 @@ def contamination(
     return map_batches(together.select("doc_id", "n_words", "spans", "items"), join_spans, "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, k: int = K, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, in which no window of the benchmark occurs."""
+
+    def without(rows: DataFrame, items: list[tuple[str, bytes]]) -> DataFrame:
+        index = rows.sparkSession.sparkContext.broadcast(build_index(items, width, k))
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = [(t or "").encode("utf-8") for t in batch.column(text_col).to_pylist()]
+            return batch.filter(pa.array([not ids for lo, hi in chunked(texts) for *_, ids in find(texts[lo:hi], index.value)], pa.bool_()))
+
+        return map_batches(rows, run, rows.schema)
+
+    for items in blocks(benchmark, item_id_col, item_text_col, block_bytes):
+        docs = without(docs, items)
+    return docs
+
+
 def report(found: DataFrame) -> DataFrame:
     """Figures of contamination()'s rows."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])

@@ -188,6 +188,17 @@ def classify(texts: list[str | None], model: Model) -> tuple[list[str], list[flo
     return langs, scores
 
 
+def recognised(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text is in one of the model's languages (not `und`)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        langs, _ = classify(batch.column(text_col).to_pylist(), shared.value)
+        return batch.filter(pa.array([x != "und" for x in langs]))
+
+    return map_batches(docs, run, docs.schema)
+
+
 def identify(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> DataFrame:
     """(doc_id, held_out, lang_pred, score), learned from docs itself."""
     return predict(docs, fit(docs, docs_per_lang)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -111,3 +111,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_fp = rooted.filter(F.col("root").isNotNull()).join(smallest, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their group: the smallest doc_id, once. Rows without a doc_id stay."""
+    groups = near_duplicates(docs, shingle, max_bits)
+    keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
