@@ -192,14 +192,14 @@ def train(counts: dict[Pattern, int], rounds: int = 50, steps: int = 500) -> Mod
     kinds, votes = np.array([p[0] for p in patterns]), np.array([p[1:] for p in patterns]) + 1
     post = 1 / (1 + np.exp(-1.5 * (votes - 1).sum(axis=1) + 0.5))  # by majority at first
     for _ in range(rounds):
-        rel = np.full((LABELERS, 2, 3), 0.1)
+        rel = np.tile(10 * np.array([[0.4, 0.4, 0.2], [0.05, 0.4, 0.55]]), (LABELERS, 1, 1))  # prior counts: better than chance
         for j in range(LABELERS):
             for v in range(3):
                 hit = votes[:, j] == v
                 rel[j, 1, v] += (n * post)[hit].sum()
                 rel[j, 0, v] += (n * (1 - post))[hit].sum()
         rel /= rel.sum(axis=2, keepdims=True)
-        prior = np.array([(1 + (n * post)[kinds == k].sum()) / (2 + n[kinds == k].sum()) for k in range(len(KINDS))])[kinds]
+        prior = (1 + (n * post).sum()) / (2 + n.sum())
         odds = np.log(prior / (1 - prior)) + sum(np.log(rel[j, 1, votes[:, j]] / rel[j, 0, votes[:, j]]) for j in range(LABELERS))
         post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     x = np.concatenate([np.eye(len(KINDS))[kinds], *[np.eye(3)[votes[:, j]] for j in range(LABELERS)], np.ones((len(n), 1))], axis=1)
