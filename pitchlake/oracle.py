@@ -134,4 +134,4 @@ def needed(final: str) -> str:
 
 
 def rounded(names: list[str], source: str = "") -> str:
-    return ", ".join(f"round({source}{n}, 6) AS {n}" for n in names)
+    return ", ".join(f"round({source}{n}, 6) + 0::DOUBLE AS {n}" for n in names)  # + 0: no negative zero

@@ -39,7 +39,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def r6(df: DataFrame, *names: str) -> list:
-    return [F.round(df[n], 6).alias(n) for n in names]
+    return [(F.round(df[n], 6) + F.lit(0.0)).alias(n) for n in names]  # + 0: no negative zero
 
 
 # -- tracking, kinematics
