@@ -1,7 +1,7 @@
 """Main text of web pages by line-block distribution.
 
 A page is cut into lines at block elements, without markup. Each line weighs as
-many characters as it has outside links; lines of page furniture (navigation,
+many characters as it has outside links, or nothing if most of it is links; lines of page furniture (navigation,
 forms, adverts, comments and the like, by element, role, class or id) weigh
 nothing. Sums over a sliding window of lines surge where the article begins and
 dive to nothing where it ends; the text between such points is kept, less the
@@ -163,7 +163,7 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE, share:
     if not html:
         return ""
     lines, marked = lines_of(html)
-    weight = [0 if furniture or (marked and not inside) else (len(text) if marked else own) for text, own, furniture, inside in lines]
+    weight = [0 if furniture or (marked and not inside) else len(text) if marked else own if 2 * own >= len(text) else 0 for text, own, furniture, inside in lines]
     n = len(lines)
     sums = [sum(weight[i : i + window]) for i in range(n)]
     if not any(sums):

@@ -7,10 +7,10 @@ suffixes.py has the method; this module lays it out over Spark:
    very many documents share comes as one row a batch;
 2. one shuffle by minimizer ranks equal runs by place: all but the earliest are
    repeats as a whole, and a minimizer with one kind of run needs nothing more;
-3. the other runs' pieces are fetched from the texts and their windows compared:
-   by suffix sorting in buckets of whole minimizer groups, or, for a group of
-   more than ``hot`` kinds of run, by 128-bit digests of its windows, which are
-   pre-aggregated and spread over all tasks;
+3. the other runs' pieces are fetched from the texts and their windows compared
+   by suffix sorting, in buckets of whole minimizer groups. A group of more than
+   ``hot`` kinds of run is first cut into finer groups, by steps of 2 and the like
+   of step 1, until each is small;
 4. the ranges found are cut out of the texts.
 
 Defined results: a null text is empty; texts shorter than the window lose
@@ -23,13 +23,18 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import struct
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchlake.llm.common import cut, id_text, map_batches, utf8
+from pitchlake.llm.common import id_text, map_batches, stored, utf8
 from pitchlake.llm.suffixes import K, WINDOW, repeated_windows, runs
 
 HOT = 1000
@@ -47,39 +52,52 @@ def unpack(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pos >> 16, pos >> 8 & 255, pos & 255
 
 
+def collapsed(mh: np.ndarray, piece: np.ndarray, doc: np.ndarray, pos: np.ndarray, body: list[bytes] | None = None) -> pa.RecordBatch:
+    """A row for each kind of run (mh, piece): its earliest place, and the others' (null if none)."""
+    by = np.lexsort((pos, doc, piece, mh))
+    doc, pos, mh, piece = doc[by], pos[by], mh[by], piece[by]
+    new = np.ones(len(by), dtype=bool)
+    new[1:] = (mh[1:] != mh[:-1]) | (piece[1:] != piece[:-1])
+    first = np.flatnonzero(new)
+    head = first[np.cumsum(new) - 1] if len(by) else first
+    again = ~new & ((doc != doc[head]) | (pos != pos[head]))  # not the same document once more
+    n = np.add.reduceat(again, first) if len(first) else first
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.StructArray.from_arrays([pa.array(doc[again]), pa.array(pos[again])], fields=list(PLACE)))
+    columns = {"mh": mh[first].view(np.int64), "piece": piece[first].view(np.int64), "doc_id": doc[first], "pos": pos[first], "others": pc.if_else(pa.array(n > 0), lists, pa.scalar(None, lists.type))}
+    if body is not None:
+        columns["bytes"] = pa.array([body[i] for i in by[first].tolist()], pa.binary())
+    # in order of place, neighbours compress better in the shuffle
+    rows = pa.table(columns).take(pa.array(np.lexsort((pos[first], doc[first])))).combine_chunks()
+    return rows.to_batches()[0] if len(first) else pa.RecordBatch.from_pylist([], rows.schema)
+
+
+RUN = "mh long, piece long, doc_id long, pos long, others array<struct<doc_id:long,pos:long>>"
+
+
 def run_rows(texts: DataFrame, window: int, k: int) -> DataFrame:
     """(mh, piece, doc_id, pos, others) of texts(doc_id, raw)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         text, start, count, offset, mh, piece = runs(batch.column("raw").to_pylist(), window, k)
-        doc, pos = batch.column("doc_id").to_numpy()[text], pack(start, count, offset)
-        by = np.lexsort((pos, doc, piece, mh))
-        doc, pos, mh, piece = doc[by], pos[by], mh[by], piece[by]
-        new = np.ones(len(by), dtype=bool)
-        new[1:] = (mh[1:] != mh[:-1]) | (piece[1:] != piece[:-1])
-        first = np.flatnonzero(new)
-        again = ~new
-        head = first[np.cumsum(new) - 1] if len(by) else first
-        again &= (doc != doc[head]) | (pos != pos[head])  # not the same document once more
-        ends = np.concatenate(([0], np.cumsum(np.add.reduceat(again, first)))) if len(first) else np.zeros(1)
-        others = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([pa.array(doc[again]), pa.array(pos[again])], fields=list(PLACE)))
-        return pa.RecordBatch.from_arrays([pa.array(mh[first].view(np.int64)), pa.array(piece[first].view(np.int64)), pa.array(doc[first]), pa.array(pos[first]), others], ["mh", "piece", "doc_id", "pos", "others"])
-
-    return map_batches(texts, run, "mh long, piece long, doc_id long, pos long, others array<struct<doc_id:long,pos:long>>")
+        return collapsed(mh, piece, batch.column("doc_id").to_numpy()[text], pack(start, count, offset))
+
+    return map_batches(texts, run, RUN, by="raw")
 
 
 def ranked(rows: DataFrame, hot: int) -> DataFrame:
     """(doc_id, whole, mh, hot): places whose run repeats as a whole (whole), or is to be compared with others of its minimizer."""
     same, group = Window.partitionBy("mh", "piece").orderBy("doc_id", "pos"), Window.partitionBy("mh")
-    r = rows.withColumn("rank", F.dense_rank().over(same)).withColumn("row", F.row_number().over(same))
+    r = rows.repartition("mh")  # serves both windows
+    r = r.withColumn("rank", F.dense_rank().over(same)).withColumn("row", F.row_number().over(same))
     r = r.withColumn("kinds", F.sum((F.col("row") == 1).cast("int")).over(group))
-    r = r.filter((F.size("others") > 0) | (F.col("rank") > 1) | ((F.col("row") == 1) & (F.col("kinds") > 1)))
+    r = r.filter(F.col("others").isNotNull() | (F.col("rank") > 1) | ((F.col("row") == 1) & (F.col("kinds") > 1)))
     own = F.when(F.col("rank") > 1, F.array(F.struct("doc_id", "pos", F.lit(True).alias("whole")))).when((F.col("row") == 1) & (F.col("kinds") > 1), F.array(F.struct("doc_id", "pos", F.lit(False).alias("whole")))).otherwise(F.array().cast("array<struct<doc_id:long,pos:long,whole:boolean>>"))
     # the first row's own place may also be among the others of another batch's row: a place never repeats itself
-    rest = F.transform("others", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["pos"].alias("pos"), F.lit(True).alias("whole")))
+    rest = F.transform(F.coalesce("others", F.array().cast("array<struct<doc_id:long,pos:long>>")), lambda x: F.struct(x["doc_id"].alias("doc_id"), x["pos"].alias("pos"), F.lit(True).alias("whole")))
     r = r.withColumn("lead", F.first(F.struct("doc_id", "pos")).over(same))
     rest = F.filter(rest, lambda x: (x["doc_id"] != F.col("lead.doc_id")) | (x["pos"] != F.col("lead.pos")))
-    return r.select(F.explode(F.concat(own, rest)).alias("at"), "mh", (F.col("kinds") > hot).alias("hot")).select("at.doc_id", "at.pos", "at.whole", "mh", "hot")
+    carried = [c for c in rows.columns if c == "bytes"]
+    return r.select(F.explode(F.concat(own, rest)).alias("at"), "mh", (F.col("kinds") > hot).alias("hot"), *carried).select("at.doc_id", "at.pos", "at.whole", "mh", "hot", *carried)
 
 
 def by_document(places: DataFrame, window: int) -> DataFrame:
@@ -116,7 +134,7 @@ def members(texts: DataFrame, docs: DataFrame, window: int) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         doc, mh, pos, hot, piece = [], [], [], [], []
-        for d, raw, ms in zip(batch.column("doc_id").to_pylist(), batch.column("raw").to_pylist(), batch.column("members").to_pylist(), strict=True):
+        for d, raw, ms in zip(batch.column("doc_id").to_pylist(), map(unzipped, batch.column("z").to_pylist()), batch.column("members").to_pylist(), strict=True):
             for m in ms:
                 start, count = m["pos"] >> 16, m["pos"] >> 8 & 255
                 doc.append(d)
@@ -126,13 +144,15 @@ def members(texts: DataFrame, docs: DataFrame, window: int) -> DataFrame:
                 piece.append(raw[start : start + count - 1 + window])
         return pa.RecordBatch.from_arrays([pa.array(mh, pa.int64()), pa.array(hot, pa.bool_()), pa.array(doc, pa.int64()), pa.array(pos, pa.int64()), pa.array(piece, pa.binary())], ["mh", "hot", "doc_id", "pos", "bytes"])
 
-    return map_batches(texts.join(asked, "doc_id"), run, "mh long, hot boolean, doc_id long, pos long, bytes binary")
+    return map_batches(texts.join(asked, "doc_id"), run, "mh long, hot boolean, doc_id long, pos long, bytes binary", by="z", most=2 << 20)
 
 
 def compare_sorted(rows: DataFrame, n_buckets: int, window: int, k: int) -> DataFrame:
     """(doc_id, start, end) of repeats among members of groups that fit in a bucket."""
 
     def run(t: pa.Table) -> pa.Table:
+        _, once = np.unique(np.stack([t.column(c).to_numpy() for c in ("mh", "doc_id", "pos")]), axis=1, return_index=True)
+        t = t.take(pa.array(once))  # a document that is there twice is compared once
         start, count, offset = unpack(t.column("pos").to_numpy())
         doc = t.column("doc_id").to_numpy()
         _, group = np.unique(t.column("mh").to_numpy(), return_inverse=True)
@@ -140,41 +160,83 @@ def compare_sorted(rows: DataFrame, n_buckets: int, window: int, k: int) -> Data
         return pa.table({"doc_id": pa.array(doc[[r for r, *_ in found]] if found else [], pa.int64()), "start": pa.array([s for _, s, _ in found], pa.int64()), "end": pa.array([e for *_, e in found], pa.int64())})
 
     bucket = F.pmod(F.xxhash64("mh"), F.lit(n_buckets)).alias("bucket")
-    return rows.select(bucket, "mh", "doc_id", "pos", "bytes").distinct().groupBy("bucket").applyInArrow(run, "doc_id long, start long, end long")
+    return rows.select(bucket, "mh", "doc_id", "pos", "bytes").groupBy("bucket").applyInArrow(run, "doc_id long, start long, end long")
+
+
+def split(rows: DataFrame, size: int, window: int) -> DataFrame:
+    """Runs of rows(mh, doc_id, pos, bytes) cut where the minimizer's offset passes a multiple of size.
+
+    All windows of a part hold its core, the bytes that windows at any offset of
+    that block share; so parts whose cores differ have no window in common, and
+    the core's hash is the parts' new group.
+    """
 
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        mh, piece, doc, pos, body = [], [], [], [], []
+        for m, d, place, raw in zip(*(batch.column(c).to_pylist() for c in ("mh", "doc_id", "pos", "bytes")), strict=True):
+            start, count, offset = place >> 16, place >> 8 & 255, place & 255
+            for block in range((offset - count + 1) // size, offset // size + 1):
+                lo, hi = block * size, (block + 1) * size
+                i, j = max(0, offset - hi + 1), min(count - 1, offset - lo)
+                own = raw[i : j + window]
+                mh.append(xxhash.xxh3_64_intdigest(raw[offset - lo : offset - hi + 1 + window] + struct.pack("<qhh", m, block, size)))
+                piece.append(xxhash.xxh3_64_intdigest(own, (offset - i) << 8 | (j - i + 1)))
+                doc.append(d)
+                pos.append((start + i) << 16 | (j - i + 1) << 8 | (offset - i))
+                body.append(own)
+        return collapsed(np.array(mh, dtype=np.uint64), np.array(piece, dtype=np.uint64), np.array(doc, dtype=np.int64), np.array(pos, dtype=np.int64), body)
+
+    return map_batches(rows.select("mh", "doc_id", "pos", "bytes"), run, f"{RUN}, bytes binary", by="bytes", most=1 << 20)
+
+
+def resolve_large(rows: DataFrame, window: int, hot: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Groups of more than `hot` kinds, cut finer and finer: (groups that became small, repeats found on the way as (doc_id, start, end)).
 
-def compare_digests(rows: DataFrame, window: int) -> DataFrame:
-    """(doc_id, start, end) of repeats among members of larger groups, window by window."""
+    Parts that are equal as a whole are settled, parts with a core of their own
+    drop out, and only those around the places where texts part ways go on. At
+    size 1 core and part are the same, so nothing is left.
+    """
+    small, found, n = [], [], F.shiftright("pos", 8).bitwiseAND(F.lit(255))
+    for size in (32, 16, 8, 4, 2, 1):
+        if rows.isEmpty():
+            break
+        step = stored(ranked(split(rows, size, window), hot))
+        start = F.shiftright("pos", 16)
+        found.append(step.filter("whole").select("doc_id", start.alias("start"), (start + n - 1 + window).alias("end")))
+        small.append(step.filter("not whole and not hot").select("mh", "doc_id", "pos", "bytes"))
+        rows = step.filter("not whole and hot")
+    return small, found
+
+
+def zipped(texts: DataFrame) -> DataFrame:
+    """texts(doc_id, raw) as (doc_id, z), compressed: texts are shuffled to be joined, and this is what is shuffled."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        doc, at, digest = [], [], []
-        for d, pos, piece in zip(batch.column("doc_id").to_pylist(), batch.column("pos").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
-            start, count = pos >> 16, pos >> 8 & 255
-            doc += [d] * count
-            at += range(start, start + count)
-            digest += [hashlib.md5(piece[i : i + window], usedforsecurity=False).digest() for i in range(count)]
-        two = np.frombuffer(b"".join(digest), dtype=np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], ["doc_id", "start", "a", "b"])
+        z = zstandard.ZstdCompressor(level=6, write_checksum=False)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([z.compress(r) for r in batch.column("raw").to_pylist()], pa.binary())], ["doc_id", "z"])
+
+    return map_batches(texts, run, "doc_id long, z binary", by="raw")
+
 
-    windows = map_batches(rows.select("doc_id", "pos", "bytes"), run, "doc_id long, start long, a long, b long")
-    first = windows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    again = windows.join(first, ["a", "b"]).filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
-    return again.select("doc_id", "start", (F.col("start") + window).alias("end"))
+def unzipped(z: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(z)
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, k: int = K, hot: int = HOT, bucket_rows: int = BUCKET_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, raw, spans): each document's bytes and the byte ranges to remove, in any order and with overlaps."""
+    """(doc_id, z, spans): each document's bytes, compressed, and the byte ranges to remove, in any order and with overlaps."""
     both = id_text(docs, id_col, text_col).select("doc_id", utf8(F.coalesce("text", F.lit(""))).alias("raw"))
     texts = both.filter("doc_id is not null")
-    found = cut(by_document(ranked(run_rows(texts, window, k), hot), window))
+    found = stored(by_document(ranked(run_rows(texts, window, k), hot), window))
     n = found.agg(F.sum(F.size("members"))).first()[0] or 0
     n_buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // bucket_rows))
-    asked = members(texts, found, window)
-    marks = compare_sorted(asked.filter(~F.col("hot")), n_buckets, window, k).unionByName(compare_digests(asked.filter("hot"), window))
+    asked = stored(members(zipped(texts), found, window))
+    small, marks = resolve_large(asked.filter("hot"), window, hot)
+    groups = reduce(DataFrame.unionByName, small, asked.filter("not hot").select("mh", "doc_id", "pos", "bytes"))
+    marks = reduce(DataFrame.unionByName, marks, compare_sorted(groups, n_buckets, window, k))
     every = found.select("doc_id", "spans").unionByName(marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
     spans = every.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     nothing = F.array().cast("array<struct<start:long,end:long>>")
-    return texts.join(spans, "doc_id", "left").select("doc_id", "raw", F.coalesce("spans", nothing).alias("spans")).unionByName(both.filter("doc_id is null").withColumn("spans", nothing))
+    return zipped(texts).join(spans, "doc_id", "left").select("doc_id", "z", F.coalesce("spans", nothing).alias("spans")).unionByName(zipped(both.filter("doc_id is null")).withColumn("spans", nothing))
 
 
 def remove(found: DataFrame) -> DataFrame:
@@ -182,7 +244,7 @@ def remove(found: DataFrame) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n_bytes, n_removed, n_spans, sha = [], [], [], []
-        for raw, spans in zip(batch.column("raw").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        for raw, spans in zip(map(unzipped, batch.column("z").to_pylist()), batch.column("spans").to_pylist(), strict=True):
             cuts = merge(np.array([x["start"] for x in spans], dtype=np.int64), np.array([x["end"] for x in spans], dtype=np.int64))
             at, digest = 0, hashlib.sha256()
             for s, e in cuts:
@@ -195,4 +257,4 @@ def remove(found: DataFrame) -> DataFrame:
             sha.append(digest.hexdigest())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return map_batches(found, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_batches(found, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", by="z", most=2 << 20)

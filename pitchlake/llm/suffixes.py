@@ -22,10 +22,12 @@ import numpy as np
 from pitchlake.llm.textkernels import BYTE, chunked, mix, powers, sliding_min
 
 WINDOW = 100
-K = 24
+K = 20
 #: Places of a chunk fit in so many bits of the ordering key; the rest is hash.
 PLACE_BITS = 26
-SEGMENT = 4 << 20
+SEGMENT = 1 << 20
+#: Bytes of text in one NumPy pass.
+CHUNK = 1 << 20
 SHALLOW = 40
 
 
@@ -36,7 +38,7 @@ def runs(raws: list[bytes], window: int = WINDOW, k: int = K) -> tuple[np.ndarra
     width = window - k + 1
     place = np.uint64((1 << PLACE_BITS) - 1)
     texts = [p for *_, p in pieces]
-    for lo, hi in chunked(texts):
+    for lo, hi in chunked(texts, CHUNK):
         raw = b"".join(texts[lo:hi])
         n = len(raw)
         up, down = powers(n)

@@ -176,7 +176,7 @@ def brute_suffix(items, window=100):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("hot", [1000, 1])
+@pytest.mark.parametrize("hot", [1000, 2])
 def test_suffix_dedup(docs, odd, empty, hot):
     want = brute_suffix(pairs(docs))
     assert sum(r[2] for r in want)
