@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchlake.functions.geometry import ms_to_frames, sigmoid
-from pitchlake.operators.windows import ENTITY_FEATURES, FEATURES, features_of, oriented
+from pitchlake.operators.windows import ENTITY_FEATURES, FEATURES, oriented, with_features
 from pitchlake.params import DEFAULT, FRAME, Params
 
 V1 = {"": -2.0, "ball_x": 0.02, "ball_speed": 0.005, "goal_dist": -0.05, "att_x": 0.02, "def_x": -0.01, "compactness": 0.02, "pressure": -0.2, "att_in_box": 0.3}
@@ -73,7 +73,7 @@ def counterfactuals(runs: DataFrame, frames: DataFrame, direction: DataFrame, dr
         return F.transform("players", lambda q: F.struct(q["player_id"].alias("player_id"), q["team"].alias("team"), q["is_gk"].alias("is_gk"), F.when(me(q), xy[0]).otherwise(q["x"]).alias("x"), F.when(me(q), xy[1]).otherwise(q["y"]).alias("y")))
 
     df = df.withColumn("edit", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), edited(xy).alias("players")) for name, xy in edits.items()])))
-    df = df.select("run_id", "wide", "frame", F.col("edit.name").alias("variant"), *features_of(F.col("edit.players"), F.col("team"), F.col("ball_x"), F.col("ball_y"), F.col("ball_speed"), p))
+    df = with_features(df.select("run_id", "wide", "team", "ball_x", "ball_y", "ball_speed", F.col("edit.name").alias("variant"), F.col("edit.players").alias("players")), p)
     state = df.groupBy("run_id", "variant").agg(F.first("wide").alias("wide"), F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in (*FEATURES, *ENTITY_FEATURES)])
     state = state.select("run_id", "variant", *[F.when(F.col("n") == F.col("wide"), logistic(w)).alias(name) for name, w in (("v1", V1), ("v2", V2))])
     wide_row = state.groupBy("run_id").agg(*[F.max(F.when(F.col("variant") == name, F.col(v))).alias(f"{v}_{name}") for v in ("v1", "v2") for name in edits])

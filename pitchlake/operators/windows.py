@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,27 +26,35 @@ def windows(possessions: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return ok.select("match_id", "period", "possession_id", "team", "fps", "w_start", (F.col("w_start") + wide - 1).alias("w_end"))
 
 
-def mean(values: Column, of=lambda q: q) -> Column:
-    total = F.aggregate(F.transform(values, of), F.lit(0.0), lambda a, x: a + x)
+def mean(values: Column, of: Callable[[Column], Column]) -> Column:
+    total = F.aggregate(values, F.lit(0.0), lambda a, q: a + of(q))
     return F.try_divide(total, F.size(values))
 
 
-def features_of(players: Column, team: Column, ball_x: Column, ball_y: Column, ball_speed: Column, p: Params = DEFAULT) -> list[Column]:
-    """The pooled and single-player features of one frame; everything normalised."""
-    out = F.filter(players, lambda q: ~q["is_gk"])
-    att, dfn = F.filter(out, lambda q: q["team"] == team), F.filter(out, lambda q: q["team"] != team)
+def with_features(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """df (players, team, ball_x, ball_y, ball_speed; all normalised) with the pooled and single-player features of its frames.
+
+    What several features use is a column of its own first: inside a lambda it
+    would be worked out again for each player.
+    """
     x, y = (lambda q: q["x"]), (lambda q: q["y"])
-    dx, dy = mean(dfn, x), mean(dfn, y)
+    ball_x, ball_y = F.col("ball_x"), F.col("ball_y")
+    df = df.withColumn("_out", F.filter("players", lambda q: ~q["is_gk"]))
+    df = df.withColumns({"_att": F.filter("_out", lambda q: q["team"] == F.col("team")), "_def": F.filter("_out", lambda q: q["team"] != F.col("team"))})
+    att, dfn = F.col("_att"), F.col("_def")
+    df = df.withColumns({"def_x": mean(dfn, x), "def_y": mean(dfn, y), "_last": F.array_max(F.transform(dfn, x))})
+    dx, dy = F.col("def_x"), F.col("def_y")
     spread = mean(dfn, lambda q: (q["x"] - dx) * (q["x"] - dx) + (q["y"] - dy) * (q["y"] - dy))
-    last = F.array_max(F.transform(dfn, x))
-    return [
-        ball_x.alias("ball_x"), ball_y.alias("ball_y"), ball_speed.alias("ball_speed"), goal_distance(ball_x, ball_y, p).alias("goal_dist"),
-        mean(att, x).alias("att_x"), mean(att, y).alias("att_y"), dx.alias("def_x"), dy.alias("def_y"), F.sqrt(spread).alias("compactness"),
-        F.size(F.filter(dfn, lambda q: length(q["x"] - ball_x, q["y"] - ball_y) <= p.pressure_radius)).cast("double").alias("pressure"),
-        F.size(F.filter(att, lambda q: in_box(q["x"], q["y"], p))).cast("double").alias("att_in_box"),
-        F.array_max(F.transform(att, x)).alias("deepest_x"), F.size(F.filter(att, lambda q: q["x"] > last)).cast("double").alias("beyond"),
-        F.array_min(F.transform(att, lambda q: goal_distance(q["x"], q["y"], p))).alias("nearest_goal"),
-    ]
+    df = df.withColumns(
+        {
+            "goal_dist": goal_distance(ball_x, ball_y, p), "att_x": mean(att, x), "att_y": mean(att, y), "compactness": F.sqrt(spread),
+            "pressure": F.size(F.filter(dfn, lambda q: length(q["x"] - ball_x, q["y"] - ball_y) <= p.pressure_radius)).cast("double"),
+            "att_in_box": F.size(F.filter(att, lambda q: in_box(q["x"], q["y"], p))).cast("double"),
+            "deepest_x": F.array_max(F.transform(att, x)), "beyond": F.size(F.filter(att, lambda q: q["x"] > F.col("_last"))).cast("double"),
+            "nearest_goal": F.array_min(F.transform(att, lambda q: goal_distance(q["x"], q["y"], p))),
+        }
+    )
+    return df.drop("_out", "_att", "_def", "_last", "players")
 
 
 def oriented(frames: DataFrame, direction: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -58,7 +68,7 @@ def frame_features(frames: DataFrame, framed: DataFrame, direction: DataFrame, p
     """Features of each possession frame, for the team in possession."""
     held = framed.select(*FRAME, "possession_id", "team", "f_start", "f_end")
     df = oriented(frames.join(held, list(FRAME)), direction, p)
-    return df.select(*FRAME, "possession_id", "team", "fps", *features_of(F.col("players"), F.col("team"), F.col("ball_x"), F.col("ball_y"), F.col("ball_speed"), p))
+    return with_features(df, p).select(*FRAME, "possession_id", "team", "fps", *FEATURES, *ENTITY_FEATURES)
 
 
 def window_features(windows: DataFrame, features: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pitchlake.operators import kinematics, possession, press, runs, search, value, windows
 from pitchlake.params import DEFAULT, Params
+from pitchlake.storage import stored
 
 
 class TrackingPlan:
@@ -21,16 +22,20 @@ class TrackingPlan:
 
     SHARED = ("kin", "frames", "framed", "runs")
 
-    def __init__(self, tables: Any, params: Params = DEFAULT) -> None:
-        self.t, self.p = tables, params
+    def __init__(self, tables: Any, params: Params = DEFAULT, store: bool = False) -> None:
+        """store: write the shared steps when they are first needed, as several later ones read them."""
+        self.t, self.p, self.store = tables, params, store
+
+    def _shared(self, df: DataFrame) -> DataFrame:
+        return stored(df) if self.store else df
 
     @cached_property
     def kin(self) -> DataFrame:
-        return kinematics.kinematics(self.t.tracking)
+        return self._shared(kinematics.kinematics(self.t.tracking))
 
     @cached_property
     def frames(self) -> DataFrame:
-        return possession.frames(self.kin, self.t.roster)
+        return self._shared(possession.frames(self.kin, self.t.roster))
 
     @cached_property
     def carrier(self) -> DataFrame:
@@ -42,7 +47,7 @@ class TrackingPlan:
 
     @cached_property
     def framed(self) -> DataFrame:
-        return possession.possession_frames(self.smoothed, self.p)
+        return self._shared(possession.possession_frames(self.smoothed, self.p))
 
     @cached_property
     def possessions(self) -> DataFrame:
@@ -50,11 +55,11 @@ class TrackingPlan:
 
     @cached_property
     def runs(self) -> DataFrame:
-        return runs.detect_runs(self.kin, self.t.roster, self.framed, self.p)
+        return self._shared(runs.detect_runs(self.kin, self.t.roster, self.framed, self.p))
 
     @cached_property
     def geometry(self) -> DataFrame:
-        return runs.run_geometry(self.runs, self.frames, self.t.direction, self.p)
+        return self._shared(runs.run_geometry(self.runs, self.frames, self.t.direction, self.p))
 
     @cached_property
     def labelled(self) -> DataFrame:

@@ -26,6 +26,11 @@ def plan(spark: SparkSession, sf_dir: str) -> TrackingPlan:
     return TrackingPlan(from_events(spark, sf_dir))
 
 
+def stored_plan(spark: SparkSession, sf_dir: str) -> TrackingPlan:
+    """For queries that read the shared steps several times."""
+    return TrackingPlan(from_events(spark, sf_dir), store=True)
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under its function's name; sql is the last SELECT over the oracle's steps."""
 
@@ -104,18 +109,18 @@ def top_runs(spark, sf_dir):
 
 @query(f"SELECT run_id, nearest_def, behind_line, {rounded(['x_start', 'y_start', 'x_end', 'y_end', 'space_before', 'space_after', 'def_displacement'])} FROM geo")
 def run_geometry(spark, sf_dir):
-    g = plan(spark, sf_dir).geometry
+    g = stored_plan(spark, sf_dir).geometry
     return g.select("run_id", "nearest_def", "behind_line", *r6(g, "x_start", "y_start", "x_end", "y_end", "space_before", "space_after", "def_displacement"))
 
 
 @query("SELECT match_id, team, count(*) AS n_runs, count(*) FILTER (behind_line) AS n_behind FROM geo GROUP BY ALL")
 def runs_behind_line(spark, sf_dir):
-    return plan(spark, sf_dir).geometry.groupBy("match_id", "team").agg(F.count(F.lit(1)).alias("n_runs"), F.count_if("behind_line").alias("n_behind"))
+    return stored_plan(spark, sf_dir).geometry.groupBy("match_id", "team").agg(F.count(F.lit(1)).alias("n_runs"), F.count_if("behind_line").alias("n_behind"))
 
 
 @query("SELECT match_id, count(*) AS n_runs, count(shot_5s) AS n_labelled, count(*) FILTER (shot_5s) AS n_shot FROM labelled GROUP BY match_id")
 def shot_label_masked(spark, sf_dir):
-    return plan(spark, sf_dir).labelled.groupBy("match_id").agg(F.count(F.lit(1)).alias("n_runs"), F.count("shot_5s").alias("n_labelled"), F.count_if("shot_5s").alias("n_shot"))
+    return stored_plan(spark, sf_dir).labelled.groupBy("match_id").agg(F.count(F.lit(1)).alias("n_runs"), F.count("shot_5s").alias("n_labelled"), F.count_if("shot_5s").alias("n_shot"))
 
 
 # -- windows and features
@@ -134,19 +139,19 @@ def frame_features(spark, sf_dir):
 
 @query("SELECT match_id, period, possession_id, w_start, round(v1, 6) AS v1, round(v2, 6) AS v2 FROM wv")
 def window_values(spark, sf_dir):
-    v = plan(spark, sf_dir).window_values
+    v = stored_plan(spark, sf_dir).window_values
     return v.select(*KEY, "w_start", *r6(v, "v1", "v2"))
 
 
 @query("SELECT match_id, period, possession_id, w_start, shot, box_entry, line_break FROM wl")
 def window_labels(spark, sf_dir):
-    return plan(spark, sf_dir).window_labels.select(*KEY, "w_start", "shot", "box_entry", "line_break")
+    return stored_plan(spark, sf_dir).window_labels.select(*KEY, "w_start", "shot", "box_entry", "line_break")
 
 
 @query("""SELECT match_id, count(*) AS n_windows, round(sum(len(seq)), 6) AS n_steps, round(sum(seq[1]), 6) AS first_ball_x FROM (SELECT w.match_id, w.possession_id, w_start, list(ball_x ORDER BY frame) AS seq
  FROM win w JOIN ff f ON f.match_id = w.match_id AND f.period = w.period AND f.possession_id = w.possession_id AND f.frame BETWEEN w_start AND w_end GROUP BY ALL) GROUP BY match_id""")
 def window_sequences(spark, sf_dir):
-    p = plan(spark, sf_dir)
+    p = stored_plan(spark, sf_dir)
     s = windows.window_sequences(p.windows, p.features)
     return s.groupBy("match_id").agg(F.count(F.lit(1)).alias("n_windows"), F.round(F.sum(F.size("seq")).cast("double"), 6).alias("n_steps"), F.round(F.sum(F.get(F.get("seq", 0), 0)), 6).alias("first_ball_x"))
 
@@ -154,7 +159,7 @@ def window_sequences(spark, sf_dir):
 @query("""SELECT match_id, count(*) AS n_frames, round(sum(x), 6) AS sum_x, round(sum(speed), 6) AS sum_speed, round(sum(to_ball), 6) AS sum_to_ball FROM (SELECT k.match_id, k.frame, sum(CASE WHEN sign < 0 THEN 105.0 - k.x ELSE k.x END) AS x, sum(coalesce(k.speed, 0)) AS speed,
  sum(sqrt((k.x - ballx) * (k.x - ballx) + (k.y - bally) * (k.y - bally))) AS to_ball FROM framed f JOIN kin k USING (match_id, period, frame) JOIN ball b USING (match_id, period, frame) JOIN side s ON s.match_id = f.match_id AND s.period = f.period AND s.team = f.team GROUP BY ALL) GROUP BY match_id""")
 def node_matrices(spark, sf_dir):
-    p = plan(spark, sf_dir)
+    p = stored_plan(spark, sf_dir)
     n = windows.node_matrix(p.frames, p.framed, p.t.direction, p.kin).filter("nodes is not null")
     part = lambda i: F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(22)), lambda k: F.get("nodes", k * 8 + i)), F.lit(0.0), lambda a, x: a + x)
     return n.groupBy("match_id").agg(F.count(F.lit(1)).alias("n_frames"), F.round(F.sum(part(0)), 6).alias("sum_x"), F.round(F.sum(part(4)), 6).alias("sum_speed"), F.round(F.sum(part(7)), 6).alias("sum_to_ball"))
@@ -165,7 +170,7 @@ def node_matrices(spark, sf_dir):
 
 @query(f"SELECT run_id, {rounded(['v_before', 'v_after', 'value_gained'])} FROM gained")
 def value_gained(spark, sf_dir):
-    g = plan(spark, sf_dir).gained
+    g = stored_plan(spark, sf_dir).gained
     return g.select("run_id", *r6(g, "v_before", "v_after", "value_gained"))
 
 
@@ -174,13 +179,13 @@ CF = ["v1_actual", "v1_frozen", "v1_drift", "v2_actual", "v2_frozen", "v2_drift"
 
 @query(f"SELECT run_id, {rounded(CF)} FROM cf")
 def counterfactual_gain(spark, sf_dir):
-    c = plan(spark, sf_dir).counterfactual
+    c = stored_plan(spark, sf_dir).counterfactual
     return c.select("run_id", *r6(c, *CF))
 
 
 @query("SELECT g.run_id, least(x_start + 0, 105.0) AS frozen_x, round(drift_x, 6) AS drift_x, round(drift_y, 6) AS drift_y FROM geo g JOIN drift USING (run_id)")
 def baseline_motion(spark, sf_dir):
-    p = plan(spark, sf_dir)
+    p = stored_plan(spark, sf_dir)
     d = value.drift_velocity(p.runs, p.kin, p.t.direction)
     return p.geometry.join(d, "run_id").select("run_id", F.col("x_start").alias("frozen_x"), F.round("drift_x", 6).alias("drift_x"), F.round("drift_y", 6).alias("drift_y"))
 
@@ -190,19 +195,19 @@ GAIN = "SELECT '{0}' AS gain, count(cf_gain_{0}) AS n, round(avg(cf_gain_{0}), 6
 
 @query(" UNION ALL ".join(GAIN.format(n) for n in ("v1_frozen", "v1_drift", "v2_frozen", "v2_drift")))
 def cf_gain_summary(spark, sf_dir):
-    long = plan(spark, sf_dir).counterfactual.select(F.explode(F.array(*[F.struct(F.lit(n).alias("gain"), F.col(f"cf_gain_{n}").alias("g")) for n in ("v1_frozen", "v1_drift", "v2_frozen", "v2_drift")])).alias("e")).select("e.*")
+    long = stored_plan(spark, sf_dir).counterfactual.select(F.explode(F.array(*[F.struct(F.lit(n).alias("gain"), F.col(f"cf_gain_{n}").alias("g")) for n in ("v1_frozen", "v1_drift", "v2_frozen", "v2_drift")])).alias("e")).select("e.*")
     g = F.col("g")
     return long.groupBy("gain").agg(F.count(g).alias("n"), F.round(F.avg(g), 6).alias("mean_gain"), F.round(F.avg((g >= DEFAULT.gain_share).cast("double")), 6).alias("share"), F.round(F.max(g), 6).alias("max_gain"))
 
 
 @query("SELECT count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS n, round(corr(a, b), 6) AS r FROM (SELECT cf_gain_v1_frozen AS a, cf_gain_v2_frozen AS b FROM cf)")
 def model_corr(spark, sf_dir):
-    return evaluation.correlation(plan(spark, sf_dir).counterfactual, "cf_gain_v1_frozen", "cf_gain_v2_frozen")
+    return evaluation.correlation(stored_plan(spark, sf_dir).counterfactual, "cf_gain_v1_frozen", "cf_gain_v2_frozen")
 
 
 @query("SELECT count(*) AS n, round(count(value_gained) / count(*), 6) AS coverage_value_gained, round(count(cf_gain_v2_frozen) / count(*), 6) AS coverage_cf_gain_v2_frozen FROM scores")
 def score_coverage(spark, sf_dir):
-    return evaluation.coverage(plan(spark, sf_dir).scores, "value_gained", "cf_gain_v2_frozen")
+    return evaluation.coverage(stored_plan(spark, sf_dir).scores, "value_gained", "cf_gain_v2_frozen")
 
 
 AUC = """SELECT target, model, round(sum(pos * (coalesce(below, 0) + neg / 2.0)) / (sum(pos) * sum(neg)), 6) AS auc, sum(pos)::BIGINT AS n_pos, sum(neg)::BIGINT AS n_neg FROM (SELECT *, sum(neg) OVER (PARTITION BY target, model ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below
@@ -212,7 +217,7 @@ AUC_ROWS = " UNION ALL ".join(f"SELECT '{t}' AS target, '{m}' AS model, round({m
 
 @query(AUC.format(AUC_ROWS))
 def auc_by_target(spark, sf_dir):
-    p = plan(spark, sf_dir)
+    p = stored_plan(spark, sf_dir)
     both = p.window_values.select(*windows.WINDOW, F.round("v1", 6).alias("v1"), F.round("v2", 6).alias("v2")).join(p.window_labels.select(*windows.WINDOW, "shot", "box_entry", "line_break"), list(windows.WINDOW))
     each = [F.struct(F.lit(t).alias("target"), F.lit(m).alias("model"), F.col(m).alias("s"), F.col(t).alias("y")) for t in ("shot", "box_entry", "line_break") for m in ("v1", "v2")]
     return evaluation.auc(both.select(F.explode(F.array(*each)).alias("e")).select("e.*"), "s", "y", ["target", "model"]).filter("auc is not null")
@@ -233,7 +238,7 @@ def auc_masked_labels(spark, sf_dir):
 
 @query("SELECT part, count(DISTINCT match_id) AS n_matches, count(*) AS n_windows FROM (SELECT match_id, CASE WHEN match_id % 5 = 4 THEN 'test' ELSE 'train' END AS part FROM win) GROUP BY part")
 def match_split(spark, sf_dir):
-    p = plan(spark, sf_dir)
+    p = stored_plan(spark, sf_dir)
     split = p.t.matches.select("match_id", F.when(F.col("match_id") % 5 == 4, "test").otherwise("train").alias("part"))
     parts = [evaluation.split_by_match(p.windows, split, x).withColumn("part", F.lit(x)) for x in ("train", "test")]
     return reduce(DataFrame.unionByName, parts).groupBy("part").agg(F.count_distinct("match_id").alias("n_matches"), F.count(F.lit(1)).alias("n_windows"))
@@ -242,7 +247,7 @@ def match_split(spark, sf_dir):
 @query(f"""SELECT run_id, frame, round({oracle.logistic(oracle.V1)}, 6) AS v1 FROM (SELECT run_id, f AS frame, count(*) AS n, any_value(r.fps) AS fps, {oracle.MEANS} FROM (SELECT *, unnest(range(f_start, f_end + 1)) AS f FROM (SELECT * FROM runs ORDER BY distance DESC, run_id LIMIT 5)) r
  JOIN ff ON ff.match_id = r.match_id AND ff.period = r.period AND ff.possession_id = r.possession_id AND ff.frame BETWEEN f - 3 * r.fps + 1 AND f GROUP BY run_id, f) WHERE n = 3 * fps""")
 def probability_trace(spark, sf_dir):
-    p = plan(spark, sf_dir)
+    p = stored_plan(spark, sf_dir)
     t = value.probability_trace(search.ranked_report(p.runs, "distance", 5), p.features)
     return t.select("run_id", "frame", *r6(t, "v1"))
 
@@ -252,7 +257,7 @@ def probability_trace(spark, sf_dir):
 
 @query("SELECT run_id, match_id, player_id, team, duration_ms, round(distance, 6) AS distance, round(cf_gain_v2_frozen, 6) AS cf_gain FROM scores WHERE cf_gain_v2_frozen IS NOT NULL ORDER BY round(cf_gain_v2_frozen, 6) DESC, run_id LIMIT 10")
 def ranked_report(spark, sf_dir):
-    s = plan(spark, sf_dir).scores.withColumn("cf_gain", F.round("cf_gain_v2_frozen", 6))
+    s = stored_plan(spark, sf_dir).scores.withColumn("cf_gain", F.round("cf_gain_v2_frozen", 6))
     r = search.ranked_report(s, "cf_gain", 10)
     return r.select("run_id", "match_id", "player_id", "team", "duration_ms", *r6(r, "distance"), "cf_gain")
 
@@ -267,7 +272,7 @@ HIT = f"SELECT run_id, nearest_def, def_role, overlap, shot_5s, {rounded(['dista
 
 
 def hits(spark, sf_dir, criteria):
-    h = search.search(plan(spark, sf_dir).searchable, criteria)
+    h = search.search(stored_plan(spark, sf_dir).searchable, criteria)
     return h.select("run_id", "nearest_def", "def_role", "overlap", "shot_5s", *r6(h, "distance", "def_displacement", "space_after"))
 
 
@@ -288,24 +293,24 @@ def search_overlap(spark, sf_dir):
 
 @query("""SELECT run_id, 'player ' || player_id || ' ran ' || round(distance, 1) || ' m in ' || round(duration_ms / 1000.0::DOUBLE, 1) || ' s; defender ' || nearest_def || ' moved ' || round(def_displacement, 1) || ' m; space ' || round(space_before, 1) || ' to ' || round(space_after, 1) || ' m' AS explanation FROM geo""")
 def run_explanations(spark, sf_dir):
-    return plan(spark, sf_dir).geometry.select("run_id", search.explain().alias("explanation"))
+    return stored_plan(spark, sf_dir).geometry.select("run_id", search.explain().alias("explanation"))
 
 
 @query("""SELECT g.run_id, t.frame, t.player_id, t.team, CASE WHEN t.player_id = g.player_id THEN 'runner' WHEN t.player_id = nearest_def THEN 'defender' WHEN t.team = 'ball' THEN 'ball' ELSE 'other' END AS part, t.x, t.y
  FROM (SELECT * FROM geo ORDER BY distance DESC, run_id LIMIT 5) g JOIN tracking t ON t.match_id = g.match_id AND t.period = g.period AND t.frame BETWEEN f_start AND f_end""")
 def run_slices(spark, sf_dir):
-    p = plan(spark, sf_dir)
+    p = stored_plan(spark, sf_dir)
     return search.run_slice(search.ranked_report(p.geometry, "distance", 5), p.t.tracking).select("run_id", "frame", "player_id", "team", "part", "x", "y")
 
 
 @query("SELECT press_id, match_id, period, possession_id, f_start, f_end, reaction_ms, n_pressers, forced_turnover FROM presses")
 def press_events(spark, sf_dir):
-    return plan(spark, sf_dir).presses
+    return stored_plan(spark, sf_dir).presses
 
 
 @query("SELECT count(*) AS n, round(avg(reaction_ms), 6) AS mean_reaction_ms, round(avg(n_pressers), 6) AS mean_pressers, round(avg(forced_turnover::INT), 6) AS forced_rate FROM presses")
 def press_summary(spark, sf_dir):
-    return plan(spark, sf_dir).presses.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("reaction_ms"), 6).alias("mean_reaction_ms"), F.round(F.avg("n_pressers"), 6).alias("mean_pressers"), evaluation.rate(F.col("forced_turnover")).alias("forced_rate"))
+    return stored_plan(spark, sf_dir).presses.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("reaction_ms"), 6).alias("mean_reaction_ms"), F.round(F.avg("n_pressers"), 6).alias("mean_pressers"), evaluation.rate(F.col("forced_turnover")).alias("forced_rate"))
 
 
 # -- artifacts, video, models, events
@@ -334,14 +339,14 @@ def homography_apply(spark, sf_dir):
 @query()
 def v1_lstm(spark, sf_dir):
     """Sequence model over windows, with seeded weights: numbers without meaning, for the path of inference."""
-    p = plan(spark, sf_dir)
+    p = stored_plan(spark, sf_dir)
     return models.score_sequences(windows.window_sequences(p.windows, p.features), models.seeded_lstm(len(windows.FEATURES)))
 
 
 @query()
 def v2_attention(spark, sf_dir):
     """Attention model over possession frames' nodes, with seeded weights."""
-    p = plan(spark, sf_dir)
+    p = stored_plan(spark, sf_dir)
     return models.score_nodes(windows.node_matrix(p.frames, p.framed, p.t.direction, p.kin), models.seeded_attention(8))
 
 
