@@ -38,12 +38,14 @@ def hopping_windows(tracking: DataFrame, size: str = "3 seconds", stride: str =
 MOTION = "match_id long, period int, player_id long, frame long, vx double, vy double, speed double"
 
 
-def stream_kinematics(tracking: DataFrame) -> DataFrame:
+def stream_kinematics(tracking: DataFrame, idle_ms: int | None = 600_000) -> DataFrame:
     """Velocity and speed against the frame before, which is kept as state by entity; null after a gap.
 
     Frames come in order, as recorders write them; a frame that arrives after a
     later one of its entity was processed gets no motion and leaves the state.
-    State is three numbers an entity, dropped after ten idle minutes.
+    State is three numbers an entity, dropped after idle_ms without rows. None keeps
+    it, as an availableNow run must: Spark goes on with empty batches for as long
+    as a processing-time timeout is asked for, so such a run would never end.
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -64,7 +66,9 @@ def stream_kinematics(tracking: DataFrame) -> DataFrame:
         out = pd.concat([out, pd.DataFrame({"frame": rows["frame"][late]})]).assign(match_id=key[0], period=key[1], player_id=key[2])
         if len(ok):
             state.update((int(f[-1]), float(x[-1]), float(y[-1])))
-        state.setTimeoutDuration(600_000)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield out[["match_id", "period", "player_id", "frame", "vx", "vy", "speed"]]
 
-    return tracking.select(*ENTITY, "frame", "fps", "x", "y").groupBy(*ENTITY).applyInPandasWithState(run, MOTION, "frame long, x double, y double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return tracking.select(*ENTITY, "frame", "fps", "x", "y").groupBy(*ENTITY).applyInPandasWithState(run, MOTION, "frame long, x double, y double", "append", timeout)

@@ -265,7 +265,7 @@ def test_streams_agree_with_batch(spark, tmp_path):
     t = from_events(spark, SF).tracking.filter("frame < 120")
     for i in range(3):
         t.filter((F.col("frame") >= 40 * i) & (F.col("frame") < 40 * i + 40)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = tracking_stream.stream_kinematics(tracking_stream.read_stream(spark, str(tmp_path / "in"), 1))
+    stream = tracking_stream.stream_kinematics(tracking_stream.read_stream(spark, str(tmp_path / "in"), 1), idle_ms=None)
     q = stream.writeStream.format("memory").queryName("motion").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     got = rows(spark.table("motion").select("player_id", "frame", F.round("speed", 6).alias("s")).filter("s is not null and not isnan(s)"), "player_id", "frame", "s")
