@@ -22,11 +22,11 @@ rows each get a row; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +37,7 @@ ORDER = 3
 DOCS_PER_LANG = 400
 MAX_CONTEXTS = 20_000
 START = b"\n" * ORDER
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass
