@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -138,13 +139,13 @@ def merged(spans) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, bytes]]]:
-    """The benchmark's items in blocks of about block_bytes, each read to the driver by itself."""
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[int, Iterator[list[tuple[str, bytes]]]]:
+    """How many blocks of about block_bytes the benchmark has, and their items, each block read to the driver when it is asked for."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), utf8(F.col(text_col).cast("string")).alias("raw")).filter("item_id is not null and raw is not null")
     total = items.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
     block = F.pmod(F.xxhash64("item_id", "raw"), F.lit(n))
-    return [[(r.item_id, bytes(r.raw)) for r in items.filter(block == i).collect()] for i in range(n)]
+    return n, ([(r.item_id, bytes(r.raw)) for r in items.filter(block == i).collect()] for i in range(n))
 
 
 def contamination(
@@ -169,8 +170,8 @@ def contamination(
 
         return map_batches(raws, run, schema).withColumn("first", F.lit(int(i == 0)))
 
-    parts = blocks(benchmark, item_id_col, item_text_col, block_bytes)
-    passes = [one_pass(i, items, len(parts) > 1) for i, items in enumerate(parts)]
+    n_blocks, parts = blocks(benchmark, item_id_col, item_text_col, block_bytes)
+    passes = [one_pass(i, items, n_blocks > 1) for i, items in enumerate(parts)]
     if len(passes) == 1:
         return passes[0].select("doc_id", "n_words", "spans", "items")
     every = passes[0]
@@ -199,7 +200,7 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, k:
 
         return map_batches(rows, run, rows.schema)
 
-    for items in blocks(benchmark, item_id_col, item_text_col, block_bytes):
+    for items in blocks(benchmark, item_id_col, item_text_col, block_bytes)[1]:
         docs = without(docs, items)
     return docs
 
@@ -211,3 +212,24 @@ def report(found: DataFrame) -> DataFrame:
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
+
+
+def _words(text: str) -> str:
+    return f"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+#: report()'s rows in DuckDB SQL, by comparing all windows.
+ORACLE = f"""
+WITH dw AS (SELECT row_number() OVER () AS rid, doc_id, {_words("coalesce(text, '')")} AS w FROM documents),
+bw AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_words("text")} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+bl AS (SELECT item_id, w, least({WIDTH}, len(w)) AS n FROM bw WHERE len(w) > 0),
+bx AS (SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS win FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM bl)),
+dx AS (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, (SELECT DISTINCT n FROM bl) WHERE len(w) >= n),
+ds AS (SELECT rid, n, i, array_to_string(w[i : i + n - 1], ' ') AS win FROM dx),
+hit AS (SELECT rid, i, ds.n AS n, item_id FROM ds JOIN bx ON ds.n = bx.n AND ds.win = bx.win),
+h AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hit) GROUP BY rid),
+it AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT rid, item_id FROM hit) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN h USING (rid) LEFT JOIN it USING (rid)
+"""

@@ -64,5 +64,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": decontaminate.ORACLE,
     "op6_quality_rules": quality.ORACLE,
 }
