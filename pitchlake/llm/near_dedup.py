@@ -1,0 +1,140 @@
+"""Near-duplicate documents at a Jaccard similarity of 0.8 or more, on sets of five words in a row.
+
+MinHash finds candidates: ``BANDS`` keys of ``ROWS`` least hash values each, of
+which two sets of similarity 0.8 share at least one with a probability of
+0.9996 (0.9 or more: all but 1 in 10^7). Every pair that shares a key is
+settled by the exact similarity of the two sets:
+
+1. each set is compared with the smallest one under each of its keys;
+2. sets under one key that are not yet in one component are compared pair by pair.
+
+So no pair that shares a key is left open, and a large group of near copies,
+which the first step links, costs comparisons in proportion to its size.
+
+Equal sets never meet in the joins: they work on distinct sets, named by a
+64-bit hash. Words are as in simhash.py: runs without ASCII space, lower-cased
+in A-Z; a text of fewer than five words is one shingle.
+
+Defined results: null and wordless texts are copies of each other; rows without
+a doc_id stay and take no part; of a doc_id that is repeated one row is kept at
+most; an empty table gives an empty result; all columns of the input are kept.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pitchlake.llm.common import cut, id_text, map_batches, stored, utf8
+from pitchlake.llm.components import connected_components
+from pitchlake.llm.textkernels import NONSPACE, chunked, gram_hashes, mix, span_hashes, word_table
+
+SHINGLE = 5
+#: Least similarity, as a fraction: compared in whole numbers.
+LEAST = (4, 5)
+BANDS = 20
+ROWS = 5
+SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+MULTIPLY, ADD = SEEDS[: BANDS * ROWS, None] | np.uint64(1), SEEDS[BANDS * ROWS :, None]
+#: Shingles that one NumPy pass takes the least hash values of.
+PART = 1 << 12
+
+
+def shingle_sets(raws: list[bytes], k: int = SHINGLE) -> list[np.ndarray]:
+    """Of each text: sorted hashes of its distinct shingles."""
+    out: list[np.ndarray] = []
+    for lo, hi in chunked(raws):
+        buf, starts, ends, bounds = word_table(raws[lo:hi], NONSPACE)
+        words = span_hashes(buf, starts, ends)
+        grams = gram_hashes(words, k)
+        for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+            n = b - a
+            out.append(np.unique(grams[a : b - k + 1]) if n >= k else gram_hashes(words[a:b], n) if n else words[:0])
+    return out
+
+
+def name(shingles: np.ndarray) -> int:
+    """A hash of the set, as a signed number; 0 for the empty one."""
+    return int(mix(mix(shingles ^ np.uint64(len(shingles))).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0]) if len(shingles) else 0
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set that is not empty."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(shingles), PART):
+        np.minimum(least, (shingles[i : i + PART] * MULTIPLY + ADD).min(axis=1), out=least)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        key = mix(key ^ column) + column
+    return key.view(np.int64)
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, size, keys) of docs(doc_id, text): the set's name, its number of shingles, its keys."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = shingle_sets([r or b"" for r in batch.column("raw").to_pylist()])
+        keys = pa.array([band_keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), keys], ["doc_id", "node", "size", "keys"])
+
+    return map_batches(docs.select("doc_id", utf8("text").alias("raw")), run, "doc_id long, node long, size long, keys array<long>", by="raw")
+
+
+def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, shingles) of the sets in wanted(doc_id, node), read again from their documents."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        nodes = batch.column("node").to_pylist()
+        sets = zip(nodes, shingle_sets([r or b"" for r in batch.column("raw").to_pylist()]), strict=True)
+        same = [(n, s) for n, s in sets if name(s) == n]  # a doc_id can have several texts
+        return pa.RecordBatch.from_arrays([pa.array([n for n, _ in same], pa.int64()), pa.array([s.view(np.int64) for _, s in same], pa.list_(pa.int64()))], ["node", "shingles"])
+
+    rows = docs.join(wanted, "doc_id").select("node", utf8("text").alias("raw"))
+    return map_batches(rows, run, "node long, shingles array<long>", by="raw").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
+    """The pairs(a, b) whose sets have the least similarity or more."""
+    num, den = LEAST
+    x, y = (shingles.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("a", "x"), ("b", "y")))
+    both = F.size(F.array_intersect("x", "y"))  # within the row, without Python
+    return pairs.join(x, "a").join(y, "b").filter(den * both >= num * (F.size("x") + F.size("y") - both)).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) of the rows with a doc_id; component_id is the smallest doc_id reachable over links."""
+    num, den = LEAST
+    docs = id_text(docs, id_col, text_col).filter("doc_id is not null")
+    sketched = stored(sketches(docs))
+    nodes = sketched.groupBy("node").agg(F.min("doc_id").alias("rep"))
+    # a set's keys come from the one document that stands for it
+    keyed = sketched.join(nodes.withColumnRenamed("rep", "doc_id"), ["node", "doc_id"]).dropDuplicates(["node"]).select("node", "doc_id", "size", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "a")
+    members = stored(keyed.join(shared, "key"))  # (key, node, doc_id, size, a)
+    shingles = stored(contents(docs, members.select("doc_id", "node").distinct()))
+    first = cut(members.filter("node != a").select("a", F.col("node").alias("b")).distinct())
+    links = cut(verified(first, shingles))
+
+    label = connected_components(links, "a", "b")  # (node, root), linked ones only
+    placed = members.join(label, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    open_ = stored(placed.join(split, "key"))
+    x, y = (open_.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "root")]) for s in ("x", "y"))
+    apart = x.join(y, "key").filter((F.col("root_x") < F.col("root_y")) & (den * F.least("size_x", "size_y") >= num * F.greatest("size_x", "size_y")))
+    second = apart.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    more = cut(verified(second, shingles))
+    if not more.isEmpty():
+        label = connected_components(label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b")
+
+    rooted = nodes.join(label, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    by_node = rooted.join(smallest, "root").select("node", "component_id")
+    return sketched.select("doc_id", "node").join(by_node, "node").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their group: the smallest doc_id, once. Rows without a doc_id stay."""
+    keep = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
