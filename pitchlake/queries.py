@@ -326,16 +326,25 @@ def artifact_diff(spark, sf_dir):
     return evaluation.diff(a, b)
 
 
-@query(f"""SELECT {oracle.F3}, player_id, round((0.9 * x * 10 + 0.1 * y * 10 + 3) / (0.0001 * x * 10 + 0.0002 * y * 10 + 1), 6) AS px, round((-0.05 * x * 10 + 1.1 * y * 10 + 5) / (0.0001 * x * 10 + 0.0002 * y * 10 + 1), 6) AS py FROM tracking WHERE frame % 100 = 0""")
-def homography_apply(spark, sf_dir):
-    """Points in pixels (ten to a metre) through one homography a frame."""
-    t = from_events(spark, sf_dir).tracking.filter("frame % 100 = 0")
+def projected(t: DataFrame) -> DataFrame:
     points = t.select(*FRAME, "player_id", (F.col("x") * 10).alias("u"), (F.col("y") * 10).alias("v"))
     h = points.select(*FRAME).distinct().withColumn("h", F.array(*[F.lit(x) for x in (0.9, 0.1, 3.0, -0.05, 1.1, 5.0, 0.0001, 0.0002, 1.0)]))
     out = video.apply_homography(points, h)
     return out.select(*FRAME, "player_id", *r6(out, "px", "py"))
 
 
+@query(f"""SELECT {oracle.F3}, player_id, round((0.9 * x * 10 + 0.1 * y * 10 + 3) / (0.0001 * x * 10 + 0.0002 * y * 10 + 1), 6) AS px, round((-0.05 * x * 10 + 1.1 * y * 10 + 5) / (0.0001 * x * 10 + 0.0002 * y * 10 + 1), 6) AS py FROM tracking WHERE frame % 100 = 0""")
+def homography_apply(spark, sf_dir):
+    """Points in pixels (ten to a metre) through one homography a frame."""
+    return projected(from_events(spark, sf_dir).tracking.filter("frame % 100 = 0"))
+
+
+@query(f"""SELECT {oracle.F3}, player_id, round((0.9 * x * 10 + 0.1 * y * 10 + 3) / (0.0001 * x * 10 + 0.0002 * y * 10 + 1), 6) AS px, round((-0.05 * x * 10 + 1.1 * y * 10 + 5) / (0.0001 * x * 10 + 0.0002 * y * 10 + 1), 6) AS py FROM tracking""")
+def homography_apply_all(spark, sf_dir):
+    """Every position through its frame's homography; homography_apply reads each hundredth frame only."""
+    return projected(from_events(spark, sf_dir).tracking)
+
+
 @query()
 def v1_lstm(spark, sf_dir):
     """Sequence model over windows, with seeded weights: numbers without meaning, for the path of inference."""
