@@ -252,6 +252,15 @@ def probability_trace(spark, sf_dir):
     return t.select("run_id", "frame", *r6(t, "v1"))
 
 
+@query(f"""SELECT run_id, frame, round({oracle.logistic(oracle.V1)}, 6) AS v1 FROM (SELECT run_id, f AS frame, count(*) AS n, any_value(r.fps) AS fps, {oracle.MEANS} FROM (SELECT *, unnest(range(f_start, f_end + 1)) AS f FROM runs) r
+ JOIN ff ON ff.match_id = r.match_id AND ff.period = r.period AND ff.possession_id = r.possession_id AND ff.frame BETWEEN f - 3 * r.fps + 1 AND f GROUP BY run_id, f) WHERE n = 3 * fps""")
+def probability_trace_all(spark, sf_dir):
+    """The trace of every run; probability_trace shows the longest ones only."""
+    p = stored_plan(spark, sf_dir)
+    t = value.probability_trace(p.runs, p.features)
+    return t.select("run_id", "frame", *r6(t, "v1"))
+
+
 # -- reports, search, presses
 
 
@@ -303,6 +312,14 @@ def run_slices(spark, sf_dir):
     return search.run_slice(search.ranked_report(p.geometry, "distance", 5), p.t.tracking).select("run_id", "frame", "player_id", "team", "part", "x", "y")
 
 
+@query("""SELECT g.run_id, t.frame, t.player_id, t.team, CASE WHEN t.player_id = g.player_id THEN 'runner' WHEN t.player_id = nearest_def THEN 'defender' WHEN t.team = 'ball' THEN 'ball' ELSE 'other' END AS part, t.x, t.y
+ FROM geo g JOIN tracking t ON t.match_id = g.match_id AND t.period = g.period AND t.frame BETWEEN f_start AND f_end""")
+def run_slices_all(spark, sf_dir):
+    """The slice of every run; run_slices shows the longest ones only."""
+    p = stored_plan(spark, sf_dir)
+    return search.run_slice(p.geometry, p.t.tracking).select("run_id", "frame", "player_id", "team", "part", "x", "y")
+
+
 @query("SELECT press_id, match_id, period, possession_id, f_start, f_end, reaction_ms, n_pressers, forced_turnover FROM presses")
 def press_events(spark, sf_dir):
     return stored_plan(spark, sf_dir).presses
