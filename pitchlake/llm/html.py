@@ -6,11 +6,13 @@ forms, adverts, comments and the like, by element, role, class or id) weigh
 nothing. Sums over a sliding window of lines surge where the article begins and
 dive to nothing where it ends; the text between such points is kept, less the
 furniture inside. Where a page marks its article or main element, only lines in
-it weigh, links included.
+it weigh, and any of them begins a block; windows and links decide there where it
+ends. Article elements that are
+comments or teasers by class, or lie in a comment section, are furniture.
 
 Defined results: null or empty html gives an empty text; markup that is cut off
 or never closed ends with the page; an advert or menu that is never closed ends
-where an article begins; repeated rows each get a row; other columns are ignored.
+where the first article begins; repeated rows each get a row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,13 +50,15 @@ MARKS = set(
     "nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments reply replies respond disqus discussion share sharing social related recommended recommendations "
     "newsletter subscribe subscription signup login popup modal overlay widget widgets toolbar pagination pager copyright legal disclaimer alert skip".split()
 )
+#: Of these, those that stay in force over an article inside, even the first.
+COMMENTS = set("comment comments reply replies respond disqus discussion".split())
 WORD = re.compile(r"[a-z]+")
 
 
 def is_furniture(name: str, attrs: dict[str, str], in_article: bool) -> bool:
     if name in FURNITURE or (name == "header" and not in_article):
         return True
-    if name in ("html", "body", "article", "main", "h1"):
+    if name in ("html", "body", "main", "h1"):
         return False
     if attrs.get("role", "") in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", ""):
         return True
@@ -66,7 +70,7 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
     """Lines as (text, characters outside links, furniture?, inside article or main?), and whether the page marks an article."""
     lines: list[tuple[str, int, bool, bool]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # open containers: name, furniture, article
+    stack: list[tuple[str, bool, bool, bool]] = []  # open containers: name, furniture, article, comments
     inline: list[tuple[str, int]] = []  # open inline furniture
     linked, in_link, marked = 0, False, False
 
@@ -75,8 +79,8 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                furniture = any(f for _, f, _ in stack)
-                lines.append((text, max(0, len(text) - linked), furniture, any(a for *_, a in stack)))
+                furniture = any(f for _, f, *_ in stack)
+                lines.append((text, max(0, len(text) - linked), furniture, any(a for _, _, a, _ in stack)))
             parts.clear()
         linked = 0
 
@@ -140,14 +144,15 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
             continue
         attrs = {k.lower(): (a or b or c) for k, a, b, c in ATTR.findall(rest)} if rest.strip() else {}
         article = name in ("article", "main") or attrs.get("itemprop") == "articleBody" or attrs.get("role") in ("main", "article")
-        within = any(a for *_, a in stack)
-        if name == "body" or (article and not within):  # what was never closed ends here
-            stack = [x for x in stack if not x[1]]
-            inline.clear()
+        within = any(a for _, _, a, _ in stack)
         furniture = is_furniture(name, attrs, within)
+        if name == "body" or (article and not within and not furniture and not marked):  # what was never closed ends here
+            stack = [x for x in stack if not x[1] or x[3]]
+            inline.clear()
         if name in HOLDS:
-            stack.append((name, furniture, article and not furniture))
-            marked |= article and not furniture and not any(f for _, f, _ in stack)
+            comments = furniture and not COMMENTS.isdisjoint(WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
+            stack.append((name, furniture, article and not furniture, comments))
+            marked |= article and not furniture and not any(f for _, f, *_ in stack)
         elif furniture and name not in BLOCK:
             inline.append((name, 0))
         elif furniture:  # a marked paragraph or list item: its text is left out up to the next block
@@ -163,12 +168,12 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE, share:
     if not html:
         return ""
     lines, marked = lines_of(html)
-    weight = [0 if furniture or (marked and not inside) else len(text) if marked else own if 2 * own >= len(text) else 0 for text, own, furniture, inside in lines]
+    weight = [0 if furniture or (marked and not inside) else own if 2 * own >= len(text) else 0 for text, own, furniture, inside in lines]
     n = len(lines)
     sums = [sum(weight[i : i + window]) for i in range(n)]
     if not any(sums):
         return ""
-    least = 1 if marked else max(1, min(surge, share * max(sums)))
+    least = 1 if marked else max(1, min(surge, share * max(sums)))  # in a marked article short text is text; links and windows cut it
     kept: list[str] = []
     i = 0
     while i < n:
