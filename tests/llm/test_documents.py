@@ -13,7 +13,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from pitchlake.llm import bpe, decontaminate, langid, lm, pii, quality, sharding, simhash, suffix_dedup, suffixes
+from pitchlake.llm import bpe, decontaminate, langid, pii, quality, sharding, simhash, suffix_dedup, suffixes
 from pitchlake.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -373,29 +373,6 @@ def test_langid_code_lengths_are_exact(docs):
             assert langid.code_lengths([raw], model)[0, x] == pytest.approx(bits, rel=1e-5, abs=1e-6)
 
 
-# -- LM scoring
-
-
-def test_lm(spark, docs, odd, empty):
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    ids = labels.filter("quality = 1")
-    model = lm.fit(docs, ids)
-    texts, good = dict(pairs(docs)), {r.doc_id for r in ids.collect()}
-    words = {d: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()) for d, t in texts.items()}
-    assert model.counts[1, : 1 << lm.WORD_BITS].sum() == sum(map(len, words.values()))
-    assert model.counts[0, : 1 << lm.WORD_BITS].sum() == sum(len(w) for d, w in words.items() if d in good)
-    assert model.counts[1, 1 << lm.WORD_BITS :].sum() == sum(max(0, len(w) - 1) for w in words.values())
-    got = lm.score(docs, model).collect()
-    assert all(r.n_tokens == len(words[r.doc_id]) for r in got)
-    quality = {r.doc_id: r.quality for r in labels.collect()}
-    a = [r.score for r in got if quality.get(r.doc_id) == 1 and r.score is not None]
-    b = [r.score for r in got if quality.get(r.doc_id) == 0 and r.score is not None]
-    assert np.mean([x < y for x in a for y in b]) > 0.8
-    out = {r.doc_id: r for r in lm.score(odd, model).collect()}
-    assert out[1].score is None and out[1].n_tokens == 0 and not out[1].selected and out[6].n_tokens == 9000
-    assert rows(lm.cross_entropy_difference(empty, labels.filter("false"))) == []
-
-
 # -- the pipeline
 
 
