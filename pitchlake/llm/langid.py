@@ -5,19 +5,20 @@ A byte seen in its context costs -log2(c / (n + q)) bits, where the context
 came n times with q different bytes after it, c times with this one; an unseen
 byte costs the escape, -log2(q / (n + q)), and then what it costs in the next
 shorter context, down to 8 bits flat. After training, the statistics are
-frozen: every node of the tree has one cost for each byte and language, so a
-text's exact code length is a sum of table look-ups at the longest context that
-the tree has.
+frozen. A tree is kept sparse, as sorted tables of the grams and contexts that
+were seen, each with its bits: no context is left out, and a language takes as
+much memory as its own tree. A text's exact code length is a sum of table look-ups.
 
 Training uses labelled documents outside the held-out fifth, a seeded sample of
 about ``docs_per_lang`` of each language (the whole language if it has fewer),
 which bounds the model whatever the corpus holds; scoring covers every document
 in full.
 
-Defined results: a null text or one without letters is `und` with score 0, and
-so is everything if no document can be learned from; a null doc_id is never
-learned from and not held out; ties go to the first language by name; repeated
-rows each get a row; other columns are ignored.
+Defined results: a null or empty text or one without letters is `und` with score
+0, and so is everything if no document can be learned from; a null doc_id is
+never learned from and not held out; ties go to the first language by name; very
+long texts are read in parts, whole; repeated rows each get a row; other columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,18 +36,22 @@ from pitchlake.llm.textkernels import chunked
 
 ORDER = 3
 DOCS_PER_LANG = 400
-MAX_CONTEXTS = 20_000
 START = b"\n" * ORDER
 LETTER = regex.compile(r"\p{L}")
 
 
+@dataclass
+class Tree:
+    """Bits of one language's grams and escapes, by order: sorted keys and costs. A key is its bytes as a number."""
+
+    grams: list[tuple[np.ndarray, np.ndarray]]
+    escapes: list[tuple[np.ndarray, np.ndarray]]
+
+
 @dataclass
 class Model:
     langs: list[str]
-    classes: np.ndarray  # of each byte: its number among the bytes seen, or the last for all others
-    n_classes: int
-    node: np.ndarray  # by the three classes before: the node of the longest context in the tree
-    cost: np.ndarray  # bits, by node * n_classes + class, and language
+    trees: list[Tree]
     prior: np.ndarray  # bits, by language
 
 
@@ -70,13 +75,13 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, max_contexts: int = MAX_CONTEXTS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Context trees of the languages of docs."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.filter(~held_out("doc_id") & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     seen = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not seen:
-        return Model([], np.zeros(256, np.int64), 1, np.zeros(1, np.int32), np.zeros((1, 0), np.float32), np.zeros(0))
+        return Model([], [], np.zeros(0))
     share = F.create_map(*[F.lit(x) for lang, n in seen.items() for x in (lang, docs_per_lang / n)])
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.filter(unit < F.element_at(share, F.col("lang"))).select("lang", utf8("text").alias("raw"))
@@ -90,75 +95,79 @@ def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, max_contexts: int =
 
     table = map_batches(sample, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(seen)
-    return build([(table[table.lang == x].gram.to_numpy(np.int64), table[table.lang == x].n.to_numpy(np.int64)) for x in langs], langs, [seen[x] for x in langs], max_contexts)
-
-
-def build(by_lang: list[tuple[np.ndarray, np.ndarray]], langs: list[str], sizes: list[int], max_contexts: int = MAX_CONTEXTS) -> Model:
-    """Freeze gram counts into cost tables."""
-    all_grams = np.concatenate([g for g, _ in by_lang] + [np.empty(0, np.int64)])
-    used = np.unique(np.concatenate([(all_grams >> s) & 255 for s in (24, 16, 8, 0)] + [[10]]))
-    classes = np.full(256, len(used), dtype=np.int64)
-    classes[used] = np.arange(len(used))
-    a = len(used) + 1
-    # contexts by order, as numbers in base a; the tree has those that came most often
-    total: list[dict[int, int]] = [{} for _ in range(ORDER + 1)]
-    stats: list[list[dict[int, dict[int, int]]]] = []
-    for gram, n in by_lang:
-        c = [classes[(gram >> s) & 255] for s in (24, 16, 8, 0)]
-        orders: list[dict[int, dict[int, int]]] = []
+    return build([(table[table.lang == x].gram.to_numpy(np.int64), table[table.lang == x].n.to_numpy(np.int64)) for x in langs], langs, [seen[x] for x in langs])
+
+
+def build(by_lang: list[tuple[np.ndarray, np.ndarray]], langs: list[str], sizes: list[int]) -> Model:
+    """Freeze gram counts into trees."""
+    trees = []
+    for gram, count in by_lang:
+        tree = Tree([], [])
         for k in range(ORDER + 1):
-            ctx = np.zeros(len(gram), dtype=np.int64)
-            for j in range(ORDER - k, ORDER):
-                ctx = ctx * a + c[j]
-            pair, at = np.unique(ctx * a + c[3], return_inverse=True)
-            own: dict[int, dict[int, int]] = {}
-            for p, x in zip(pair.tolist(), np.bincount(at, weights=n, minlength=len(pair)).astype(np.int64).tolist(), strict=True):
-                own.setdefault(p // a, {})[p % a] = x
-            for ctx_id, after in own.items():
-                total[k][ctx_id] = total[k].get(ctx_id, 0) + sum(after.values())
-            orders.append(own)
-        stats.append(orders)
-    nodes: list[tuple[int, int]] = [(0, 0)]
-    for k in range(1, ORDER + 1):
-        best = sorted(total[k], key=lambda x, k=k: (-total[k][x], x))
-        nodes += [(k, x) for x in (best[:max_contexts] if k == ORDER else best)]
-    number = {x: i for i, x in enumerate(nodes)}
-    cost = np.empty((len(nodes), a, len(langs)), dtype=np.float64)
-    for i, (k, ctx) in enumerate(nodes):  # shorter contexts come first
-        for x, orders in enumerate(stats):
-            base = cost[number[k - 1, ctx % a ** (k - 1)], :, x] if k else np.full(a, 8.0)
-            if after := orders[k].get(ctx):
-                n, q = sum(after.values()), len(after)
-                cost[i, :, x] = base - np.log2(q / (n + q))
-                for sym, c in after.items():
-                    cost[i, sym, x] = -np.log2(c / (n + q))
-            else:
-                cost[i, :, x] = base
-    node = np.zeros((a, a, a), dtype=np.int32)
-    for k, ctx in nodes:
-        i = number[k, ctx]
-        if k == 1:
-            node[:, :, ctx] = i
-        elif k == 2:
-            node[:, ctx // a, ctx % a] = i
-        elif k == 3:
-            node[ctx // (a * a), ctx // a % a, ctx % a] = i
-    prior = -np.log2(np.array(sizes) / sum(sizes))
-    return Model(langs, classes, a, node.reshape(-1), cost.reshape(-1, len(langs)).astype(np.float32), prior)
+            keys, at = np.unique(gram & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            c = np.bincount(at, weights=count, minlength=len(keys))
+            contexts, of = np.unique(keys >> 8, return_inverse=True)
+            n, q = np.bincount(of, weights=c, minlength=len(contexts)), np.bincount(of, minlength=len(contexts))
+            tree.grams.append((keys, np.log2((n + q)[of] / c)))
+            tree.escapes.append((contexts, np.log2((n + q) / q)))
+        trees.append(tree)
+    return Model(langs, trees, -np.log2(np.array(sizes) / sum(sizes)))
+
+
+def looked_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is in the table, and its cost if so (else 0)."""
+    if not len(table[0]):
+        return np.zeros(len(keys), dtype=bool), np.zeros(len(keys))
+    at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+    found = table[0][at] == keys
+    return found, np.where(found, table[1][at], 0.0)
+
+
+def gram_costs(codes: np.ndarray, tree: Tree) -> np.ndarray:
+    """Bits of the last byte of each four-byte gram."""
+    bits, left = np.zeros(len(codes)), np.arange(len(codes))
+    for k in range(ORDER, -1, -1):
+        keys = codes[left] & ((1 << 8 * (k + 1)) - 1)
+        found, cost = looked_up(tree.grams[k], keys)
+        bits[left[found]] += cost[found]
+        left, keys = left[~found], keys[~found]
+        bits[left] += looked_up(tree.escapes[k], keys >> 8)[1]
+    bits[left] += 8.0
+    return bits
+
+
+def distinct_of(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and each key's place among them; keys are below size. A table where it is small, else a sort."""
+    if size > 1 << 24:
+        return np.unique(keys, return_inverse=True)
+    seen = np.zeros(size, dtype=bool)
+    seen[keys] = True
+    return np.flatnonzero(seen), (np.cumsum(seen, dtype=np.int32) - 1)[keys]
 
 
 def code_lengths(raws: list[bytes], model: Model) -> np.ndarray:
     """Bits of each text under each language, without priors."""
     out = np.zeros((len(raws), len(model.langs)))
-    a = model.n_classes
     for lo, hi in chunked(raws):
-        c = model.classes[np.frombuffer(START + START.join(raws[lo:hi]), dtype=np.uint8)]
         lengths = np.array([len(r) for r in raws[lo:hi]])
-        starts = np.cumsum(np.concatenate(([0], lengths[:-1] + ORDER)))
-        at = model.node[(c[:-3] * a + c[1:-2]) * a + c[2:-1]].astype(np.int64) * a + c[3:]
-        for i, (s, n) in enumerate(zip(starts.tolist(), lengths.tolist(), strict=True)):
-            if n:
-                out[lo + i] = model.cost[at[s : s + n]].sum(axis=0, dtype=np.float64)
+        full = np.flatnonzero(lengths)
+        if not len(full):
+            continue
+        b = np.frombuffer(START + START.join(raws[lo:hi]), dtype=np.uint8)
+        inside = np.ones(len(b), dtype=bool)  # bytes of the texts themselves
+        starts = np.cumsum(lengths + ORDER) - lengths
+        inside[:ORDER] = False
+        for j in range(1, ORDER + 1):
+            inside[starts[1:] - j] = False
+        used, c = distinct_of(b, 256)
+        a = len(used)
+        contexts, before = distinct_of(((c[:-3] * a + c[1:-2]) * a + c[2:-1])[inside[3:]], a**3)
+        distinct, back = distinct_of(before.astype(np.int64) * a + c[3:][inside[3:]], len(contexts) * a)
+        contexts, last = contexts[distinct // a], distinct % a
+        codes = used[contexts // (a * a)] << 24 | used[contexts // a % a] << 16 | used[contexts % a] << 8 | used[last]
+        first = np.cumsum(lengths[full]) - lengths[full]
+        for x, tree in enumerate(model.trees):
+            out[lo + full, x] = np.add.reduceat(gram_costs(codes, tree)[back], first)
     return out
 
 
