@@ -6,13 +6,18 @@ small that a bucket fits in a task's memory. Pass two shuffles each bucket
 end to end; the row at place g goes to shard g mod n at slot g div n, so the
 shards' row counts are at most one apart and slots have no gaps.
 
-A task that is run again gives the same rows: a bucket's rows are sorted before
-they are shuffled, and buckets are sorted within their partition, so that the
-seeded generator meets them in the same order.
-
-Defined results: a null text has no bytes (size 8, CRC 0); a null doc_id is
-scattered by the row's place in the input; repeated rows keep a slot each; an
-empty table gives an empty result; further columns travel along in write_shards.
+The result depends on the rows and the seed alone: the number of buckets comes
+from the rows' size; a bucket's rows are sorted before they are shuffled; and
+bucket i is alone in partition i, so that its generator starts at seed + i,
+whatever the cluster's settings and whichever task runs again.
+
+Defined results: a null or empty text has no bytes (size 8, CRC 0); a very long
+text is one row as any other; a null doc_id is scattered like any other; rows that are equal in all columns are numbered
+first, so that however many there are they spread over all buckets, and which of
+them gets which slot does not matter; an empty table gives an empty result.
+write_shards keeps all columns of the input under their names; an input column
+called `shard` is written as `shard_input` (and so on until the name is free), as the
+folders are named by shard.
 """
 
 from __future__ import annotations
@@ -22,9 +27,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchlake.llm.common import cut
+from pitchlake.llm.common import stored
 
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 32 << 20
 SEED = 42
 
 
@@ -36,37 +41,42 @@ def crc_of(text: str = "text") -> Column:
     return F.crc32(F.coalesce(F.col(text), F.lit("")))
 
 
-def bucket_count(total_bytes: int, bucket_bytes: int, at_least: int) -> int:
-    """Buckets of at most about bucket_bytes, and enough of them to use every task."""
-    return max(1, at_least, math.ceil(total_bytes / bucket_bytes))
+def bucket_count(total_bytes: int, bucket_bytes: int) -> int:
+    """Buckets of about bucket_bytes."""
+    return max(1, math.ceil(total_bytes / bucket_bytes))
 
 
-def shuffled(rows: DataFrame, n_shards: int, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", size_col: str = "size", order_cols: tuple[str, ...] = ("doc_id", "text_crc32", "size")) -> DataFrame:
-    """rows with shard and slot. order_cols tell rows apart; rows that are equal in all of them are interchangeable."""
-    total = rows.agg(F.sum(size_col)).first()[0] or 0
-    n = bucket_count(total, bucket_bytes, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    place = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
-    scattered = rows.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in order_cols], place), F.lit(n)))
-    rest = [c for c in rows.columns if c not in order_cols]
-    held = F.struct(*[F.col(c) for c in order_cols], *[F.col(c) for c in rest])
-    buckets = scattered.groupBy("_bucket").agg(F.sort_array(F.collect_list(held)).alias("_rows"))
-    buckets = buckets.withColumn("_n", F.size("_rows").cast("long"))
-    counts = scattered.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_count"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
-    offsets = counts.select("_bucket", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_offset"))
-    laid = buckets.join(offsets, "_bucket").sortWithinPartitions("_bucket").withColumn("_rows", F.shuffle("_rows", seed))
-    out = laid.select("_offset", F.posexplode("_rows").alias("_at", "_row"))
-    g = F.col("_offset") + F.col("_at")
-    return out.select(*[F.col("_row")[c].alias(c) for c in rows.columns], (g % n_shards).cast("int").alias("shard"), F.expr(f"cast((_offset + _at) div {n_shards} as long)").alias("slot"))
+def shuffled(rows: DataFrame, n_shards: int, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(row, shard, slot) of rows(row, size, mark): row is a struct that can be ordered, mark a hash of it."""
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    n = bucket_count(total, bucket_bytes)
+    alike = Window.partitionBy("mark").orderBy("mark")
+    scattered = rows.select("row", "mark", F.row_number().over(alike).alias("copy"))
+    scattered = scattered.select(F.pmod(F.xxhash64(F.lit(seed), "mark", "copy"), F.lit(n)).cast("int").alias("bucket"), "row")
+    buckets = stored(scattered.groupBy("bucket").agg(F.sort_array(F.collect_list("row")).alias("rows")))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each bucket
+    offsets = buckets.select("bucket", F.size("rows").cast("long").alias("n")).select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    alone = buckets.join(offsets, "bucket").repartitionById(n, "bucket")
+    laid = alone.select("offset", F.posexplode(F.shuffle("rows", seed)).alias("at", "row"))
+    return laid.select("row", ((F.col("offset") + F.col("at")) % n_shards).cast("int").alias("shard"), F.expr(f"cast((offset + at) div {n_shards} as long)").alias("slot"))
 
 
 def assign(docs: DataFrame, n_shards: int = 24, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of each document; the law is `rows`."""
-    records = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size_of().alias("size"), crc_of().alias("text_crc32")))
-    return shuffled(records, n_shards, seed, bucket_bytes).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    records = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), size_of().alias("size"), crc_of().alias("text_crc32")).alias("row"))
+    records = stored(records.select("row", "row.size", F.xxhash64("row.doc_id", "row.size", "row.text_crc32").alias("mark")))
+    laid = shuffled(records, n_shards, seed, bucket_bytes)
+    return laid.select("row.doc_id", "row.size", "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 24, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> None:
     """Write the whole documents, a folder a shard; a file's rows are in slot order."""
-    rows = docs.withColumn("size", size_of()).withColumn("text_crc32", crc_of())
-    shuffled(rows, n_shards, seed, bucket_bytes).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    for name in [c for c in docs.columns if c.lower() == "shard"]:
+        free = f"{name}_input"
+        while free in docs.columns:
+            free += "_input"
+        docs = docs.withColumnRenamed(name, free)
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(every.alias("row"), size_of().alias("size"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("mark"))
+    laid = shuffled(rows, n_shards, seed, bucket_bytes).sortWithinPartitions("shard", "slot")
+    laid.select("row.*", "shard").write.partitionBy("shard").parquet(path)

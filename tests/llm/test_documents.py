@@ -259,10 +259,32 @@ def test_sharding(docs, odd, empty):
     assert rows(sharding.assign(empty)) == []
 
 
+def test_sharding_does_not_depend_on_the_cluster(spark, docs, odd):
+    """Same places whatever the number of shuffle partitions and the split of the input, also over many buckets."""
+    first = [rows(sharding.assign(df, 24, bucket_bytes=20_000)) for df in (docs, odd)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    try:
+        assert [rows(sharding.assign(df.repartition(7), 24, bucket_bytes=20_000)) for df in (docs, odd)] == first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_sharding_spreads_equal_rows(spark):
+    df = spark.range(1).selectExpr("cast(5 as long) as doc_id", "'same' as text").crossJoin(spark.range(400).select()).repartition(3)
+    got = sharding.assign(df, 4, bucket_bytes=100).collect()
+    assert sorted((r.shard, r.slot) for r in got) == [(s, i) for s in range(4) for i in range(100)]
+
+
 def test_write_shards(spark, docs, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "shards"), 5)
     back = spark.read.parquet(str(tmp_path / "shards"))
     assert rows(back.select(docs.columns)) == rows(docs) and back.select("shard").distinct().count() == 5
+    clash = docs.selectExpr("*", "'a' as shard", "'b' as slot", "'c' as size", "'d' as text_crc32", "'e' as row", "1.5 as bucket")
+    sharding.write_shards(clash, str(tmp_path / "clash"), 5)
+    back = spark.read.parquet(str(tmp_path / "clash"))
+    assert rows(back.select([f"{c}_input" if c == "shard" else c for c in clash.columns])) == rows(clash)
+    sharding.write_shards(docs.filter("false"), str(tmp_path / "none"), 5)
 
 
 # -- BPE
