@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchlake.llm import bpe, decontaminate, langid, near_dedup, pii
+from pitchlake.llm import bpe, decontaminate, langid, pii, simhash
 from pitchlake.llm.common import ensure_checkpoint_dir, table
 
 #: No SQL states models, components or merges; tests hold the stages against brute force.
@@ -25,8 +25,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: five-word shingles, similarity 0.8 or more."""
-    return near_dedup.one_of_each(docs)
+    """One document of each near-duplicate group: five-word shingles, similarity 0.8 or more, by SimHash."""
+    return simhash.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
