@@ -1,16 +1,23 @@
-"""Personal data by weak supervision.
+"""Personal data and secrets by weak supervision.
 
 Fixed patterns give the base spans, which always stay. Looser patterns propose
-further candidates; regex, gazetteer and context labelers vote on each (for,
-against, abstain). Votes are counted over the whole corpus by their pattern, a
-table whose size the labelers bound; expectation-maximisation (one two-class
-model of each labeler's reliability) estimates how likely each pattern is
-personal data, and a logistic classifier of spans is trained on these
-estimates, weighted by count. A second pass over the texts keeps the candidates
-that it accepts and that touch no base span.
-
-Defined results: a null text is empty; without candidates nothing is added;
-repeated rows each get a row; other columns are ignored (mask() keeps them).
+further candidates. Regex, gazetteer and context labelers vote on every
+candidate, those of the base kinds included (for, against, abstain).
+Expectation-maximisation estimates each labeler's reliability from how they agree
+over the whole corpus, and with it the probability that a candidate is personal
+data, by its votes. A logistic classifier of spans is trained on these
+probabilities as soft labels; it sees a span's shape and surroundings besides the
+votes. A second pass over the texts keeps the candidates that it accepts.
+
+What is counted over the corpus is a table of (kind, votes, shape): as many rows
+as there are such combinations at most, however many documents.
+
+Defined results: a null or empty text has no spans; very long texts are read
+whole; of candidates that overlap, the leftmost stays, then the longest, then the
+first kind in KINDS; a candidate that touches a base span is left out, but for a
+secret; without candidates nothing is added; repeated rows each get a row and
+count each; other columns are ignored (mask() keeps them); an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -27,9 +34,9 @@ from pyspark.sql import functions as F
 from pitchlake.llm.common import map_batches
 
 BASE = ("email", "ip", "card", "phone")
-EXTRA = ("iban", "ssn", "local_phone", "spelled_email", "person", "birth_date", "address")
+EXTRA = ("iban", "ssn", "local_phone", "spelled_email", "person", "birth_date", "address", "secret", "ipv6", "card_like")
 KINDS = BASE + EXTRA
-ACCEPT = 0.9
+ACCEPT = 0.8
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -47,6 +54,13 @@ CUES = {
     "spelled_email": "email mail e-mail correo courriel contact kontakt contacto write".split(),
     "person": "name named called contact signed regards sincerely from dear by author heißt nom nommé nombre llamado".split(),
     "birth_date": "born birth birthday dob geboren geburtsdatum né née naissance nacido nacida nacimiento".split(),
+    "secret": "token key apikey secret password passwd pwd passwort bearer authorization credential credentials auth private".split(),
+    "ipv6": "ip ipv6 address host server adresse addr".split(),
+    "card_like": "card credit visa mastercard karte kreditkarte carte tarjeta".split(),
+    "email": "email mail e-mail correo courriel contact kontakt contacto write".split(),
+    "ip": "ip ipv4 address host server adresse addr login".split(),
+    "card": "card credit visa mastercard karte kreditkarte carte tarjeta".split(),
+    "phone": "phone tel telephone telefon téléphone teléfono mobile handy portable móvil cell fax call ruf appelez llame".split(),
     "address": "address live lives lived resident adresse wohnt wohnhaft habite domicilio vive dirección".split(),
 }
 TITLES = "Mr Mrs Ms Dr Prof Herr Frau Mme Mlle Monsieur Madame Sr Sra Señor Señora".split()
@@ -59,6 +73,8 @@ STREET = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Way
 MONTH = "January|February|March|April|May|June|July|August|September|October|November|December"
 PATTERNS = {
     "iban": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
+    "ipv6": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
+    "card_like": re.compile(r"(?<![0-9.-])[0-9]{4}(?:[ .-][0-9]{4}){3}(?![0-9.-])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "local_phone": re.compile(r"(?<![0-9+.\w-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9-])"),
     "birth_date": re.compile(rf"(?<![0-9/.-])(?:[0-9]{{1,2}}[/.-][0-9]{{1,2}}[/.-](?:19|20)[0-9]{{2}}|(?:19|20)[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}|(?:{MONTH}) [0-9]{{1,2}},? (?:19|20)[0-9]{{2}})(?![0-9/-])"),
@@ -66,6 +82,12 @@ PATTERNS = {
 }
 SPELLED = re.compile(r"\b[A-Za-z0-9._-]{1,64} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{2,63})+", re.IGNORECASE)
 PERSON = re.compile(rf"\b(?:(?:{'|'.join(TITLES)})\.? (?:[A-Z]\w+)(?: [A-Z]\w+)?|(?:{'|'.join(sorted(GIVEN))}) [A-Z]\w+)\b")
+#: Long runs of the characters that keys and tokens are written with, digits among them; what is a secret is for the labelers to say.
+SECRET = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9]))?")
+#: How keys of common services begin, and letters of a hash or key in hexadecimal.
+SECRET_PREFIX = ("AKIA", "ASIA", "sk-", "sk_", "pk_", "rk_", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "AIza", "eyJ", "ya29")
+HEX = re.compile(r"[0-9a-f]{32,}|[0-9A-F]{32,}")
+ASSIGNED = re.compile(r"[=:]\s*[\"']?$")
 NOT_PERSONAL = re.compile(r"version|licen[sc]e|copyright|isbn|rfc|chapter|figure|section|page|release|build|example", re.IGNORECASE)
 TOKEN = re.compile(r"[\w-]+")
 
@@ -103,6 +125,11 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda x: (x[0], BASE.index(x[2])))
 
 
+def mixture(s: str) -> int:
+    """Of digits, small and capital letters: how many kinds are in s."""
+    return any(c.isdigit() for c in s) + any(c.islower() for c in s) + any(c.isupper() for c in s)
+
+
 def valid(kind: str, s: str) -> int:
     """Regex and checksum labeler."""
     if kind == "iban":
@@ -114,9 +141,15 @@ def valid(kind: str, s: str) -> int:
     if kind == "birth_date":
         numbers = [int(x) for x in re.findall(r"[0-9]+", s)]
         return 1 if all(0 < x <= 31 for x in numbers if x < 1900) and max(numbers) <= 2025 else -1
-    if kind == "local_phone":
+    if kind in ("local_phone", "phone"):
         return -1 if len(set(DIGIT.findall(s))) < 3 else 1
-    return 0
+    if kind == "secret":
+        return 1 if HEX.fullmatch(s) or (mixture(s) == 3 and len(set(s)) >= 12) else -1 if mixture(s) == 1 or len(set(s)) < 8 else 0
+    if kind in ("card", "card_like"):
+        return 1 if luhn("".join(DIGIT.findall(s))) else -1
+    if kind == "ip":
+        return -1 if s.startswith("0.") or s.endswith(".0") else 1
+    return 1 if kind in ("email", "ipv6") else 0
 
 
 def known(kind: str, s: str) -> int:
@@ -126,14 +159,18 @@ def known(kind: str, s: str) -> int:
         return 1 if any(w in GIVEN for w in words) else 0
     if kind == "address":
         return 1
-    if kind == "spelled_email":
+    if kind in ("spelled_email", "email"):
         return 1 if words[-1].lower() in ("com", "org", "net", "edu", "de", "fr", "es", "eu", "io") else -1
+    if kind in ("card", "card_like"):
+        return 1 if s[0] in "3456" else -1
+    if kind == "secret":
+        return 1 if s.startswith(SECRET_PREFIX) else 0
     return 0
 
 
 def cued(kind: str, before: str) -> int:
     """Context labeler: a cue word shortly before."""
-    words = {w.lower() for w in TOKEN.findall(before)}
+    words = {w.lower() for part in TOKEN.findall(before) for w in (part, *part.split("_"))}
     return 1 if any(c in words for c in CUES[kind]) else 0
 
 
@@ -142,17 +179,34 @@ def plain_context(before: str, after: str) -> int:
     return -1 if NOT_PERSONAL.search(before) or NOT_PERSONAL.search(after) else 0
 
 
-def titled(kind: str, s: str) -> int:
-    """Regex labeler of form: a title, brackets or spacing that the kind is written with."""
+def formed(kind: str, s: str, before: str) -> int:
+    """Regex labeler of form: a title, brackets or spacing that the kind is written with, or an assignment."""
     if kind == "person":
         return 1 if s.split(" ")[0].rstrip(".") in TITLES else 0
-    if kind in ("local_phone", "iban"):
+    if kind in ("local_phone", "iban", "phone"):
         return 1 if " " in s or "(" in s else 0
+    if kind == "secret":
+        return 1 if ASSIGNED.search(before) else -1 if "/" in s and before[-1:] in ("/", ":", ".") else 0
     return 0
 
 
 LABELERS = 5
-Pattern = tuple[int, ...]  # number of the kind, then the votes
+SHAPES = 6
+Pattern = tuple[int, ...]  # number of the kind, then the votes, then the shape
+
+
+def shape(s: str, before: str, after: str) -> tuple[int, ...]:
+    """What the classifier sees besides the votes, in few values each."""
+    digits = sum(c.isdigit() for c in s)
+    return (
+        min(3, len(s) // 12), 4 * digits // (len(s) + 1), mixture(s), int(before[-1:] in ("'", '"') and after[:1] in ("'", '"')),
+        int(before[-1:].isalnum() or after[:1].isalnum()), int(not before.strip() or before.rstrip()[-1] in ".!?:="),
+    )
+
+
+def judged(text: str, start: int, end: int, kind: str) -> Pattern:
+    s, before, after = text[start:end], text[max(0, start - 48) : start], text[end : end + 24]
+    return (KINDS.index(kind), valid(kind, s), known(kind, s), cued(kind, before), plain_context(before, after), formed(kind, s, before), *shape(s, before, after))
 
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str, Pattern]]:
@@ -160,6 +214,7 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
     found = []
     if DIGIT.search(text):
         found += [(m.start(), m.end(), kind) for kind, p in PATTERNS.items() for m in p.finditer(text)]
+        found += [(m.start(), m.end(), "secret") for m in SECRET.finditer(text) if DIGIT.search(m.group()) and mixture(m.group()) > 1]
     if "(at)" in text.lower() or "[at]" in text.lower():
         found += [(m.start(), m.end(), "spelled_email") for m in SPELLED.finditer(text)]
     found += [(m.start(), m.end(), "person") for m in PERSON.finditer(text)]
@@ -167,59 +222,86 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
     for start, end, kind in sorted(found, key=lambda x: (x[0], -x[1], KINDS.index(x[2]))):
         while i < len(base) and base[i][1] <= start:
             i += 1
-        if start < free or any(b[0] < end and start < b[1] for b in base[i : i + 8]):
+        touched = [b for b in base[i : i + 8] if b[0] < end and start < b[1]]
+        if start < free or any(kind != "secret" or b[0] <= start and end <= b[1] for b in touched):
             continue
-        s, before, after = text[start:end], text[max(0, start - 48) : start], text[end : end + 24]
-        out.append((start, end, kind, (KINDS.index(kind), valid(kind, s), known(kind, s), cued(kind, before), plain_context(before, after), titled(kind, s))))
+        out.append((start, end, kind, judged(text, start, end, kind)))
         free = end
     return out
 
 
+def expectation_maximisation(votes: np.ndarray, n: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """(probability of each row of votes, reliabilities P(vote | class) by labeler, class, vote + 1); n rows each.
+
+    Two classes, labelers independent given the class. It begins with the majority; prior counts hold that a labeler is
+    better than chance, which also tells which class is which.
+    """
+    at, labelers = votes + 1, votes.shape[1]
+    post = 1 / (1 + np.exp(-1.5 * votes.sum(axis=1) + 0.5))
+    rel = np.full((labelers, 2, 3), 1 / 3)
+    for _ in range(rounds):
+        rel = np.tile(10 * np.array([[0.4, 0.4, 0.2], [0.05, 0.4, 0.55]]), (labelers, 1, 1))
+        for j in range(labelers):
+            rel[j, 1] += np.bincount(at[:, j], weights=n * post, minlength=3)
+            rel[j, 0] += np.bincount(at[:, j], weights=n * (1 - post), minlength=3)
+        rel /= rel.sum(axis=2, keepdims=True)
+        prior = (1 + (n * post).sum()) / (2 + n.sum())
+        odds = np.log(prior / (1 - prior)) + sum(np.log(rel[j, 1, at[:, j]] / rel[j, 0, at[:, j]]) for j in range(labelers))
+        post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    return post, rel
+
+
+def features(patterns: np.ndarray) -> np.ndarray:
+    """Kind, votes and shape as zeros and ones, and a constant."""
+    votes, form = patterns[:, 1 : 1 + LABELERS] + 1, patterns[:, 1 + LABELERS :]
+    return np.concatenate([np.eye(len(KINDS))[patterns[:, 0]], *[np.eye(3)[votes[:, j]] for j in range(LABELERS)], *[np.eye(4)[form[:, j]] for j in range(SHAPES)], np.ones((len(patterns), 1))], axis=1)
+
+
 @dataclass
 class Model:
-    """Probability of each vote pattern, and the labelers' reliabilities: P(vote | class), by labeler, class, vote + 1."""
+    """The classifier's weights, and the labelers' reliabilities."""
 
-    probability: dict[Pattern, float] = field(default_factory=dict)
+    weights: np.ndarray | None = None
     reliability: np.ndarray = field(default_factory=lambda: np.full((LABELERS, 2, 3), 1 / 3))
+    known: dict[Pattern, float] = field(default_factory=dict)
 
+    def probability(self, pattern: Pattern) -> float:
+        if self.weights is None:
+            return 0.0
+        if pattern not in self.known:  # as many as there are patterns at most
+            self.known[pattern] = float(1 / (1 + np.exp(-(features(np.array([pattern])) @ self.weights)[0])))
+        return self.known[pattern]
 
-def train(counts: dict[Pattern, int], rounds: int = 50, steps: int = 500) -> Model:
-    """Reliabilities by expectation-maximisation, then a logistic classifier of the patterns."""
+
+def train(counts: dict[Pattern, int], rounds: int = 50, steps: int = 800) -> Model:
+    """Reliabilities by expectation-maximisation, then a logistic classifier of spans on its probabilities."""
     if not counts:
         return Model()
-    patterns = sorted(counts)
-    n = np.array([counts[p] for p in patterns], dtype=float)
-    kinds, votes = np.array([p[0] for p in patterns]), np.array([p[1:] for p in patterns]) + 1
-    post = 1 / (1 + np.exp(-1.5 * (votes - 1).sum(axis=1) + 0.5))  # by majority at first
-    for _ in range(rounds):
-        rel = np.tile(10 * np.array([[0.4, 0.4, 0.2], [0.05, 0.4, 0.55]]), (LABELERS, 1, 1))  # prior counts: better than chance
-        for j in range(LABELERS):
-            for v in range(3):
-                hit = votes[:, j] == v
-                rel[j, 1, v] += (n * post)[hit].sum()
-                rel[j, 0, v] += (n * (1 - post))[hit].sum()
-        rel /= rel.sum(axis=2, keepdims=True)
-        prior = (1 + (n * post).sum()) / (2 + n.sum())
-        odds = np.log(prior / (1 - prior)) + sum(np.log(rel[j, 1, votes[:, j]] / rel[j, 0, votes[:, j]]) for j in range(LABELERS))
-        post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    x = np.concatenate([np.eye(len(KINDS))[kinds], *[np.eye(3)[votes[:, j]] for j in range(LABELERS)], np.ones((len(n), 1))], axis=1)
-    w, weight = np.zeros(x.shape[1]), np.log1p(n) / np.log1p(n).sum()
+    patterns = np.array(sorted(counts))
+    n = np.array([counts[tuple(p)] for p in patterns.tolist()], dtype=float)
+    post, rel = expectation_maximisation(patterns[:, 1 : 1 + LABELERS], n, rounds)
+    x = features(patterns)
+    w, weight = np.zeros(x.shape[1]), np.log1p(n) / np.log1p(n).sum()  # frequent patterns count more, but do not drown the others
     for _ in range(steps):
         p = 1 / (1 + np.exp(-x @ w))
         w -= 2.0 * (x.T @ (weight * (p - post)) + 1e-4 * w)
-    p = 1 / (1 + np.exp(-x @ w))
-    return Model({pattern: float(q) for pattern, q in zip(patterns, p, strict=True)}, rel)
+    return Model(w, rel)
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
     """Count vote patterns over all of docs and train."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts = Counter(c[3] for t in batch.column("text").to_pylist() if t for c in candidates(t, base_spans(t)))
+        counts: Counter[Pattern] = Counter()
+        for t in batch.column("text").to_pylist():
+            if t:
+                base = base_spans(t)
+                counts.update(judged(t, s, e, k) for s, e, k in base)
+                counts.update(c[3] for c in candidates(t, base))
         return pa.RecordBatch.from_arrays([pa.array([list(p) for p in counts], pa.list_(pa.int64())), pa.array(list(counts.values()), pa.int64())], ["pattern", "n"])
 
     rows = map_batches(docs.select(F.col(text_col).cast("string").alias("text")), run, "pattern array<long>, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
-    return train({tuple(r.pattern): r.n for r in rows.collect()})  # at most kinds * 3 ** labelers rows
+    return train({tuple(r.pattern): r.n for r in rows.collect()})  # bounded by the combinations of kind, votes and shape
 
 
 def spans(text: str | None, model: Model, accept: float = ACCEPT) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
@@ -227,7 +309,7 @@ def spans(text: str | None, model: Model, accept: float = ACCEPT) -> tuple[list[
     if not text:
         return [], []
     base = base_spans(text)
-    more = [(s, e, k) for s, e, k, p in candidates(text, base) if model.probability.get(p, 0) >= accept and max(p[1:]) > 0 and min(p[1:]) >= 0]
+    more = [(s, e, k) for s, e, k, p in candidates(text, base) if model.probability(p) >= accept]
     return base, sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
@@ -250,7 +332,9 @@ def find(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def report(found: DataFrame) -> DataFrame:
     """Counts and digest of find()'s rows."""
     n = lambda kind: F.size(F.filter(F.split("base_spans", ","), lambda x: x.startswith(f"{kind}:"))).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[n(k) for k in BASE], F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+    every = F.filter(F.split("spans", ","), lambda x: x != "")
+    n_secret = F.size(F.filter(every, lambda x: x.startswith("secret:"))).cast("long").alias("n_secret")
+    return found.select("doc_id", *[n(k) for k in BASE], F.sha2("base_spans", 256).alias("base_sha256"), "spans", n_secret, F.size(every).cast("long").alias("n_spans"))
 
 
 def masked(text: str, found: list[tuple[int, int, str]]) -> str:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -348,6 +349,57 @@ def test_pii_model_adds_spans(spark):
     assert not pii.spans("We saw The Old Man in version 2.0 of 2020-13-45", model)[1]
 
 
+def test_pii_finds_secrets_and_leaves_plain_text(spark):
+    """Planted secrets and loose forms among clean texts; a clean text gets no span."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n)) + ". "
+    secret = [lambda: f'token = "{rng.getrandbits(160):040x}"', lambda: f"api_key: sk-{''.join(rng.choices('abcdefghijkABCDEFGHIJK0123456789', k=32))}", lambda: f"password={''.join(rng.choices('abcdefghijkABCDEFGHIJK0123456789', k=20))}"]
+    plain = [lambda: "Licensed under the Apache License, Version 2.0. ", lambda: f"see section {rng.randint(1, 9)}.{rng.randint(1, 9)} of release 10.4 ", lambda: f"{rng.randint(1000, 9999)} https://example.org/a/{word()}/{word()} ", lambda: f"{word()}_{word()}_{word()}2 "]
+    dirty = [prose(30) + secret[i % 3]() + " " + prose(20) for i in range(60)]
+    clean = [prose(30) + plain[i % 4]() + prose(20) for i in range(240)]
+    model = pii.fit(spark.createDataFrame(list(enumerate(dirty + clean)), "doc_id long, text string").repartition(4))
+    assert np.mean([any(k == "secret" for *_, k in pii.spans(t, model)[1]) for t in dirty]) >= 0.9
+    assert np.mean([not pii.spans(t, model)[1] for t in clean]) >= 0.95
+
+
+def test_pii_query_adds_secrets_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r for r in pii.report(pii.find(docs, pii.fit(docs))).collect()}
+    has = {d for d, t in pairs(docs) if t and re.search(r'token = "[0-9a-f]{40}"', t)}
+    assert has and all(got[d].n_secret for d in has)
+    base = {d for d, t in pairs(docs) if t and pii.base_spans(t)}
+    assert not {d for d, r in got.items() if r.n_spans} - has - base - {d for d, t in pairs(docs) if t and "TOKEN" in t}
+
+
+def test_expectation_maximisation_against_a_plain_version():
+    """Row by row with probabilities, not in counts and logarithms."""
+    rng = np.random.default_rng(1)
+    truth = rng.random(300) < 0.4
+    votes = np.where(rng.random((300, 4)) < [0.9, 0.8, 0.7, 0.6], np.where(truth[:, None], 1, -1), rng.integers(-1, 2, (300, 4)))
+    kinds, n = np.unique(votes, axis=0, return_counts=True)
+    got, rel = pii.expectation_maximisation(kinds, n.astype(float), rounds=7)
+    post = [1 / (1 + np.exp(-1.5 * sum(v) + 0.5)) for v in votes]
+    for _ in range(7):
+        table = [[[4.0, 4.0, 2.0], [0.5, 4.0, 5.5]] for _ in range(4)]
+        for v, p in zip(votes, post, strict=True):
+            for j in range(4):
+                table[j][1][v[j] + 1] += p
+                table[j][0][v[j] + 1] += 1 - p
+        table = [[[x / sum(row) for x in row] for row in t] for t in table]
+        prior, new = (1 + sum(post)) / (2 + len(votes)), []
+        for v in votes:
+            yes, no = prior, 1 - prior
+            for j in range(4):
+                yes, no = yes * table[j][1][v[j] + 1], no * table[j][0][v[j] + 1]
+            new.append(yes / (yes + no))
+        post = new
+    want = {tuple(v): p for v, p in zip(votes.tolist(), post, strict=True)}
+    assert got == pytest.approx([want[tuple(v)] for v in kinds.tolist()], abs=1e-9)
+    assert rel == pytest.approx(np.array(table), abs=1e-9)
+    assert np.mean((np.array(post) > 0.5) == truth) > 0.9
+
+
 # -- language ID
 
 
