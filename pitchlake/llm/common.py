@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -52,18 +55,34 @@ def sliced(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordB
         yield batch.slice(start)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, by: str | None = None, most: int = 8 << 20) -> DataFrame:
-    """Apply fn to each Arrow batch of df (no shuffle), or to parts of it with about `most` bytes in the binary column `by`."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, by: str | None = None, most: int = 8 << 20, at_end: Callable[[], None] | None = None) -> DataFrame:
+    """Apply fn to each Arrow batch of df (no shuffle), or to parts of it with about `most` bytes in the column `by`.
+
+    Workers are used again for other tasks: at_end is called when a task is through, to drop what it holds.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in sliced(batch, by, most) if by else [batch]:
-                if part.num_rows:
-                    yield fn(part)
+        try:
+            for batch in batches:
+                for part in sliced(batch, by, most) if by else [batch]:
+                    if part.num_rows:
+                        yield fn(part)
+        finally:
+            release(at_end)
 
     return df.mapInArrow(run, schema)
 
 
+def release(at_end: Callable[[], None] | None = None) -> None:
+    """Give a task's memory back to the system, as the worker that runs it goes on to other tasks."""
+    if at_end:
+        at_end()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def utf8(text: str | Column) -> Column:
     """A text column as UTF-8 bytes; null stays null."""
     return F.encode(F.col(text) if isinstance(text, str) else text, "UTF-8")

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import struct
+import unicodedata
 import zlib
 
 import duckdb
@@ -307,6 +308,25 @@ def test_bpe(docs, odd, empty):
     assert rows(bpe.encode_documents(empty)) == []
 
 
+def test_bpe_normalises_and_splits_every_character_like_the_library():
+    """Each character between letters, at a word's end and between digits; those that Python's tables do not have go by the library."""
+    lib, model = Tokenizer.from_file(bpe.vocabulary_path()), bpe.load(bpe.vocabulary_path())
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn" and not 0xAC10 < c < 0xD7A0 and not 0x4E10 < c < 0x9F00 and not 0x20010 < c < 0x32000 and c < 0xE0200]
+    codes += [0x558, 0x88F, 0x1C89, 0x10D50, 0x323B0]
+    for i in range(0, len(codes), 500):
+        text = " ".join(f"ab{chr(c)}cd 1{chr(c)}2 e{chr(c)} 'S{chr(c)}" for c in codes[i : i + 500])
+        assert model.encode(text).tolist() == lib.encode(text, add_special_tokens=False).ids, hex(codes[i])
+
+
+def test_bpe_merges_words_alike_alone_and_together():
+    model = bpe.load(bpe.vocabulary_path())
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefghinorst" if rng.random() < 0.7 else "aab", k=rng.randint(2, 64))) for _ in range(3000)] + ["aa", "aaa", "a" * 64, "thethethe", "abab" * 16]
+    symbols = [model.symbols(w) for w in words]
+    together = bpe.merged_together([list(x) for x in symbols], model)
+    assert [x.tolist() for x in together] == [bpe.merged(list(x), model.rank_of, model.made) for x in symbols]
+
+
 # -- PII
 
 
