@@ -93,7 +93,7 @@ def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, id_col: str = "doc_
         found = [(lang, *grams(raws)) for lang, raws in by_lang.items()]
         return pa.RecordBatch.from_arrays([pa.array([lang for lang, k, _ in found for _ in k], pa.string()), pa.array(np.concatenate([k for _, k, _ in found])), pa.array(np.concatenate([n for *_, n in found]))], ["lang", "gram", "n"])
 
-    table = map_batches(sample, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    table = map_batches(sample, count, "lang string, gram long, n long", by="raw", most=4 << 20).groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(seen)
     return build([(table[table.lang == x].gram.to_numpy(np.int64), table[table.lang == x].n.to_numpy(np.int64)) for x in langs], langs, [seen[x] for x in langs])
 
@@ -180,7 +180,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         langs, scores = classify(batch.column("text").to_pylist(), shared.value)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return map_batches(rows, run, "doc_id long, lang_pred string, score double")
+    return map_batches(rows, run, "doc_id long, lang_pred string, score double", by="text", most=4 << 20)
 
 
 def classify(texts: list[str | None], model: Model) -> tuple[list[str], list[float]]:
@@ -205,7 +205,7 @@ def recognised(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
         langs, _ = classify(batch.column(text_col).to_pylist(), shared.value)
         return batch.filter(pa.array([x != "und" for x in langs]))
 
-    return map_batches(docs, run, docs.schema)
+    return map_batches(docs, run, docs.schema, by=text_col, most=4 << 20)
 
 
 def identify(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> DataFrame:

@@ -300,7 +300,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
                 counts.update(c[3] for c in candidates(t, base))
         return pa.RecordBatch.from_arrays([pa.array([list(p) for p in counts], pa.list_(pa.int64())), pa.array(list(counts.values()), pa.int64())], ["pattern", "n"])
 
-    rows = map_batches(docs.select(F.col(text_col).cast("string").alias("text")), run, "pattern array<long>, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    rows = map_batches(docs.select(F.col(text_col).cast("string").alias("text")), run, "pattern array<long>, n long", by="text", most=4 << 20).groupBy("pattern").agg(F.sum("n").alias("n"))
     return train({tuple(r.pattern): r.n for r in rows.collect()})  # bounded by the combinations of kind, votes and shape
 
 
@@ -326,7 +326,7 @@ def find(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([joined(b) for b, _ in found], pa.string()), pa.array([joined(a) for _, a in found], pa.string())], ["doc_id", "base_spans", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(rows, run, "doc_id long, base_spans string, spans string")
+    return map_batches(rows, run, "doc_id long, base_spans string, spans string", by="text", most=4 << 20)
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -356,4 +356,4 @@ def mask(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         i = batch.schema.get_field_index(text_col)
         return batch.set_column(i, text_col, pa.array(texts, pa.string()))
 
-    return map_batches(docs, run, docs.schema)
+    return map_batches(docs, run, docs.schema, by=text_col, most=4 << 20)
