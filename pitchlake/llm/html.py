@@ -3,16 +3,18 @@
 A page is cut into lines at block elements, without markup. Each line weighs as
 many characters as it has outside links, or nothing if most of it is links; lines of page furniture (navigation,
 forms, adverts, comments and the like, by element, role, class or id) weigh
-nothing. Sums over a sliding window of lines surge where the article begins and
+nothing. Where a page marks its article or main element, lines outside weigh a
+quarter. Sums over a sliding window of lines surge where the article begins and
 dive to nothing where it ends; the text between such points is kept, less the
-furniture inside. Where a page marks its article or main element, only lines in
-it weigh, and any of them begins a block; windows and links decide there where it
-ends. Article elements that are
+furniture inside. On every page it is these points that decide: a mark is a weight.
+Lines right before the surge, such as a short heading, belong to it. Article elements that are
 comments or teasers by class, or lie in a comment section, are furniture.
 
 Defined results: null or empty html gives an empty text; markup that is cut off
 or never closed ends with the page; an advert or menu that is never closed ends
-where the first article begins; repeated rows each get a row; other columns are ignored.
+where the first article begins; a page whose windows all weigh the same keeps all
+of them; very long pages are read whole; repeated rows each get a row; other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from pitchlake.llm.common import map_batches
 WINDOW = 3
 SURGE = 80
 SHARE = 0.25
+#: What a line outside the marked article weighs, where there is one.
+OUTSIDE = 0.25
 
 TOKEN = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>")
@@ -52,9 +56,21 @@ MARKS = set(
 )
 #: Of these, those that stay in force over an article inside, even the first.
 COMMENTS = set("comment comments reply replies respond disqus discussion".split())
+#: Of these, those that mark furniture only where nothing but such words and names of boxes stand beside them: `share-buttons`, not `share-price`.
+VAGUE = set("alert banner legal notice notices promo related share sharing skip social widget widgets".split())
+BOXES = set("area bar block bottom box button buttons container content icons inner item items left link links list main page panel post posts right section site stories text title top wrap wrapper".split())
 WORD = re.compile(r"[a-z]+")
 
 
+def marks(names: str) -> bool:
+    """Whether the words of a class and id mark furniture."""
+    for name in names.lower().split():
+        words = WORD.findall(name)
+        if any(w in MARKS and (w not in VAGUE or all(x in MARKS or x in BOXES for x in words)) for w in words):
+            return True
+    return False
+
+
 def is_furniture(name: str, attrs: dict[str, str], in_article: bool) -> bool:
     if name in FURNITURE or (name == "header" and not in_article):
         return True
@@ -62,8 +78,7 @@ def is_furniture(name: str, attrs: dict[str, str], in_article: bool) -> bool:
         return False
     if attrs.get("role", "") in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", ""):
         return True
-    words = WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())
-    return any(w in MARKS for w in words) and not (in_article and name == "header")
+    return marks(f"{attrs.get('class', '')} {attrs.get('id', '')}") and not (in_article and name == "header")
 
 
 def lines_of(html: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
@@ -163,29 +178,31 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
     return lines, marked
 
 
-def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE, share: float = SHARE) -> str:
-    """The article's blocks, one a line."""
-    if not html:
-        return ""
-    lines, marked = lines_of(html)
-    weight = [0 if furniture or (marked and not inside) else own if 2 * own >= len(text) else 0 for text, own, furniture, inside in lines]
-    n = len(lines)
+def main_lines(lines: list[tuple[str, int, bool, bool]], marked: bool, window: int = WINDOW, surge: int = SURGE, share: float = SHARE) -> list[str]:
+    """The lines between surge and dive points, without furniture; lines and marked are as lines_of() gives them."""
+    n, usual = len(lines), [1.0 if inside or not marked else OUTSIDE for *_, inside in lines]
+    weight = [0 if furniture or 2 * own < len(text) else own * u for (text, own, furniture, _), u in zip(lines, usual, strict=True)]
     sums = [sum(weight[i : i + window]) for i in range(n)]
-    if not any(sums):
-        return ""
-    least = 1 if marked else max(1, min(surge, share * max(sums)))  # in a marked article short text is text; links and windows cut it
+    least = max(1.0, min(surge, share * max(sums, default=0)))
     kept: list[str] = []
-    i = 0
+    i = end = 0
     while i < n:
         if sums[i] < least or not weight[i]:
             i += 1
             continue
-        j = i  # up to the dive: the window after it holds nothing
-        while j < n and sums[j]:
-            j += 1
-        kept += [text for text, _, furniture, inside in lines[i:j] if not furniture and (inside or not marked)]
-        i = j
-    return "\n".join(kept)
+        begin = i  # headings and other lines too short to surge are right before
+        while begin > end and weight[begin - 1] and usual[begin - 1] == usual[i]:
+            begin -= 1
+        while i < n and sums[i]:  # up to the dive: the window after it holds nothing
+            i += 1
+        end = i
+        kept += [text for text, _, furniture, _ in lines[begin:end] if not furniture]
+    return kept
+
+
+def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE, share: float = SHARE) -> str:
+    """The article's blocks, one a line."""
+    return "\n".join(main_lines(*lines_of(html), window, surge, share)) if html else ""
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -196,4 +213,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         texts = [main_text(h) for h in batch.column("html").to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return map_batches(rows, run, "page_id long, url string, text string, n_chars long")
+    return map_batches(rows, run, "page_id long, url string, text string, n_chars long", by="html", most=4 << 20)
