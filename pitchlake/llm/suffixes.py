@@ -6,13 +6,12 @@ equal windows have equal minimizers at equal offsets. Consecutive windows with
 one minimizer form a run, which is a short piece of text around it. Runs, about
 two for every window's length of text, are what is shuffled, as hashes.
 
-Runs that are equal as a whole repeat the earliest of them. Where runs that
-differ share a minimizer, their windows may still be equal in part: the pieces
-are fetched, and the suffixes that start at the minimizer, and the reversed
-prefixes before it, are each put in order by a deep-shallow sort (multikey
-quicksort on eight-byte words to a shallow depth, then a blind trie for each
-group that is still equal). From the common prefixes of neighbours, windows at
-each offset fall into classes of equal strings, whose earliest stays.
+Where runs share a minimizer, their windows may be equal: the pieces are fetched,
+and the suffixes that start at the minimizer, and the reversed prefixes before it,
+are each put in order by a deep-shallow sort (multikey quicksort on eight-byte
+words to a shallow depth, then a blind trie for each group that is still equal).
+From the common prefixes of neighbours, windows at each offset fall into classes
+of equal strings, of which those of the smallest doc_id stay, each document's first.
 """
 
 from __future__ import annotations
@@ -148,13 +147,14 @@ def deep_shallow_sort(strings: list[bytes], group: np.ndarray, shallow: int = SH
     return order, lcp
 
 
-def repeated_windows(group: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray, offset: np.ndarray, pieces: list[bytes], window: int = WINDOW, k: int = K) -> list[tuple[int, int, int]]:
-    """(row, start, end) of the windows of runs that are equal to an earlier one of the same group; touching ones joined."""
+def repeated_windows(group: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray, count: np.ndarray, offset: np.ndarray, pieces: list[bytes], window: int = WINDOW, k: int = K) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """(run, start, end) of the windows of runs that are equal to an earlier one of the same group, touching ones joined; and
+    whether all windows of a run are such. Earlier is in a smaller doc, or at a smaller start in the same row of it."""
     n = len(pieces)
     right_order, right_lcp = deep_shallow_sort([s[o:] for s, o in zip(pieces, offset.tolist(), strict=True)], group)
     left_order, left_lcp = deep_shallow_sort([s[:o][::-1] for s, o in zip(pieces, offset.tolist(), strict=True)], group)
     age = np.empty(n, dtype=np.int64)
-    age[np.lexsort((start + offset, doc))] = np.arange(n)
+    age[np.lexsort((start + offset, row, doc))] = np.arange(n)
     repeats = np.zeros((n, int(count.max(initial=1)) + 1), dtype=bool)
     right, left = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
     for o in range(window - k + 1):  # the minimizer's offset in a window
@@ -164,9 +164,13 @@ def repeated_windows(group: np.ndarray, doc: np.ndarray, start: np.ndarray, coun
         right[right_order] = np.cumsum(right_lcp < window - o)
         left[left_order] = np.cumsum(left_lcp < o)
         by = here[np.lexsort((age[here], left[here], right[here]))]
-        again = np.flatnonzero((right[by[1:]] == right[by[:-1]]) & (left[by[1:]] == left[by[:-1]])) + 1
+        new = np.ones(len(by), dtype=bool)
+        new[1:] = (right[by[1:]] != right[by[:-1]]) | (left[by[1:]] != left[by[:-1]])
+        oldest = by[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        again = doc[by] > doc[oldest]
+        again[1:] |= ~new[1:] & (doc[by[1:]] == doc[by[:-1]]) & (row[by[1:]] == row[by[:-1]])
         repeats[by[again], offset[by[again]] - o] = True
     change = np.diff(np.concatenate((np.zeros((n, 1), dtype=np.int8), repeats.astype(np.int8)), axis=1), axis=1)
     r, begin = np.nonzero(change == 1)
     _, end = np.nonzero(change == -1)
-    return list(zip(r.tolist(), (start[r] + begin).tolist(), (start[r] + end - 1 + window).tolist(), strict=True))
+    return list(zip(r.tolist(), (start[r] + begin).tolist(), (start[r] + end - 1 + window).tolist(), strict=True)), repeats.sum(axis=1) == count

@@ -156,28 +156,47 @@ def test_decontamination(spark, docs, odd, empty):
 
 
 def brute_suffix(items, window=100):
-    seen, out = set(), []
-    ids = {}
+    """Rows of a smaller doc_id are earlier; rows that share one take nothing from each other."""
+    out, seen = [], set()
+    by_id = collections.defaultdict(list)
     for d, t in items:
-        ids.setdefault(d, t)
-    cut = {}
-    for d, t in sorted(((d, t) for d, t in ids.items() if d is not None)):
-        b = (t or "").encode()
-        gone = np.zeros(len(b), dtype=bool)
-        for i in range(len(b) - window + 1):
-            w = b[i : i + window]
-            if w in seen:
-                gone[i : i + window] = True
-            seen.add(w)
-        cut[d] = gone
-    for d, t in items:
-        b = (t or "").encode()
-        gone = cut.get(d, np.zeros(len(b), dtype=bool))
-        spans = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
-        out.append((d, len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
+        by_id[d].append((t or "").encode())
+    for d in sorted(by_id, key=lambda x: (x is None, x)):
+        new = set()
+        for b in by_id[d]:
+            gone, own = np.zeros(len(b), dtype=bool), set()
+            for i in range(len(b) - window + 1):
+                w = b[i : i + window]
+                if d is not None and (w in seen or w in own):
+                    gone[i : i + window] = True
+                own.add(w)
+            new |= own
+            spans = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
+            out.append((d, len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
+        seen |= new
     return sorted(out, key=repr)
 
 
+def test_suffix_dedup_with_ids_that_clash(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    a, b, c = word(400), word(300), word(250)
+    items = [(1, a), (1, "short"), (2, a[50:350] + b), (1, c + a[:200]), (1, a), (3, b + b + c), (3, b), (3, None), (2, a[50:350] + b), (None, a), (4, "x" * 500), (4, "x" * 90 + "y" + "x" * 120)]
+    for hot in (1000, 2):
+        assert rows(suffix_dedup.remove(suffix_dedup.repeats(spark.createDataFrame(items, "doc_id long, text string").repartition(3), hot=hot))) == brute_suffix(items)
+
+
+def test_suffix_dedup_of_a_passage_that_all_share(spark):
+    """Copies collapse in parts, and pieces that differ around a shared phrase are cut finer; hot groups of both kinds."""
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnop ", k=n))
+    passage, phrase = word(260), word(108)
+    items = [(i, word(rng.randint(0, 150)) + (passage if i % 2 else phrase) + word(rng.randint(0, 150))) for i in range(160)]
+    for hot in (1000, 10):
+        got = suffix_dedup.remove(suffix_dedup.repeats(spark.createDataFrame(items, "doc_id long, text string").repartition(5), hot=hot))
+        assert rows(got) == brute_suffix(items)
+
+
 @pytest.mark.parametrize("hot", [1000, 2])
 def test_suffix_dedup(docs, odd, empty, hot):
     want = brute_suffix(pairs(docs))
