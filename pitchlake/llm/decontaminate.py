@@ -4,128 +4,102 @@ Every window of ``width`` consecutive words is fingerprinted by the smallest
 hash among its k-grams (k + (widths of the winnowing window) - 1 = width), for
 the benchmark and for the documents alike. Equal windows have equal
 fingerprints, so each shared span of at least ``width`` words is found.
-Documents' fingerprints are matched with the benchmark's; each hit is extended
-to its whole window, which is compared word by word. Items of fewer words have
-one window, their whole text, and are looked up by its hash.
-
-The benchmark is a query set and is handled in blocks of at most
-``block_bytes`` of text: each block's index is broadcast (so what is broadcast
-has that bound however large the benchmark is) and documents pass it without a
-shuffle. A benchmark larger than one block takes a pass a block, whose hits are
-put together by document.
-
-Defined results: a null or wordless text has no words and no hits; items with a
-null id or without words match nothing; items that share an id count as one;
-repeated documents each get a row; empty tables are fine on either side; other
-columns are ignored.
+Documents' fingerprints are joined with the benchmark's; a hit is extended to its
+whole window, which is compared word by word. Items of fewer words have one
+window, their whole text, with the hash of all its words for a fingerprint.
+
+There is one plan whatever the benchmark's size. A bitmap of the benchmark's
+fingerprints, of ``FILTER_BITS`` at most, lets a document's windows through; those
+alone leave the document, and meet the benchmark's in an equality join on
+fingerprint and window. A full bitmap lets more through, and loses nothing.
+
+Defined results: a null, empty or wordless text has no words and no hits; items
+with a null id or without words match nothing; items that share an id count as
+one; very long texts are searched whole; repeated documents each get a row; empty
+tables are fine on either side; other columns are ignored (uncontaminated() keeps them).
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchlake.llm.common import id_text, map_batches, utf8
+from pitchlake.llm.common import id_text, map_batches, stored, utf8
 from pitchlake.llm.textkernels import ALNUM, chunked, gram_hashes, sliding_min, span_hashes, word_table
 
 WIDTH = 10
 K = 6
-BLOCK_BYTES = 4 << 20
-BITS = 20
+#: The bitmap has 256 bits a fingerprint, but no more than 2 ** 26: 8 MB.
+FILTER_BITS = 26
+SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+CANDIDATE = pa.struct([("n", pa.int32()), ("fp", pa.int64()), ("win", pa.string()), ("starts", pa.list_(pa.int64()))])
+CANDIDATES = "array<struct<n:int,fp:long,win:string,starts:array<long>>>"
 
 
-@dataclass
-class Lookup:
-    """A set of 64-bit values: a bitmap of their low bits, then the sorted values."""
+def prints(hashes: np.ndarray, n: int, width: int, k: int) -> np.ndarray:
+    """Fingerprint of each window of n words, from the words' hashes."""
+    return sliding_min(gram_hashes(hashes, k), width - k + 1) if n == width else gram_hashes(hashes, n)
 
-    values: np.ndarray
-    bitmap: np.ndarray = field(init=False)
 
-    def __post_init__(self) -> None:
-        self.values = np.unique(self.values)
-        self.bitmap = np.zeros(1 << BITS, dtype=bool)
-        self.bitmap[(self.values & np.uint64((1 << BITS) - 1)).astype(np.int64)] = True
+def line(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: int, n: int) -> str:
+    """The n words from the word at on, joined by spaces."""
+    return b" ".join([buf[s:e].tobytes() for s, e in zip(starts[at : at + n].tolist(), ends[at : at + n].tolist(), strict=True)]).decode("utf-8", "replace")
 
-    def where(self, hashes: np.ndarray) -> np.ndarray:
-        """Places in hashes whose value is in the set."""
-        maybe = np.flatnonzero(self.bitmap[(hashes & np.uint64((1 << BITS) - 1)).astype(np.int64)])
-        if not len(maybe):
-            return maybe
-        at = np.minimum(np.searchsorted(self.values, hashes[maybe]), len(self.values) - 1)
-        return maybe[self.values[at] == hashes[maybe]]
 
+def benchmark_windows(benchmark: DataFrame, width: int, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(n, fp, win, item_id) of each window of each item."""
+    items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), utf8(F.col(text_col).cast("string")).alias("raw")).filter("item_id is not null and raw is not null")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: set[tuple[int, int, str, str]] = set()
+        for item_id, raw in zip(batch.column("item_id").to_pylist(), batch.column("raw").to_pylist(), strict=True):
+            buf, starts, ends, _ = word_table([raw], ALNUM)
+            n = min(width, len(starts))
+            if n:
+                fps = prints(span_hashes(buf, starts, ends), n, width, k).view(np.int64)
+                out |= {(n, fp, line(buf, starts, ends, i, n), item_id) for i, fp in enumerate(fps.tolist())}
+        return pa.RecordBatch.from_pylist([dict(zip(("n", "fp", "win", "item_id"), x, strict=True)) for x in out], pa.schema([("n", pa.int32()), ("fp", pa.int64()), ("win", pa.string()), ("item_id", pa.string())]))
 
-@dataclass
-class Index:
-    """Windows of one block of the benchmark."""
+    return map_batches(items, run, "n int, fp long, win string, item_id string", by="raw", most=1 << 20).distinct()
 
-    width: int
-    k: int
-    prints: Lookup  # fingerprints of whole windows
-    by_length: dict[int, Lookup]  # window hashes
-    items: dict[bytes, tuple[str, ...]]  # window, its words joined by spaces: item ids
 
+def bitmap(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """Bits of the fingerprints that windows has, and the lengths of windows there are."""
+    n = windows.agg(F.approx_count_distinct("fp")).first()[0]
+    bits = min(FILTER_BITS, max(6, (256 * n).bit_length()))
+    at = F.col("fp").bitwiseAND(F.lit((1 << bits) - 1))
+    words = windows.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(fp & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out, sorted(r.n for r in windows.select("n").distinct().collect())  # at most width
 
-def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return word_table([raw], ALNUM)[:3]
 
+def passing(fps: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Places of fingerprints whose bit is set."""
+    at = fps & np.uint64(64 * len(bits) - 1)
+    return np.flatnonzero(bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1))
 
-def build_index(items: list[tuple[str, bytes]], width: int = WIDTH, k: int = K) -> Index:
-    prints, lengths, owners = [], defaultdict(list), defaultdict(set)
-    for item_id, raw in items:
-        buf, starts, ends = words_of(raw)
-        if not len(starts):
-            continue
-        n = min(width, len(starts))
+
+def candidates(raws: list[bytes], bits: np.ndarray, lengths: list[int], width: int, k: int) -> Iterator[tuple[int, list[dict]]]:
+    """Of each text: its words, and its distinct windows that pass the bitmap, with their places."""
+    for lo, hi in chunked(raws):
+        buf, starts, ends, bounds = word_table(raws[lo:hi], ALNUM)
         hashes = span_hashes(buf, starts, ends)
-        lengths[n].append(gram_hashes(hashes, n))
-        if n == width:
-            prints.append(sliding_min(gram_hashes(hashes, k), width - k + 1))
-        line = [buf[s:e].tobytes() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-        for i in range(len(line) - n + 1):
-            owners[b" ".join(line[i : i + n])].add(item_id)
-    empty = np.empty(0, dtype=np.uint64)
-    return Index(width, k, Lookup(np.concatenate(prints or [empty])), {n: Lookup(np.concatenate(h)) for n, h in lengths.items()}, {w: tuple(sorted(x)) for w, x in owners.items()})
-
-
-def find(raws: list[bytes], index: Index) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
-    """For each text: its words, merged [start, end) ranges of words that are hit, ids of items with a window in it."""
-    buf, starts, ends, bounds = word_table(raws, ALNUM)
-    hashes = span_hashes(buf, starts, ends)
-    doc_end = np.repeat(bounds[1:], np.diff(bounds))  # of each word
-    hits: dict[int, list[tuple[int, int, tuple[str, ...]]]] = defaultdict(list)
-    for n, windows in index.by_length.items():
-        if len(hashes) < n:
-            continue
-        if n == index.width:  # winnowing, then the windows of the hits
-            at = index.prints.where(sliding_min(gram_hashes(hashes, index.k), n - index.k + 1))
-            full = np.zeros(len(at), dtype=np.uint64)
-            from_hash = np.lib.stride_tricks.sliding_window_view(hashes, n)
-            for i in range(0, len(at), 1 << 15):
-                part = from_hash[at[i : i + (1 << 15)]]
-                full[i : i + (1 << 15)] = gram_hashes(part.reshape(-1), n)[::n] if len(part) else full[:0]
-            at = at[windows.where(full)]
-        else:
-            at = windows.where(gram_hashes(hashes, n))
-        at = at[at + n <= doc_end[at]] if len(at) else at
-        docs = np.searchsorted(bounds, at, side="right") - 1
-        for p, d in zip(at.tolist(), docs.tolist(), strict=True):
-            line = b" ".join(buf[s:e].tobytes() for s, e in zip(starts[p : p + n].tolist(), ends[p : p + n].tolist(), strict=True))
-            if owners := index.items.get(line):
-                hits[d].append((p - int(bounds[d]), p - int(bounds[d]) + n, owners))
-    out = []
-    for d, n_words in enumerate(np.diff(bounds).tolist()):
-        own = sorted(hits.get(d, ()))
-        out.append((n_words, merged((s, e) for s, e, _ in own), {x for *_, ids in own for x in ids}))
-    return out
+        doc_end = np.repeat(bounds[1:], np.diff(bounds))  # of each word
+        found: dict[int, dict[tuple[int, int, str], list[int]]] = defaultdict(dict)
+        for n in lengths:
+            fps = prints(hashes, n, width, k)
+            at = passing(fps, bits)
+            at = at[at + n <= doc_end[at]] if len(at) else at
+            for p, d, fp in zip(at.tolist(), (np.searchsorted(bounds, at, side="right") - 1).tolist(), fps[at].view(np.int64).tolist(), strict=True):
+                found[d].setdefault((n, fp, line(buf, starts, ends, p, n)), []).append(p - int(bounds[d]))
+        for d, n_words in enumerate(np.diff(bounds).tolist()):
+            yield n_words, [{"n": n, "fp": fp, "win": win, "starts": own} for (n, fp, win), own in found.get(d, {}).items()]
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -139,70 +113,48 @@ def merged(spans) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[int, Iterator[list[tuple[str, bytes]]]]:
-    """How many blocks of about block_bytes the benchmark has, and their items, each block read to the driver when it is asked for."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), utf8(F.col(text_col).cast("string")).alias("raw")).filter("item_id is not null and raw is not null")
-    total = items.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
-    n = max(1, math.ceil(total / block_bytes))
-    block = F.pmod(F.xxhash64("item_id", "raw"), F.lit(n))
-    return n, ([(r.item_id, bytes(r.raw)) for r in items.filter(block == i).collect()] for i in range(n))
-
-
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, k: int = K, block_bytes: int = BLOCK_BYTES,
+    docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, k: int = K,
     id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, n_words, spans, items): spans are the ranges of words that are hit, items the sorted ids of the items found."""
-    spark = docs.sparkSession
+    windows = stored(benchmark_windows(benchmark, width, k, item_id_col, item_text_col))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(windows))
+
+    def search(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, found = zip(*candidates([t or b"" for t in batch.column("raw").to_pylist()], *shared.value, width, k), strict=True)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(found, pa.list_(CANDIDATE))], ["doc_id", "n_words", "found"])
+
     raws = id_text(docs, id_col, text_col).select("doc_id", utf8("text").alias("raw"))
-    schema = "doc_id long, key binary, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
-    span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def one_pass(i: int, items: list[tuple[str, bytes]], keyed: bool) -> DataFrame:
-        index = spark.sparkContext.broadcast(build_index(items, width, k))
-
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [t or b"" for t in batch.column("raw").to_pylist()]
-            found = [x for lo, hi in chunked(texts) for x in find(texts[lo:hi], index.value)]
-            key = [hashlib.md5(t).digest() if keyed else None for t in texts]
-            columns = [pa.array(key, pa.binary()), pa.array([n for n, *_ in found], pa.int64()), pa.array([[{"start": s, "end": e} for s, e in x] for _, x, _ in found], span_type), pa.array([sorted(x) for *_, x in found], pa.list_(pa.string()))]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "key", "n_words", "spans", "items"])
-
-        return map_batches(raws, run, schema).withColumn("first", F.lit(int(i == 0)))
-
-    n_blocks, parts = blocks(benchmark, item_id_col, item_text_col, block_bytes)
-    passes = [one_pass(i, items, n_blocks > 1) for i, items in enumerate(parts)]
-    if len(passes) == 1:
-        return passes[0].select("doc_id", "n_words", "spans", "items")
-    every = passes[0]
-    for other in passes[1:]:
-        every = every.unionByName(other.filter(F.size("items") > 0))
-    together = every.groupBy("doc_id", "key").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.sum("first").alias("rows"))
-    # repeated rows fell together; the first pass tells how many there were
-    together = together.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    searched = map_batches(raws, search, f"doc_id long, n_words long, found {CANDIDATES}", by="raw", most=4 << 20)
+    rows = stored(searched.withColumn("at", F.monotonically_increasing_id()))  # written once, so that a row keeps its number
+    asked = rows.filter(F.size("found") > 0).select("at", F.explode("found").alias("c")).select("at", "c.*")
+    hits = asked.join(windows, ["n", "fp", "win"]).groupBy("at").agg(F.collect_set(F.struct("n", "starts")).alias("hits"), F.array_sort(F.collect_set("item_id")).alias("items"))
 
     def join_spans(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spans = [[{"start": s, "end": e} for s, e in merged(sorted((x["start"], x["end"]) for x in row))] for row in batch.column("spans").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(spans, span_type), batch.column("items")], ["doc_id", "n_words", "spans", "items"])
+        spans = [merged(sorted((s, s + h["n"]) for h in row for s in h["starts"])) for row in batch.column("hits").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("at"), pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], pa.list_(SPAN)), batch.column("items")], ["at", "spans", "items"])
 
-    return map_batches(together.select("doc_id", "n_words", "spans", "items"), join_spans, "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
+    spans = map_batches(hits, join_spans, "at long, spans array<struct<start:long,end:long>>, items array<string>")
+    none = F.array().cast("array<struct<start:long,end:long>>"), F.array().cast("array<string>")
+    return rows.select("at", "doc_id", "n_words").join(spans, "at", "left").select("doc_id", "n_words", F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items"))
 
 
-def uncontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, k: int = K, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, k: int = K, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, in which no window of the benchmark occurs."""
-
-    def without(rows: DataFrame, items: list[tuple[str, bytes]]) -> DataFrame:
-        index = rows.sparkSession.sparkContext.broadcast(build_index(items, width, k))
-
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [(t or "").encode("utf-8") for t in batch.column(text_col).to_pylist()]
-            return batch.filter(pa.array([not ids for lo, hi in chunked(texts) for *_, ids in find(texts[lo:hi], index.value)], pa.bool_()))
-
-        return map_batches(rows, run, rows.schema)
-
-    for items in blocks(benchmark, item_id_col, item_text_col, block_bytes)[1]:
-        docs = without(docs, items)
-    return docs
+    windows = stored(benchmark_windows(benchmark, width, k, item_id_col, item_text_col))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(windows))
+
+    def search(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [x for _, x in candidates([t or b"" for t in batch.column("raw").to_pylist()], *shared.value, width, k)]
+        some = np.array([bool(x) for x in found])
+        return pa.RecordBatch.from_arrays([batch.column("digest").filter(pa.array(some)), pa.array([x for x in found if x], pa.list_(CANDIDATE))], ["digest", "found"])
+
+    digest = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))  # what decides is the text alone
+    raws = docs.select(digest.alias("digest"), utf8(F.col(text_col).cast("string")).alias("raw"))
+    asked = map_batches(raws, search, f"digest string, found {CANDIDATES}", by="raw", most=4 << 20).select("digest", F.explode("found").alias("c")).select("digest", "c.n", "c.fp", "c.win")
+    dirty = stored(asked.join(windows, ["n", "fp", "win"]).select(F.col("digest").alias("_digest")).distinct())
+    return docs.join(dirty, digest == F.col("_digest"), "left_anti")
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from test_near_dedup import brute_components
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -104,7 +105,7 @@ def test_simhash_links_are_all_found_once(spark):
 
 def test_one_of_each(odd):
     kept = [r.doc_id for r in simhash.one_of_each(odd).collect()]
-    want = {c for d, _, c in brute_simhash(ODD) if d is not None}
+    want = set(brute_components([(d, t) for d, t in ODD if d is not None]).values())
     assert sorted(x for x in kept if x is not None) == sorted(want) and kept.count(None) == 1
 
 
@@ -134,20 +135,26 @@ def brute_contamination(items, bench):
     return sorted(out, key=repr)
 
 
+def test_decontamination_with_a_full_bitmap(spark, monkeypatch, docs):
+    """A bitmap of 64 bits lets nearly everything through: the join alone decides."""
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 6)
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    assert rows(decontaminate.report(decontaminate.contamination(docs, bench))) == brute_contamination(pairs(docs), items)
+
+
 def test_decontamination(spark, docs, odd, empty):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = [(r.item_id, r.text) for r in bench.collect()]
     want = brute_contamination(pairs(docs), items)
     assert any(r[-1] for r in want)
     assert rows(decontaminate.report(decontaminate.contamination(docs, bench))) == want
-    assert rows(decontaminate.report(decontaminate.contamination(docs, bench, block_bytes=2000))) == want  # several blocks
     clean = {d for d, *_, hit in want if not hit}
     assert {r.doc_id for r in decontaminate.uncontaminated(docs, bench).collect()} == clean
     short = [(1, "one"), (2, "B c d e"), (3, None), (4, "!!"), (None, "one"), (1, "k l m n o p a b c d e"), (10, "lorem ipsum dolor lorem ipsum dolor lorem ipsum dolor lorem")]
     other = spark.createDataFrame(short, "item_id long, text string")
     want = brute_contamination(ODD, short)
     assert rows(decontaminate.report(decontaminate.contamination(odd, other))) == want
-    assert rows(decontaminate.report(decontaminate.contamination(odd, other, block_bytes=10))) == want
     assert rows(decontaminate.contamination(empty, other)) == []
     assert all(not r.contaminated for r in decontaminate.report(decontaminate.contamination(odd, other.filter("false"))).collect())
 
@@ -493,7 +500,7 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
     items = [(d, t) for d, t in pairs(docs) if t and re.search(r"[^\W\d_]", t)]
-    kept = {c for _, _, c in brute_simhash(items)}
+    kept = set(brute_components(items).values())
     items = [(d, t) for d, t in items if d in kept]
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     dirty = {d for d, *_, hit in brute_contamination(items, bench) if hit}
@@ -506,7 +513,7 @@ def test_pipeline(spark):
 
 
 def test_stages_keep_columns_and_odd_rows(spark, odd):
-    docs = odd.drop("words", "spans")
+    docs = odd.selectExpr("*", "1 as root", "2 as fp", "3 as node", "'a' as component_id", "'b' as digest", "'c' as raw", "4 as n_words")  # names that stages use inside
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
         assert out.dtypes == docs.dtypes, name
