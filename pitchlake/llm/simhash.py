@@ -46,9 +46,10 @@ WIDE_SHINGLE = 5
 LEAST = (4, 5)
 WIDE_WORDS = 6
 WIDE_MAX_BITS = 37
-#: Of 384 bits, 58 differ on average at similarity 0.8 (deviation 7), 192 by chance. Where up to SAME differ, one speaks for the other.
-PROPOSE = 86
-SAME = 6
+#: Of 384 bits, 58 differ on average at similarity 0.8 (deviation 6), 50 at 0.85, 192 by chance. Pairs up to NEAR come first,
+#: a leader with each; then, between components, all up to PROPOSE.
+NEAR = 50
+PROPOSE = 72
 WORD_SEEDS = mix(np.arange(1, WIDE_WORDS + 1, dtype=np.uint64))
 #: Shingles whose bits are counted at once, and rows of a group that are compared at once.
 PART = 1 << 14
@@ -192,88 +193,102 @@ def sketches(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("doc_id", utf8("text").alias("raw")), run, f"doc_id long, node long, {', '.join(f'{f} long' for f in FP)}", by="raw")
 
 
+NODE = ["node", "root", "size", *FP]
+NODE_SCHEMA = ", ".join(f"{c} long" for c in NODE)
+
+
 def keyed_halves(nodes: DataFrame) -> DataFrame:
-    """(key, node, f0..): each node once for each half of each segment; key holds the half's number and bits."""
+    """(key, *NODE): each node once for each half of each segment; key holds the half's number and bits."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.stack([batch.column(f).to_numpy() for f in FP], axis=1).view(np.uint64)
         key = np.concatenate([segment_bits(fps, at, n).astype(np.int64) | h << 32 for h, (at, n, _, _) in enumerate(HALVES)])
-        every = pa.array(np.tile(np.arange(batch.num_rows), len(HALVES)))
-        rows = batch.select(["node", *FP]).take(every)
-        return pa.RecordBatch.from_arrays([pa.array(key), *rows.columns], ["key", "node", *FP])
+        rows = batch.take(pa.array(np.tile(np.arange(batch.num_rows), len(HALVES))))
+        return pa.RecordBatch.from_arrays([pa.array(key), *rows.columns], ["key", *NODE])
+
+    return map_batches(nodes.select(*NODE), run, f"key long, {NODE_SCHEMA}")
 
-    return map_batches(nodes.select("node", *FP), run, f"key long, node long, {', '.join(f'{f} long' for f in FP)}")
+
+def first_half(diff: np.ndarray) -> np.ndarray:
+    """Of differences between fingerprints that share a variant: the first half under which they do."""
+    out = np.full(len(diff), len(HALVES), dtype=np.int64)
+    for h in range(len(HALVES) - 1, -1, -1):
+        at, n, other, m = HALVES[h]
+        out[(segment_bits(diff, at, n) == 0) & (np.bitwise_count(segment_bits(diff, other, m)) <= 1)] = h
+    return out
 
 
-def near_pairs(half: int, nodes: np.ndarray, fps: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """(pairs of nodes that share a variant and differ in PROPOSE bits at most, rows that no other speaks for).
+def near_pairs(half: int, rows: np.ndarray, star: bool) -> list[np.ndarray]:
+    """Pairs of nodes that share a variant and nearly agree as a whole. rows are (node, root, size, fingerprint) in order of (size, root, node).
 
-    The nodes share a half; a variant is the other half with one bit left out. Under each variant, the first node is
-    compared with the rest, and then leaves with those that are all but equal to it, until none is left.
+    All share a half; a variant is the other half with one bit left out. Under each variant, the first row leads: it is
+    compared with the rest and leaves, until none is left. As a star, those within NEAR bits of it are its pairs and leave
+    with it, so that there are no more pairs than rows. Else its pairs are those of other roots within PROPOSE bits, and a
+    variant is through when all that are left have one root: the largest component is only ever compared with.
     """
+    node, root, fps = rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 3:]).view(np.uint64)
     _, _, at, n = HALVES[half]
     rest = segment_bits(fps, at, n)
     variant = np.concatenate([(rest & ~np.uint64(1 << b)) | np.uint64(b << 32) for b in range(n)])
-    row = np.tile(np.arange(len(nodes)), n)
+    row = np.tile(np.arange(len(node)), n)
     by = np.argsort(variant, kind="stable")
     variant, row = variant[by], row[by]
-    found, spoken = [], np.zeros(len(nodes), dtype=np.int64)
+    found = []
     while len(row):
         first = np.flatnonzero(np.concatenate(([True], variant[1:] != variant[:-1])))
         sizes = np.diff(np.append(first, len(row)))
-        keep = np.repeat(sizes > 1, sizes)  # a node alone has nobody left to be compared with
-        if not keep.any():
+        open_ = sizes > 1 if star else root[row[first]] != root[row[first + sizes - 1]]
+        keep = np.repeat(open_, sizes)
+        variant, row, sizes = variant[keep], row[keep], sizes[open_]
+        if not len(row):
             break
-        variant, row = variant[keep], row[keep]
-        sizes = sizes[sizes > 1]
         first = np.cumsum(sizes) - sizes
         lead = np.repeat(row[first], sizes)
         bits = np.bitwise_count(fps[row] ^ fps[lead]).sum(axis=1, dtype=np.int64)
-        near = (bits <= PROPOSE) & (row != lead)
-        found.append(np.stack([nodes[lead[near]], nodes[row[near]]]))
-        same = bits <= SAME  # the leader itself, too
-        np.add.at(spoken, row[same & (row != lead)], 1)
-        variant, row = variant[~same], row[~same]
-    return found, spoken < n
-
-
-def proposed(nodes: DataFrame) -> DataFrame:
-    """(a, b) with a < b: pairs of nodes(node, f0..) whose fingerprints agree on a variant and nearly agree as a whole; some come twice."""
+        near = (bits <= NEAR) & (row != lead) if star else (bits <= PROPOSE) & (root[row] != root[lead])
+        pair = np.unique(np.stack([lead[near], row[near]]), axis=1)
+        if not star:  # the two meet under each half that they share: it is told once
+            pair = pair[:, first_half(fps[pair[0]] ^ fps[pair[1]]) == half]
+        found.append(node[pair])
+        left = row != lead
+        if star:
+            left &= ~near
+        variant, row = variant[left], row[left]
+    return found
+
+
+def proposed(nodes: DataFrame, star: bool) -> DataFrame:
+    """(a, b) with a < b: near_pairs() of nodes(*NODE); some come several times."""
+
+    def out(found: list[np.ndarray]) -> pa.RecordBatch:
+        ab = np.sort(np.concatenate([np.empty((2, 0), dtype=np.int64), *found], axis=1), axis=0)
+        ab = np.unique(ab, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def settle(key: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
-            ids, fps = np.concatenate([p for p, _ in parts]), np.concatenate([f for _, f in parts])
-            found, left = near_pairs(key >> 32, ids, fps)
-            return found, [(ids[left], fps[left])]
-
-        def out(found: list[np.ndarray]) -> pa.RecordBatch:
-            ab = np.sort(np.concatenate(found, axis=1), axis=0) if found else np.empty((2, 0), dtype=np.int64)
-            ab = np.unique(ab, axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], ["a", "b"])
-
-        at, parts, size = None, [], 0
+        at, held = None, np.empty((0, len(NODE)), dtype=np.int64)
         for batch in batches:
-            key, ids = batch.column("key").to_numpy(), batch.column("node").to_numpy()
-            fps = np.stack([batch.column(f).to_numpy() for f in FP], axis=1).view(np.uint64)
+            key = batch.column("key").to_numpy()
+            rows = np.stack([batch.column(c).to_numpy() for c in NODE], axis=1)
             edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))).tolist()
-            pairs: list[np.ndarray] = []
-            for lo, hi in zip(edges, [*edges[1:], len(key)], strict=True):
+            found: list[np.ndarray] = []
+            for lo, hi in zip(edges, [*edges, len(key)][1:], strict=True):
                 if key[lo] != at:
-                    if size > 1:
-                        pairs += settle(at, parts)[0]
-                    at, parts, size = int(key[lo]), [], 0
+                    if len(held) > 1:
+                        found += near_pairs(at >> 32, held, star)
+                    at, held = int(key[lo]), held[:0]
                 for i in range(lo, hi, GROUP_ROWS):
-                    parts.append((ids[i : min(hi, i + GROUP_ROWS)], fps[i : min(hi, i + GROUP_ROWS)]))
-                    size += len(parts[-1][0])
-                    if size > GROUP_ROWS:  # a large group goes by in parts; those that speak for the rest stay
-                        found, parts = settle(at, parts)
-                        pairs += found
-                        size = len(parts[0][0])
-            yield out(pairs)
-        if size > 1:
-            yield out(settle(at, parts)[0])
+                    held = np.concatenate((held, rows[i : min(hi, i + GROUP_ROWS)]))
+                    if len(held) > 2 * GROUP_ROWS:  # a large group goes by in parts: its leaders stay, or all but its largest component
+                        part = near_pairs(at >> 32, held, star)
+                        found += part
+                        spoken = np.unique(np.concatenate([p[1] for p in part])) if star and part else held[:0, 0]
+                        held = held[~np.isin(held[:, 0], spoken)] if star else held[held[:, 1] != held[-1, 1]]
+            yield out(found)
+        if len(held) > 1:
+            yield out(near_pairs(at >> 32, held, star))
 
-    return keyed_halves(nodes).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return keyed_halves(nodes).repartition("key").sortWithinPartitions("key", "size", "root", "node").mapInArrow(run, "a long, b long")
 
 
 def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -303,10 +318,18 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     docs = id_text(docs, id_col, text_col).filter("doc_id is not null")
     sketched = stored(sketches(docs))
     nodes = stored(sketched.groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.min(f).alias(f) for f in FP]))
-    pairs = stored(proposed(nodes.filter("node != 0")).distinct())
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    shingles = stored(contents(docs, nodes.join(ends, "node").select(F.col("rep").alias("doc_id"), "node")))
-    label = connected_components(cut(verified(pairs, shingles)), "a", "b")  # (node, root), linked ones only
+
+    def links(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        shingles = stored(contents(docs, nodes.join(ends, "node").select(F.col("rep").alias("doc_id"), "node")))
+        return cut(verified(pairs, shingles))
+
+    some = nodes.filter("node != 0")
+    label = connected_components(links(stored(proposed(some.select("*", F.col("node").alias("root"), F.lit(1).cast("long").alias("size")), star=True).distinct())), "a", "b")
+    sizes = label.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    placed = some.join(label.join(sizes, "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("size", F.lit(1)).cast("long").alias("size"), *FP)
+    more = links(stored(proposed(placed, star=False).distinct()))
+    label = connected_components(label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b")  # (node, root), linked ones only
     rooted = nodes.join(label, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_node = rooted.join(smallest, "root").select("node", "component_id")
