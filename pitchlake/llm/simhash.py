@@ -113,9 +113,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         return F.shiftrightunsigned(rest, at) + F.lit(v << wide)
 
     keyed = fps.select("fp", F.explode(F.array(*[variant(v, s, bit) for v, (s, bit) in enumerate(variants)])).alias("key"))
-    a, b = keyed.select(F.col("fp").alias("a"), "key"), keyed.select(F.col("fp").alias("b"), F.col("key").alias("key_b"))
-    diff = F.col("a").bitwiseXOR(F.col("b"))
-    v = F.shiftright("key", wide)
+    a, b = F.col("a.fp"), F.col("b.fp")  # both sides are one plan, so that it is shuffled once
+    diff = a.bitwiseXOR(b)
+    v = F.shiftright("a.key", wide)
     in_seg = [diff.bitwiseAND(F.lit(signed(m))) for m in masks]
     once = F.lit(False)
     for s in range(len(segs)):
@@ -123,7 +123,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         for t in range(s):
             here &= F.bit_count(in_seg[t]) > 1
         once |= here
-    return a.join(b, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.bit_count(diff) <= max_bits) & once).select("a", "b")
+    met = keyed.alias("a").join(keyed.alias("b"), (F.col("a.key") == F.col("b.key")) & (a < b) & (F.bit_count(diff) <= max_bits) & once)
+    return met.select(a.alias("a"), b.alias("b"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
