@@ -22,7 +22,7 @@ def frames(tracking: DataFrame, roster: DataFrame) -> DataFrame:
     player = F.struct("player_id", "team", F.coalesce("is_gk", F.lit(False)).alias("is_gk"), "x", "y")
     return t.groupBy(*FRAME).agg(
         F.max("fps").alias("fps"), F.max("t_ms").alias("t_ms"), F.max(F.when(F.col("team") == "ball", ball)).alias("ball"),
-        F.collect_list(F.when(F.col("team") != "ball", player)).alias("players"),
+        F.sort_array(F.collect_list(F.when(F.col("team") != "ball", player))).alias("players"),  # by player: sums of doubles over it do not depend on the shuffle
     )
 
 

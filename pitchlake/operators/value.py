@@ -7,10 +7,12 @@ far as the weights do.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitchlake.functions.geometry import ms_to_frames, sigmoid
+from pitchlake.functions.geometry import goal_distance, in_box, ms_to_frames, sigmoid
 from pitchlake.operators.windows import ENTITY_FEATURES, FEATURES, oriented, with_features
 from pitchlake.params import DEFAULT, FRAME, Params
 
@@ -18,11 +20,12 @@ V1 = {"": -2.0, "ball_x": 0.02, "ball_speed": 0.005, "goal_dist": -0.05, "att_x"
 V2 = {"": -2.0, "deepest_x": 0.03, "nearest_goal": -0.04, "beyond": 0.4, "goal_dist": -0.02}
 
 
-def logistic(weights: dict[str, float]) -> Column:
+def logistic(weights: dict[str, float], column: Callable[[str], str] = str) -> Column:
+    """Of the features by name; column gives the column that has a feature."""
     z = F.lit(weights[""])
     for name, w in weights.items():
         if name:
-            z = z + w * F.coalesce(F.col(name), F.lit(0.0))
+            z = z + w * F.coalesce(F.col(column(name)), F.lit(0.0))
     return sigmoid(z)
 
 
@@ -53,30 +56,40 @@ def counterfactuals(runs: DataFrame, frames: DataFrame, direction: DataFrame, dr
 
     runs has x_start and y_start (run_geometry()). Frozen: the runner stays at the
     start; drift: goes on with the velocity before, within the pitch. Null where
-    the window is not whole. The three variants are made in one pass over the frames.
+    the window is not whole. Only the runner changes: what the others add up to is
+    worked out once a frame, and each variant adds its runner to it.
     """
     wide = ms_to_frames(p.window_ms, F.col("fps"))
     r = runs.select("run_id", "match_id", "period", "player_id", "team", F.col("fps").alias("rate"), "f_start", "x_start", "y_start", wide.alias("wide"), F.explode(F.sequence(F.col("f_end") - wide + 1, F.col("f_end"))).alias("frame")).join(drift, "run_id")
     df = oriented(r.join(frames.select(*FRAME, "ball", "players"), list(FRAME)), direction, p)
+    mine = lambda q: (q["player_id"] == F.col("player_id")) & (q["team"] == F.col("team"))
+    others = F.filter("players", lambda q: ~mine(q))
+    df = df.withColumn("_me", F.get(F.filter("players", lambda q: mine(q) & ~q["is_gk"]), 0)).withColumn("players", others)
+    df = with_features(df.withColumn("_n", F.size(F.filter("players", lambda q: (q["team"] == F.col("team")) & ~q["is_gk"]))).withColumn("_line", F.array_max(F.transform(F.filter("players", lambda q: (q["team"] != F.col("team")) & ~q["is_gk"]), lambda q: q["x"]))), p)
     after = (F.col("frame") - F.col("f_start")) / F.col("rate")
     clamp = lambda c, most: F.least(F.greatest(c, F.lit(0.0)), F.lit(most))
     edits = {
-        "actual": None,
+        "actual": (F.col("_me.x"), F.col("_me.y")),
         "frozen": (F.col("x_start"), F.col("y_start")),
         "drift": (clamp(F.col("x_start") + F.col("drift_x") * after, p.pitch_length), clamp(F.col("y_start") + F.col("drift_y") * after, p.pitch_width)),
     }
-
-    def edited(xy: tuple[Column, Column] | None) -> Column:
-        if xy is None:
-            return F.col("players")
-        me = lambda q: (q["player_id"] == F.col("player_id")) & (F.col("frame") >= F.col("f_start"))
-        return F.transform("players", lambda q: F.struct(q["player_id"].alias("player_id"), q["team"].alias("team"), q["is_gk"].alias("is_gk"), F.when(me(q), xy[0]).otherwise(q["x"]).alias("x"), F.when(me(q), xy[1]).otherwise(q["y"]).alias("y")))
-
-    df = df.withColumn("edit", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), edited(xy).alias("players")) for name, xy in edits.items()])))
-    df = with_features(df.select("run_id", "wide", "team", "ball_x", "ball_y", "ball_speed", F.col("edit.name").alias("variant"), F.col("edit.players").alias("players")), p)
-    state = df.groupBy("run_id", "variant").agg(F.first("wide").alias("wide"), F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in (*FEATURES, *ENTITY_FEATURES)])
-    state = state.select("run_id", "variant", *[F.when(F.col("n") == F.col("wide"), logistic(w)).alias(name) for name, w in (("v1", V1), ("v2", V2))])
-    wide_row = state.groupBy("run_id").agg(*[F.max(F.when(F.col("variant") == name, F.col(v))).alias(f"{v}_{name}") for v in ("v1", "v2") for name in edits])
+    there, n = F.col("_me").isNotNull(), F.col("_n")
+    own: dict[str, dict[str, Column]] = {}
+    for name, xy in edits.items():
+        x, y = (F.when(F.col("frame") >= F.col("f_start"), c).otherwise(F.col(f"_me.{axis}")) for axis, c in zip("xy", xy, strict=True))
+        whole = lambda total, me: F.when(there, (F.coalesce(total * n, F.lit(0.0)) + me) / (n + 1)).otherwise(total)
+        own[name] = {
+            "att_x": whole(F.col("att_x"), x),
+            "att_in_box": F.col("att_in_box") + F.when(there & in_box(x, y, p), 1.0).otherwise(0.0),
+            "deepest_x": F.greatest("deepest_x", F.when(there, x)),
+            "beyond": F.col("beyond") + F.when(there & (x > F.col("_line")), 1.0).otherwise(0.0),
+            "nearest_goal": F.least("nearest_goal", F.when(there, goal_distance(x, y, p))),
+        }
+    common = [c for c in {**V1, **V2} if c and c not in own["actual"]]
+    cells = df.select("run_id", "wide", *common, *[c.alias(f"{c_name}_{name}") for name, cs in own.items() for c_name, c in cs.items()])
+    state = cells.groupBy("run_id").agg(F.first("wide").alias("wide"), F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in cells.columns if c not in ("run_id", "wide")])
+    values = {f"{v}_{name}": F.when(F.col("n") == F.col("wide"), logistic(weights, lambda c, name=name: f"{c}_{name}" if c in own[name] else c)) for v, weights in (("v1", V1), ("v2", V2)) for name in edits}
+    wide_row = state.select("run_id", *[c.alias(name) for name, c in values.items()])
     gains = [(F.col(f"{v}_actual") - F.col(f"{v}_{name}")).alias(f"cf_gain_{v}_{name}") for v in ("v1", "v2") for name in ("frozen", "drift")]
     return runs.select("run_id").join(wide_row.select("*", *gains), "run_id", "left")
 

@@ -86,34 +86,48 @@ def window_sequences(windows: DataFrame, features: DataFrame) -> DataFrame:
     return df.groupBy(*WINDOW, "team", "fps", "w_end").agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["v"]).alias("seq"))
 
 
+def frame_flags(frames: DataFrame, direction: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """(match_id, period, team, frame) with in_box (the ball is in the box that team attacks) and past_line (the ball is past its last line)."""
+    df = oriented(frames.select(*FRAME, "ball", "players", F.explode(F.array(F.lit("home"), F.lit("away"))).alias("team")), direction, p)
+    rear = F.get(F.sort_array(F.transform(F.filter("players", lambda q: q["team"] != F.col("team")), lambda q: q["x"]), asc=False), 1)
+    return df.select(*FRAME, "team", in_box(F.col("ball_x"), F.col("ball_y"), p).alias("in_box"), (F.col("ball_x") > rear).alias("past_line"))
+
+
 def window_labels(windows: DataFrame, frames: DataFrame, direction: DataFrame, shots: DataFrame, matches: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Windows with shot (null where the match has no shot events), box_entry and line_break within the horizon after their end."""
+    """Windows with shot (null where the match has no shot events), box_entry and line_break within the horizon after their end.
+
+    What can happen in a frame is three flags, worked out once a frame and team; only they and frame numbers meet the windows.
+    """
     ahead = ms_to_frames(p.horizon_ms, F.col("fps"))
-    w = windows.select(*WINDOW, "team", "fps", "w_end").withColumn("frame", F.explode(F.sequence(F.col("w_end") + 1, F.col("w_end") + ahead)))
-    state = oriented(w.join(frames.select(*FRAME, "ball", "players"), list(FRAME), "left"), direction, p)
-    rear = F.get(F.sort_array(F.transform(F.filter("players", lambda q: q["team"] != F.col("team")), lambda q: q["x"]), asc=False), 1)
-    hit = state.groupBy(*WINDOW).agg(F.coalesce(F.max(in_box(F.col("ball_x"), F.col("ball_y"), p)), F.lit(False)).alias("box_entry"), F.coalesce(F.max(F.col("ball_x") > rear), F.lit(False)).alias("line_break"))
-    s = w.join(shots.select(*FRAME, "team").distinct().withColumn("hit", F.lit(True)), [*FRAME, "team"], "left").groupBy(*WINDOW).agg(F.coalesce(F.max("hit"), F.lit(False)).alias("shot"))
-    df = windows.join(hit, list(WINDOW), "left").join(s, list(WINDOW), "left").join(matches.select("match_id", "has_shots"), "match_id", "left")
-    return df.withColumn("shot", F.when(F.col("has_shots"), F.col("shot"))).drop("has_shots")
+    flags = frame_flags(frames, direction, p).filter("in_box or past_line").select(*FRAME, "team", "in_box", "past_line", F.lit(False).alias("hit"))
+    hits = shots.select(*FRAME, "team").distinct().select(*FRAME, "team", F.lit(False).alias("in_box"), F.lit(False).alias("past_line"), F.lit(True).alias("hit"))
+    w = windows.select(*WINDOW, "team", F.explode(F.sequence(F.col("w_end") + 1, F.col("w_end") + ahead)).alias("frame"))
+    seen = w.join(flags.unionByName(hits), [*FRAME, "team"]).groupBy(*WINDOW).agg(F.max("in_box").alias("box_entry"), F.max("past_line").alias("line_break"), F.max("hit").alias("shot"))
+    df = windows.join(seen, list(WINDOW), "left").join(matches.select("match_id", "has_shots"), "match_id", "left")
+    known = df.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("box_entry", "line_break", "shot")})
+    return known.withColumn("shot", F.when(F.col("has_shots"), F.col("shot"))).drop("has_shots")
 
 
-def node_matrix(frames: DataFrame, framed: DataFrame, direction: DataFrame, tracking: DataFrame, p: Params = DEFAULT) -> DataFrame:
+def node_matrix(framed: DataFrame, direction: DataFrame, tracking: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """(match_id, period, frame, possession_id, nodes): 23 x 8 node features as a flat array in slot order; null if a team has fewer than team_size players.
 
-    A node is x, y, vx, vy, speed, in attack, is ball, distance to the ball, normalised to the attack.
+    A node is x, y, vx, vy, speed, in attack, is ball, distance to the ball, normalised to the attack. One grouping
+    brings a frame's rows together; the ball is found inside the row.
     """
     held = framed.select(*FRAME, "possession_id", F.col("team").alias("attack"))
-    ball = tracking.filter("team = 'ball'").select(*FRAME, F.col("x").alias("bx"), F.col("y").alias("by"))
-    t = tracking.join(held, list(FRAME)).join(ball, list(FRAME)).join(direction.withColumnRenamed("team", "attack"), ["match_id", "period", "attack"])
-    sign = F.col("attack_sign")
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    node = F.array(
-        attack_x(F.col("x"), sign, p), attack_y(F.col("y"), sign, p), zero(F.col("vx") * sign), zero(F.col("vy") * sign), zero(F.col("speed")),
-        (F.col("team") == F.col("attack")).cast("double"), (F.col("team") == "ball").cast("double"), length(F.col("x") - F.col("bx"), F.col("y") - F.col("by")),
-    )
-    slot = F.when(F.col("team") == F.col("attack"), 0).when(F.col("team") != "ball", 1).otherwise(2)
-    g = t.groupBy(*FRAME, "possession_id").agg(F.array_sort(F.collect_list(F.struct(slot.alias("slot"), "player_id", node.alias("node")))).alias("rows"))
+    row = F.struct("team", "player_id", "x", "y", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("vx", "vy", "speed")])
+    g = tracking.groupBy(*FRAME).agg(F.collect_list(row).alias("all")).join(held, list(FRAME)).join(direction.withColumnRenamed("team", "attack"), ["match_id", "period", "attack"])
+    sign, ball = F.col("attack_sign"), F.col("ball")
+    g = g.withColumn("ball", F.get(F.filter("all", lambda r: r["team"] == "ball"), 0))
+
+    def node(r: Column) -> Column:
+        return F.array(
+            attack_x(r["x"], sign, p), attack_y(r["y"], sign, p), r["vx"] * sign, r["vy"] * sign, r["speed"],
+            (r["team"] == F.col("attack")).cast("double"), (r["team"] == "ball").cast("double"), length(r["x"] - ball["x"], r["y"] - ball["y"]),
+        )
+
+    slot = lambda r: F.when(r["team"] == F.col("attack"), 0).when(r["team"] != "ball", 1).otherwise(2)
+    g = g.withColumn("rows", F.array_sort(F.transform("all", lambda r: F.struct(slot(r).alias("slot"), r["player_id"].alias("player_id"), node(r).alias("node")))))
     count = lambda s: F.size(F.filter("rows", lambda r: r["slot"] == s))
     whole = (count(0) == p.team_size) & (count(1) == p.team_size) & (count(2) == 1)
     return g.select(*FRAME, "possession_id", F.when(whole, F.flatten(F.transform("rows", lambda r: r["node"]))).alias("nodes"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -64,7 +65,7 @@ def speed_by_player(spark, sf_dir):
 @query("SELECT CASE WHEN match_id % 4 = 3 THEN 'optical' ELSE 'broadcast' END AS source, count(DISTINCT match_id) AS n_matches, count(*) AS n_rows FROM tracking GROUP BY ALL")
 def rows_by_source(spark, sf_dir):
     t = from_events(spark, sf_dir)
-    return t.tracking.join(F.broadcast(t.matches.select("match_id", "source")), "match_id").groupBy("source").agg(F.count_distinct("match_id").alias("n_matches"), F.count(F.lit(1)).alias("n_rows"))
+    return t.tracking.join(t.matches.select("match_id", "source"), "match_id").groupBy("source").agg(F.count_distinct("match_id").alias("n_matches"), F.count(F.lit(1)).alias("n_rows"))
 
 
 @query(f"SELECT {oracle.F3}, n_home, n_away FROM (SELECT {oracle.F3}, count(*) FILTER (team = 'home') AS n_home, count(*) FILTER (team = 'away') AS n_away FROM tracking WHERE NOT (player_id = 3 AND frame % 7 = 0) GROUP BY ALL) WHERE n_home < 11 OR n_away < 11")
@@ -160,7 +161,7 @@ def window_sequences(spark, sf_dir):
  sum(sqrt((k.x - ballx) * (k.x - ballx) + (k.y - bally) * (k.y - bally))) AS to_ball FROM framed f JOIN kin k USING (match_id, period, frame) JOIN ball b USING (match_id, period, frame) JOIN side s ON s.match_id = f.match_id AND s.period = f.period AND s.team = f.team GROUP BY ALL) GROUP BY match_id""")
 def node_matrices(spark, sf_dir):
     p = stored_plan(spark, sf_dir)
-    n = windows.node_matrix(p.frames, p.framed, p.t.direction, p.kin).filter("nodes is not null")
+    n = windows.node_matrix(p.framed, p.t.direction, p.kin).filter("nodes is not null")
     part = lambda i: F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(22)), lambda k: F.get("nodes", k * 8 + i)), F.lit(0.0), lambda a, x: a + x)
     return n.groupBy("match_id").agg(F.count(F.lit(1)).alias("n_frames"), F.round(F.sum(part(0)), 6).alias("sum_x"), F.round(F.sum(part(4)), 6).alias("sum_speed"), F.round(F.sum(part(7)), 6).alias("sum_to_ball"))
 
@@ -244,18 +245,10 @@ def match_split(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts).groupBy("part").agg(F.count_distinct("match_id").alias("n_matches"), F.count(F.lit(1)).alias("n_windows"))
 
 
-@query(f"""SELECT run_id, frame, round({oracle.logistic(oracle.V1)}, 6) AS v1 FROM (SELECT run_id, f AS frame, count(*) AS n, any_value(r.fps) AS fps, {oracle.MEANS} FROM (SELECT *, unnest(range(f_start, f_end + 1)) AS f FROM (SELECT * FROM runs ORDER BY distance DESC, run_id LIMIT 5)) r
- JOIN ff ON ff.match_id = r.match_id AND ff.period = r.period AND ff.possession_id = r.possession_id AND ff.frame BETWEEN f - 3 * r.fps + 1 AND f GROUP BY run_id, f) WHERE n = 3 * fps""")
-def probability_trace(spark, sf_dir):
-    p = stored_plan(spark, sf_dir)
-    t = value.probability_trace(search.ranked_report(p.runs, "distance", 5), p.features)
-    return t.select("run_id", "frame", *r6(t, "v1"))
-
-
 @query(f"""SELECT run_id, frame, round({oracle.logistic(oracle.V1)}, 6) AS v1 FROM (SELECT run_id, f AS frame, count(*) AS n, any_value(r.fps) AS fps, {oracle.MEANS} FROM (SELECT *, unnest(range(f_start, f_end + 1)) AS f FROM runs) r
  JOIN ff ON ff.match_id = r.match_id AND ff.period = r.period AND ff.possession_id = r.possession_id AND ff.frame BETWEEN f - 3 * r.fps + 1 AND f GROUP BY run_id, f) WHERE n = 3 * fps""")
-def probability_trace_all(spark, sf_dir):
-    """The trace of every run; probability_trace shows the longest ones only."""
+def probability_trace(spark, sf_dir):
+    """The value along every run."""
     p = stored_plan(spark, sf_dir)
     t = value.probability_trace(p.runs, p.features)
     return t.select("run_id", "frame", *r6(t, "v1"))
@@ -305,17 +298,10 @@ def run_explanations(spark, sf_dir):
     return stored_plan(spark, sf_dir).geometry.select("run_id", search.explain().alias("explanation"))
 
 
-@query("""SELECT g.run_id, t.frame, t.player_id, t.team, CASE WHEN t.player_id = g.player_id THEN 'runner' WHEN t.player_id = nearest_def THEN 'defender' WHEN t.team = 'ball' THEN 'ball' ELSE 'other' END AS part, t.x, t.y
- FROM (SELECT * FROM geo ORDER BY distance DESC, run_id LIMIT 5) g JOIN tracking t ON t.match_id = g.match_id AND t.period = g.period AND t.frame BETWEEN f_start AND f_end""")
-def run_slices(spark, sf_dir):
-    p = stored_plan(spark, sf_dir)
-    return search.run_slice(search.ranked_report(p.geometry, "distance", 5), p.t.tracking).select("run_id", "frame", "player_id", "team", "part", "x", "y")
-
-
 @query("""SELECT g.run_id, t.frame, t.player_id, t.team, CASE WHEN t.player_id = g.player_id THEN 'runner' WHEN t.player_id = nearest_def THEN 'defender' WHEN t.team = 'ball' THEN 'ball' ELSE 'other' END AS part, t.x, t.y
  FROM geo g JOIN tracking t ON t.match_id = g.match_id AND t.period = g.period AND t.frame BETWEEN f_start AND f_end""")
-def run_slices_all(spark, sf_dir):
-    """The slice of every run; run_slices shows the longest ones only."""
+def run_slices(spark, sf_dir):
+    """The frames of every run, with each entity in them."""
     p = stored_plan(spark, sf_dir)
     return search.run_slice(p.geometry, p.t.tracking).select("run_id", "frame", "player_id", "team", "part", "x", "y")
 
@@ -343,6 +329,14 @@ def artifact_diff(spark, sf_dir):
     return evaluation.diff(a, b)
 
 
+@query("SELECT run_id, round(distance, 6) AS distance, 'a' AS only_in FROM runs WHERE distance < 8")
+def artifact_diff_planted(spark, sf_dir):
+    """Runs with two least distances, 5 m and 8 m: the shorter ones are only in the first."""
+    t = from_events(spark, sf_dir)
+    a, b = (TrackingPlan(t, p).runs.select("run_id", F.round("distance", 6).alias("distance")) for p in (DEFAULT, replace(DEFAULT, min_run_distance=8.0)))
+    return evaluation.diff(a, b)
+
+
 def projected(t: DataFrame) -> DataFrame:
     points = t.select(*FRAME, "player_id", (F.col("x") * 10).alias("u"), (F.col("y") * 10).alias("v"))
     h = points.select(*FRAME).distinct().withColumn("h", F.array(*[F.lit(x) for x in (0.9, 0.1, 3.0, -0.05, 1.1, 5.0, 0.0001, 0.0002, 1.0)]))
@@ -350,15 +344,9 @@ def projected(t: DataFrame) -> DataFrame:
     return out.select(*FRAME, "player_id", *r6(out, "px", "py"))
 
 
-@query(f"""SELECT {oracle.F3}, player_id, round((0.9 * x * 10 + 0.1 * y * 10 + 3) / (0.0001 * x * 10 + 0.0002 * y * 10 + 1), 6) AS px, round((-0.05 * x * 10 + 1.1 * y * 10 + 5) / (0.0001 * x * 10 + 0.0002 * y * 10 + 1), 6) AS py FROM tracking WHERE frame % 100 = 0""")
-def homography_apply(spark, sf_dir):
-    """Points in pixels (ten to a metre) through one homography a frame."""
-    return projected(from_events(spark, sf_dir).tracking.filter("frame % 100 = 0"))
-
-
 @query(f"""SELECT {oracle.F3}, player_id, round((0.9 * x * 10 + 0.1 * y * 10 + 3) / (0.0001 * x * 10 + 0.0002 * y * 10 + 1), 6) AS px, round((-0.05 * x * 10 + 1.1 * y * 10 + 5) / (0.0001 * x * 10 + 0.0002 * y * 10 + 1), 6) AS py FROM tracking""")
-def homography_apply_all(spark, sf_dir):
-    """Every position through its frame's homography; homography_apply reads each hundredth frame only."""
+def homography_apply(spark, sf_dir):
+    """Every position, in pixels (ten to a metre), through its frame's homography."""
     return projected(from_events(spark, sf_dir).tracking)
 
 
@@ -373,7 +361,7 @@ def v1_lstm(spark, sf_dir):
 def v2_attention(spark, sf_dir):
     """Attention model over possession frames' nodes, with seeded weights."""
     p = stored_plan(spark, sf_dir)
-    return models.score_nodes(windows.node_matrix(p.frames, p.framed, p.t.direction, p.kin), models.seeded_attention(8))
+    return models.score_nodes(windows.node_matrix(p.framed, p.t.direction, p.kin), models.seeded_attention(8))
 
 
 @query("""SELECT user_id, session_id, count(*) AS n_events, min(event_id) AS first_event, max(event_id) AS last_event FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session_id FROM (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 86400000000 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))) GROUP BY ALL""")
@@ -393,3 +381,8 @@ def event_look_ahead(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ms").rangeBetween(1, 3_600_000)
     soon = F.coalesce(F.sum((F.col("event_type") == "error").cast("long")).over(w), F.lit(0)) > 0
     return e.withColumn("soon", soon).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("soon").alias("n_soon"))
+
+
+# names that the whole-table forms had before
+for _name in ("probability_trace", "run_slices", "homography_apply"):
+    QUERIES[f"{_name}_all"], ORACLE_SQL[f"{_name}_all"] = QUERIES[_name], ORACLE_SQL[_name]

@@ -165,7 +165,7 @@ def test_two_rates_find_the_same_runs(spark):
 def test_sparse_frames_have_no_node_matrix(spark):
     full = [(f, p, "home" if p < 11 else "away" if p < 22 else "ball", 40 if p in (1, 22) else 3 * p, 30 if p in (1, 22) else 2 * p) for f in range(40) for p in range(23)]
     p = TrackingPlan(Tables(spark, [r for r in full if not (r[0] == 7 and r[1] == 15)]))
-    n = windows.node_matrix(p.frames, p.framed, p.t.direction, p.kin)
+    n = windows.node_matrix(p.framed, p.t.direction, p.kin)
     assert {r.frame for r in n.filter("nodes is null").collect()} == {7} and {len(r.nodes) for r in n.filter("nodes is not null").collect()} == {184}
     assert rows(windows.sparse_frames(p.t.tracking), "frame", "n_away") == [(7, 10)]
 
