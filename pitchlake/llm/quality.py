@@ -3,7 +3,8 @@
 Everything is built-in column functions over one row, so no text moves and
 nothing is shuffled.
 
-Defined results: a null text counts as empty, has no words and fails; repeated
+Defined results: a null text counts as empty, has no words and fails; a very long
+text is judged whole, in its row; a measure at a threshold passes; repeated
 rows are each judged; other columns are ignored; an empty table gives an empty
 result.
 """
