@@ -80,9 +80,14 @@ def window_features(windows: DataFrame, features: DataFrame) -> DataFrame:
 
 def window_sequences(windows: DataFrame, features: DataFrame) -> DataFrame:
     """Windows with seq, their frames' pooled features in time order, as arrays of doubles."""
+    return vector_sequences(windows, features.select(*FRAME, "possession_id", F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in FEATURES]).alias("v")))
+
+
+def vector_sequences(windows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Windows with seq, their frames' vectors (match_id, period, frame, possession_id, v) in time order."""
     w = windows.withColumn("frame", F.explode(F.sequence("w_start", "w_end")))
-    df = w.join(features.drop("team", "fps"), [*FRAME, "possession_id"])
-    row = F.struct("frame", F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in FEATURES]).alias("v"))
+    df = w.join(vectors, [*FRAME, "possession_id"])
+    row = F.struct("frame", "v")
     return df.groupBy(*WINDOW, "team", "fps", "w_end").agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["v"]).alias("seq"))
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from pitchlake.oracle import FEATURES, needed, rounded
 from pitchlake.params import DEFAULT, FRAME
 from pitchlake.plans.tracking_plan import TrackingPlan
 from pitchlake.sources.fixture import from_events
+from pitchlake.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -364,6 +366,35 @@ def v2_attention(spark, sf_dir):
     return models.score_nodes(windows.node_matrix(p.framed, p.t.direction, p.kin), models.seeded_attention(8))
 
 
+@query()
+def v2_attention_lstm(spark, sf_dir):
+    """The whole second model over windows: attention within each frame, a two-layer LSTM over the frames, three heads; seeded weights."""
+    p, w = stored_plan(spark, sf_dir), models.seeded_attention_lstm(8)
+    vectors = models.embedded(windows.node_matrix(p.framed, p.t.direction, p.kin), w)
+    return models.score_frame_vectors(windows.vector_sequences(p.windows, vectors), w)
+
+
+@query()
+def trained_auc(spark, sf_dir):
+    """Value models trained on four fifths of the matches, against the fixed ones, by AUC on the others; null where a part has one class only."""
+    p = stored_plan(spark, sf_dir)
+    rows = stored(p.window_values.join(p.window_labels.select(*windows.WINDOW, "shot", "box_entry", "line_break"), list(windows.WINDOW)))
+    test = F.col("match_id") % 5 == 4
+    features = [*windows.FEATURES, *windows.ENTITY_FEATURES]
+    schema = "target string, n_train long, n_test long, auc_old double, auc_new double"
+    out = spark.createDataFrame([], schema)
+    for target in ("shot", "box_entry", "line_break"):
+        known = rows.filter(F.col(target).isNotNull()).fillna(0.0, features)
+        counts = known.agg(F.count_if(~test).alias("n_train"), F.count_if(test).alias("n_test"), F.count_distinct(F.when(~test, F.col(target))).alias("classes")).first()
+        line = spark.createDataFrame([(target, counts.n_train, counts.n_test)], "target string, n_train long, n_test long")
+        old, new = (spark.createDataFrame([], f"{c} double") for c in ("auc_old", "auc_new"))
+        if counts.classes == 2:
+            scored = models.fit_logistic(known.filter(~test), features, target).transform(known.filter(test)).withColumn("p", F.get(vector_to_array("probability"), 1))
+            old, new = evaluation.auc(scored, "v1", target).select(F.col("auc").alias("auc_old")), evaluation.auc(scored, "p", target).select(F.col("auc").alias("auc_new"))
+        out = out.unionByName(line.join(old, F.lit(True), "left").join(new, F.lit(True), "left"))
+    return out
+
+
 @query("""SELECT user_id, session_id, count(*) AS n_events, min(event_id) AS first_event, max(event_id) AS last_event FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session_id FROM (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 86400000000 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))) GROUP BY ALL""")
 def event_islands(spark, sf_dir):
     """The possession pattern on raw events: islands of a user's events with no gap over a day."""

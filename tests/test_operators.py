@@ -1,6 +1,7 @@
 """Small hand-made cases: one for each choice that the definitions make."""
 
 import json
+import math
 
 import numpy as np
 import pytest
@@ -276,3 +277,42 @@ def test_streams_agree_with_batch(spark, tmp_path):
     batch = {(r.w_start_ms, r.team): r.n for r in tracking_stream.hopping_windows(t).collect()}
     seen = {(r.w_start_ms, r.team): r.n for r in spark.table("hops").collect()}
     assert seen and all(batch[k] == n for k, n in seen.items())
+
+
+def test_attention_lstm_against_loops(spark):
+    """The second model, step by step and node by node, against the batched one; frame vectors through Spark."""
+    w = models.seeded_attention_lstm(8, width=4, hidden=3)
+    rng = np.random.default_rng(5)
+    frames = rng.normal(0, 10, (6, 23, 8))
+
+    def sig(x):
+        return 1 / (1 + math.exp(-x))
+
+    def vector(nodes):
+        e = [[math.tanh(sum(n[i] * w["scale"][i] * w["in"][i][j] for i in range(8))) for j in range(4)] for n in nodes]
+        q, k, v = ([[sum(x[i] * w[m][i][j] for i in range(4)) for j in range(4)] for x in e] for m in "qkv")
+        total = [0.0] * 4
+        for a in range(23):
+            s = [math.exp(sum(q[a][i] * k[b][i] for i in range(4)) / 2) for b in range(23)]
+            for j in range(4):
+                total[j] += (e[a][j] + sum(s[b] * v[b][j] for b in range(23)) / sum(s)) / 23
+        return total
+
+    def probabilities(seq):
+        for layer in (0, 1):
+            h, c, out = [0.0] * 3, [0.0] * 3, []
+            for x in seq:
+                z = [sum(x[i] * w[f"x{layer}"][i][j] for i in range(len(x))) + sum(h[i] * w[f"h{layer}"][i][j] for i in range(3)) + w[f"b{layer}"][j] for j in range(12)]
+                c = [sig(z[3 + j]) * c[j] + sig(z[j]) * math.tanh(z[9 + j]) for j in range(3)]
+                h = [sig(z[6 + j]) * math.tanh(c[j]) for j in range(3)]
+                out.append(h)
+            seq = out
+        return [sig(sum(seq[-1][i] * w["out"][i][j] for i in range(3))) for j in range(3)]
+
+    rows = [(i, [float(x) for x in f.reshape(-1)]) for i, f in enumerate(frames)] + [(6, None)]
+    got = {r.id: r.v for r in models.embedded(spark.createDataFrame(rows, "id long, nodes array<double>"), w).collect()}
+    want = [[float(x) for x in vector(f.tolist())] for f in frames]
+    assert all(np.allclose(got[i], want[i]) for i in range(6)) and got[6] == [0.0] * 4
+    seqs = spark.createDataFrame([(0, want), (1, want[:4]), (2, want[2:])], "id long, seq array<array<double>>")
+    for r in models.score_frame_vectors(seqs, w).collect():
+        assert np.allclose([r.p_shot, r.p_box, r.p_line], probabilities([want, want[:4], want[2:]][r.id]))
