@@ -50,15 +50,25 @@ def iou(a: np.ndarray, b: np.ndarray) -> float:
     return both / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both)
 
 
-def assign_teams(tracks: DataFrame, seed: int = 1) -> DataFrame:
-    """tracks(clip, track_id, r, g, b) -> (clip, track_id, team): k-means with two clusters on each track's mean jersey colour."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
+def assign_teams(tracks: DataFrame, rounds: int = 20) -> DataFrame:
+    """tracks(clip, track_id, r, g, b) -> (clip, track_id, team): two means of the tracks' mean jersey colours, within each clip,
+    as kits differ between clips; home is the team of the clip's first track."""
     mean = tracks.groupBy("clip", "track_id").agg(*[F.avg(c).alias(c) for c in "rgb"])
-    v = VectorAssembler(inputCols=["r", "g", "b"], outputCol="features").transform(mean)
-    out = KMeans(k=2, seed=seed).fit(v).transform(v)
-    return out.select("clip", "track_id", F.when(F.col("prediction") == 0, "home").otherwise("away").alias("team"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:  # a row for each track of the clip
+        rows = rows.sort_values("track_id", kind="stable").reset_index(drop=True)
+        x = rows[["r", "g", "b"]].to_numpy(float)
+        far = ((x - x[0]) ** 2).sum(axis=1).argmax()
+        centre = np.stack([x[0], x[far]])
+        for _ in range(rounds):
+            side = ((x[:, None] - centre) ** 2).sum(axis=2).argmin(axis=1)
+            new = np.stack([x[side == k].mean(axis=0) if (side == k).any() else centre[k] for k in (0, 1)])
+            if np.array_equal(new, centre):
+                break
+            centre = new
+        return rows[["clip", "track_id"]].assign(team=np.where(side == side[0], "home", "away"))
+
+    return mean.groupBy("clip").applyInPandas(run, mean.select("clip", "track_id", F.lit("").alias("team")).schema)
 
 
 def solve_homography(points: DataFrame, keys: list[str]) -> DataFrame:
