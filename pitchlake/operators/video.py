@@ -9,15 +9,21 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchlake.sources.schema import TRACKING, conform
 
 
 def associate(detections: DataFrame, min_iou: float = 0.3, max_gap: int = 5) -> DataFrame:
-    """detections(clip, frame, x1, y1, x2, y2, conf, ...) with track_id: boxes go to the track they overlap most, first confident ones, then the rest; a clip is one group, as tracks need its frames in order."""
-    schema = detections.select("*", F.lit(0).cast("long").alias("track_id")).schema
+    """detections(clip, frame, x1, y1, x2, y2, conf, ...) with track_id: boxes go to the track they overlap most, first confident ones, then the rest.
+
+    A track ends when it is not seen for more than max_gap frames, so a clip is cut at longer gaps without any box, and each
+    part is a group of its own; ids are unique in the clip."""
+    w = Window.partitionBy("clip").orderBy("frame")
+    apart = F.coalesce((F.col("frame") - F.lag("frame").over(w) > max_gap).cast("long"), F.lit(0))
+    detections = detections.withColumn("_new", apart).withColumn("_part", F.sum("_new").over(w)).drop("_new")
+    schema = detections.drop("_part").select("*", F.lit(0).cast("long").alias("track_id")).schema
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["frame", "conf", "x1", "y1"], ascending=[True, False, True, True], kind="stable").reset_index(drop=True)
@@ -37,9 +43,10 @@ def associate(detections: DataFrame, min_iou: float = 0.3, max_gap: int = 5) ->
                         ids[i] = -1  # an unsure box starts no track
                         continue
                     ids[i], last[t] = t, (f, boxes[i])
-        return rows.assign(track_id=ids)
+        ids[ids >= 0] += int(rows["_part"].iloc[0]) << 32
+        return rows.drop(columns="_part").assign(track_id=ids)
 
-    return detections.groupBy("clip").applyInPandas(run, schema).filter("track_id >= 0")
+    return detections.groupBy("clip", "_part").applyInPandas(run, schema).filter("track_id >= 0")
 
 
 def iou(a: np.ndarray, b: np.ndarray) -> float:

@@ -316,3 +316,11 @@ def test_attention_lstm_against_loops(spark):
     seqs = spark.createDataFrame([(0, want), (1, want[:4]), (2, want[2:])], "id long, seq array<array<double>>")
     for r in models.score_frame_vectors(seqs, w).collect():
         assert np.allclose([r.p_shot, r.p_box, r.p_line], probabilities([want, want[:4], want[2:]][r.id]))
+
+
+def test_tracks_of_a_clip_with_a_long_gap(spark):
+    """Parts apart by more than the gap are tracked on their own, with ids of their own."""
+    boxes = [("c", f, 0.0 + f, 0.0, 10.0 + f, 10.0, 0.9) for f in (0, 1, 2, 7, 20, 21)]
+    got = rows(video.associate(spark.createDataFrame(boxes, "clip string, frame long, x1 double, y1 double, x2 double, y2 double, conf double"), max_gap=5), "frame", "track_id")
+    ids = [t for _, t in sorted(got)]
+    assert len(ids) == 6 and len(set(ids[:3])) == 1 and ids[4] == ids[5] and ids[4] not in ids[:4]
