@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchlake.llm.common import id_text, map_batches, stored, utf8
@@ -111,12 +111,14 @@ def merge(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
 
 
 def shared_runs(rows: DataFrame) -> DataFrame:
-    """(doc_id, row, spans, members): each document's repeats so far, and its runs whose minimizer comes more than once."""
-    counts = rows.filter("mh is not null").groupBy("mh").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    some = rows.filter("mh is not null").select("mh", *DOC, "pos").join(counts.select("mh"), "mh")
-    spans = rows.filter("mh is null").select(*DOC, F.lit(None).cast("struct<pos:long,mh:long>").alias("member"), "repeats")
-    every = some.select(*DOC, F.struct("pos", "mh").alias("member"), F.lit(None).cast(SPANS).alias("repeats")).unionByName(spans)
-    return every.groupBy(*DOC).agg(F.flatten(F.collect_list("repeats")).alias("spans"), F.collect_list("member").alias("members"))
+    """(doc_id, row, spans, members): each document's repeats so far, and its runs whose minimizer comes more than once.
+
+    Runs are dealt by minimizer and counted as they stream by, so that texts are cut into runs once; rows with repeats alone are dealt by document.
+    """
+    dealt = rows.withColumn("deal", F.coalesce("mh", F.xxhash64(*DOC))).repartition("deal")
+    counted = dealt.withColumn("n", F.count("mh").over(Window.partitionBy("deal"))).filter("repeats is not null or n > 1")
+    member = F.when(F.col("mh").isNotNull(), F.struct("pos", "mh"))
+    return counted.groupBy(*DOC).agg(F.flatten(F.collect_list("repeats")).alias("spans"), F.collect_list(member).alias("members"))
 
 
 RUN = "mh long, doc_id long, row long, pos long, bytes binary"
