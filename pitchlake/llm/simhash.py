@@ -129,7 +129,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id): component_id is the smallest doc_id reachable over links."""
-    fps = cut(fingerprints(docs, shingle, id_col, text_col))
+    fps = stored(fingerprints(docs, shingle, id_col, text_col))
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     label = connected_components(cut(links(nodes.select("fp"), max_bits)), "a", "b")  # (node, root), linked ones only
     rooted = nodes.join(label, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
