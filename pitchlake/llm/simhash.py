@@ -113,7 +113,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         return F.shiftrightunsigned(rest, at) + F.lit(v << wide)
 
     keyed = fps.select("fp", F.explode(F.array(*[variant(v, s, bit) for v, (s, bit) in enumerate(variants)])).alias("key"))
-    a, b = F.col("a.fp"), F.col("b.fp")  # both sides are one plan, so that it is shuffled once
+    a, b = F.col("a.fp"), F.col("b.fp")
     diff = a.bitwiseXOR(b)
     v = F.shiftright("a.key", wide)
     in_seg = [diff.bitwiseAND(F.lit(signed(m))) for m in masks]
