@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchlake.llm import bpe, decontaminate, html, langid, lm, pii, quality, sharding, simhash, suffix_dedup
+from pitchlake.llm import bpe, decontaminate, hard_negatives, html, langid, lm, packing, pii, quality, sharding, simhash, suffix_dedup, whitening
 from pitchlake.llm.common import table
 
 
@@ -51,6 +51,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_html_extraction": op2_html_extraction,
@@ -62,8 +74,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_pii": op9_pii,
     "op10_language_id": op10_language_id,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": decontaminate.ORACLE,
     "op6_quality_rules": quality.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
 }
