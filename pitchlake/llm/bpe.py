@@ -40,7 +40,8 @@ VOCABULARY = "word_bpe_49k.json"
 #: White space as the vocabulary's normaliser has it, and the class of words that it splits.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PLACE_BITS, ID_BITS = 24, 20
+#: Places take 32 bits, more than a text in Arrow can have bytes; with a rank of 20 bits a leaf fits in 64.
+PLACE_BITS, ID_BITS = 32, 20
 NONE = 1 << 20  # rank of no mergeable pair
 STOP = NONE << PLACE_BITS
 #: Words of more symbols are merged on their own.

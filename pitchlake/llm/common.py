@@ -82,6 +82,14 @@ def utf8(text: str | Column) -> Column:
     return F.encode(F.col(text) if isinstance(text, str) else text, "UTF-8")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """That name, with as many underscores before it as make it none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator works on, as (doc_id, text), whatever else df has."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

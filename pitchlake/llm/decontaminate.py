@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchlake.llm.common import id_text, map_batches, stored, utf8
+from pitchlake.llm.common import free_name, id_text, map_batches, stored, utf8
 from pitchlake.llm.textkernels import ALNUM, chunked, gram_hashes, sliding_min, span_hashes, word_table
 
 WIDTH = 10
@@ -153,8 +153,9 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, k:
     digest = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))  # what decides is the text alone
     raws = docs.select(digest.alias("digest"), utf8(F.col(text_col).cast("string")).alias("raw"))
     asked = map_batches(raws, search, f"digest string, found {CANDIDATES}", by="raw", most=4 << 20).select("digest", F.explode("found").alias("c")).select("digest", "c.n", "c.fp", "c.win")
-    dirty = stored(asked.join(windows, ["n", "fp", "win"]).select(F.col("digest").alias("_digest")).distinct())
-    return docs.join(dirty, digest == F.col("_digest"), "left_anti")
+    dirty = free_name(docs, "dirty")
+    found = stored(asked.join(windows, ["n", "fp", "win"]).select(F.col("digest").alias(dirty)).distinct())
+    return docs.join(found, digest == F.col(dirty), "left_anti")
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -20,8 +20,8 @@ any other; a null doc_id takes part and gets the component of its fingerprint
 rows are each returned; ties go to the smallest doc_id; very long texts are
 fingerprinted whole, part by part; an empty table gives an empty result; other
 columns of the input are ignored. In similar(), null and wordless texts are copies
-of each other and rows without a doc_id take no part; one_of_each() keeps these,
-and of a doc_id that is repeated one row at most, that with the smallest text.
+of each other and rows without a doc_id take no part; one_of_each() keeps these.
+Rows that share a doc_id are judged by their own texts.
 """
 
 from __future__ import annotations
@@ -31,10 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitchlake.llm.common import cut, id_text, map_batches, stored, utf8
+from pitchlake.llm.common import cut, free_name, id_text, map_batches, stored, utf8
 from pitchlake.llm.components import connected_components
 from pitchlake.llm.textkernels import NONSPACE, chunked, gram_hashes, mix, span_hashes, word_table
 
@@ -183,15 +183,20 @@ HALVES = [(at + first, n, at + other, m) for at, w in WIDE_SEGMENTS for first, n
 FP = [f"f{i}" for i in range(WIDE_WORDS)]
 
 
+def text_digest(text: str) -> Column:
+    """Tells texts apart; null and empty are one."""
+    return F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, f0..) of docs(doc_id, text): the name of its shingle set, and its wide fingerprint."""
+    """(doc_id, digest, node, f0..) of docs(doc_id, text): its text's digest, the name of its shingle set, and its wide fingerprint."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets([r or b"" for r in batch.column("raw").to_pylist()])
         fps = np.stack([wide_fingerprint(s) for s in sets]).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([set_name(s) for s in sets], pa.int64()), *[pa.array(fps[:, i]) for i in range(WIDE_WORDS)]], ["doc_id", "node", *FP])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array([set_name(s) for s in sets], pa.int64()), *[pa.array(fps[:, i]) for i in range(WIDE_WORDS)]], ["doc_id", "digest", "node", *FP])
 
-    return map_batches(docs.select("doc_id", utf8("text").alias("raw")), run, f"doc_id long, node long, {', '.join(f'{f} long' for f in FP)}", by="raw")
+    return map_batches(docs.select("doc_id", text_digest("text").alias("digest"), utf8("text").alias("raw")), run, f"doc_id long, digest string, node long, {', '.join(f'{f} long' for f in FP)}", by="raw")
 
 
 NODE = ["node", "root", "size", *FP]
@@ -219,19 +224,21 @@ def first_half(diff: np.ndarray) -> np.ndarray:
     return out
 
 
-def near_pairs(half: int, rows: np.ndarray, star: bool) -> list[np.ndarray]:
+def near_pairs(half: int, rows: np.ndarray, star: bool, bit: int | None = None, apart: np.ndarray | None = None) -> list[np.ndarray]:
     """Pairs of nodes that share a variant and nearly agree as a whole. rows are (node, root, size, fingerprint) in order of (size, root, node).
 
-    All share a half; a variant is the other half with one bit left out. Under each variant, the first row leads: it is
+    All share a half; a variant is the other half with one bit left out (only that bit, if given: then all rows share it).
+    Under each variant, the first row leads: it is
     compared with the rest and leaves, until none is left. As a star, those within NEAR bits of it are its pairs and leave
     with it, so that there are no more pairs than rows. Else its pairs are those of other roots within PROPOSE bits, and a
-    variant is through when all that are left have one root: the largest component is only ever compared with.
+    variant is through when all that are left have one root: the largest component is only ever compared with. Where
+    apart is given, only rows that differ in it are pairs.
     """
     node, root, fps = rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 3:]).view(np.uint64)
     _, _, at, n = HALVES[half]
-    rest = segment_bits(fps, at, n)
-    variant = np.concatenate([(rest & ~np.uint64(1 << b)) | np.uint64(b << 32) for b in range(n)])
-    row = np.tile(np.arange(len(node)), n)
+    rest, bits_out = segment_bits(fps, at, n), range(n) if bit is None else [bit]
+    variant = np.concatenate([(rest & ~np.uint64(1 << b)) | np.uint64(b << 32) for b in bits_out])
+    row = np.tile(np.arange(len(node)), len(bits_out))
     by = np.argsort(variant, kind="stable")
     variant, row = variant[by], row[by]
     found = []
@@ -247,9 +254,13 @@ def near_pairs(half: int, rows: np.ndarray, star: bool) -> list[np.ndarray]:
         lead = np.repeat(row[first], sizes)
         bits = np.bitwise_count(fps[row] ^ fps[lead]).sum(axis=1, dtype=np.int64)
         near = (bits <= NEAR) & (row != lead) if star else (bits <= PROPOSE) & (root[row] != root[lead])
+        if apart is not None:
+            near &= apart[row] != apart[lead]
         pair = np.unique(np.stack([lead[near], row[near]]), axis=1)
         if not star:  # the two meet under each half that they share: it is told once
             pair = pair[:, first_half(fps[pair[0]] ^ fps[pair[1]]) == half]
+            if bit:  # and under each bit, where the whole half is equal: under the first
+                pair = pair[:, rest[pair[0]] != rest[pair[1]]]
         found.append(node[pair])
         left = row != lead
         if star:
@@ -258,38 +269,107 @@ def near_pairs(half: int, rows: np.ndarray, star: bool) -> list[np.ndarray]:
     return found
 
 
+#: A key is a half's number above 32 bits that hold its bits; in a key by variant, the bit left out, and the other half's bits, too.
+HALF_AT, BIT_AT, OTHER_AT, BY_VARIANT = 32, 40, 48, 1 << 62
+
+
+def half_keys() -> Column:
+    """keyed_halves()' keys of a row, worked out without Python, to be counted."""
+    word = [F.col(f) for f in FP]
+
+    def bits(at: int, n: int) -> Column:
+        w, shift = divmod(at, 64)
+        low = F.shiftrightunsigned(word[w], shift)
+        return (low if shift + n <= 64 else low.bitwiseOR(F.shiftleft(word[w + 1], 64 - shift))).bitwiseAND(F.lit((1 << n) - 1))
+
+    return F.array(*[bits(at, n).bitwiseOR(F.lit(h << HALF_AT)) for h, (at, n, _, _) in enumerate(HALVES)])
+
+
+def keyed_variants(rows: DataFrame) -> DataFrame:
+    """keyed_halves()' rows, each once for every bit of the other half that is left out: what shares a key is one variant."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        key = batch.column("key").to_numpy()
+        fps = np.stack([batch.column(f).to_numpy() for f in FP], axis=1).view(np.uint64)
+        keys, taken = [], []
+        for h in np.unique(key >> HALF_AT).tolist():
+            mine = np.flatnonzero(key >> HALF_AT == h)
+            _, _, at, n = HALVES[h]
+            rest = segment_bits(fps[mine], at, n).astype(np.int64)
+            for b in range(n):
+                keys.append(BY_VARIANT | (rest & ~(1 << b)) << OTHER_AT | b << BIT_AT | h << HALF_AT | key[mine] & (1 << HALF_AT) - 1)
+                taken.append(mine)
+        rows = batch.select(NODE).take(pa.array(np.concatenate(taken)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *rows.columns], ["key", *NODE])
+
+    return map_batches(rows.select("key", *NODE), run, f"key long, {NODE_SCHEMA}")
+
+
+def spread(nodes: DataFrame) -> DataFrame:
+    """(key, low, high, part, *NODE): keyed_halves() in groups (key, low, high) of about GROUP_ROWS rows, however many rows share a key.
+
+    Halves that more rows share are dealt by whole variants, of which there are a thousand times as many. What is still
+    larger, as a family of near copies may be, is cut into parts by a hash of the node, and each two parts meet
+    in one group: there only rows of different parts are pairs, and each part has a group for its own pairs.
+    """
+    large = nodes.select(F.explode(half_keys()).alias("key")).groupBy("key").count().filter(F.col("count") > GROUP_ROWS).select("key")
+    keyed = keyed_halves(nodes)
+    large = F.broadcast(stored(large))  # of some 60,000 keys that there can be, whatever the corpus
+    usual = keyed.join(large, "key", "left_anti").select("key", *[F.lit(0).cast("long").alias(c) for c in ("low", "high", "part")], *NODE)
+    by_variant = keyed_variants(keyed.join(large, "key", "left_semi"))
+    sizes = by_variant.groupBy("key").count().filter(F.col("count") > GROUP_ROWS).select("key", F.ceil(F.col("count") / GROUP_ROWS).alias("parts"))
+    dealt = by_variant.join(sizes, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return usual.unionByName(dealt.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", *NODE))
+
+
 def proposed(nodes: DataFrame, star: bool) -> DataFrame:
-    """(a, b) with a < b: near_pairs() of nodes(*NODE); some come several times."""
+    """(a, b) with a < b: near_pairs() of nodes(*NODE); some come several times.
+
+    As a star, leaders of a large group that goes by in parts stay, GROUP_ROWS of them at most: what it misses
+    the other form finds.
+    """
 
     def out(found: list[np.ndarray]) -> pa.RecordBatch:
         ab = np.sort(np.concatenate([np.empty((2, 0), dtype=np.int64), *found], axis=1), axis=0)
         ab = np.unique(ab, axis=1)
         return pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], ["a", "b"])
 
+    def pairs(at: tuple[int, int, int], held: list[np.ndarray]) -> list[np.ndarray]:
+        rows = np.concatenate(held)
+        if len(rows) < 2:
+            return []
+        key, low, high = at
+        half, bit = (key >> HALF_AT & 0xFF, key >> BIT_AT & 0xFF) if key & BY_VARIANT else (key >> HALF_AT, None)
+        return near_pairs(half, rows[:, 1:], star, bit, rows[:, 0] if low != high else None)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, np.empty((0, len(NODE)), dtype=np.int64)
+        at, held, size = None, [], 0
         for batch in batches:
-            key = batch.column("key").to_numpy()
-            rows = np.stack([batch.column(c).to_numpy() for c in NODE], axis=1)
-            edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))).tolist()
+            key = np.stack([batch.column(c).to_numpy() for c in ("key", "low", "high")], axis=1)
+            rows = np.stack([batch.column(c).to_numpy() for c in ("part", *NODE)], axis=1)
+            edges = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1)))).tolist() if len(key) else []
             found: list[np.ndarray] = []
             for lo, hi in zip(edges, [*edges, len(key)][1:], strict=True):
-                if key[lo] != at:
-                    if len(held) > 1:
-                        found += near_pairs(at >> 32, held, star)
-                    at, held = int(key[lo]), held[:0]
-                for i in range(lo, hi, GROUP_ROWS):
-                    held = np.concatenate((held, rows[i : min(hi, i + GROUP_ROWS)]))
-                    if len(held) > 2 * GROUP_ROWS:  # a large group goes by in parts: its leaders stay, or all but its largest component
-                        part = near_pairs(at >> 32, held, star)
-                        found += part
-                        spoken = np.unique(np.concatenate([p[1] for p in part])) if star and part else held[:0, 0]
-                        held = held[~np.isin(held[:, 0], spoken)] if star else held[held[:, 1] != held[-1, 1]]
+                if (now := tuple(key[lo].tolist())) != at:
+                    found += pairs(at, held) if held else []
+                    at, held, size = now, [], 0
+                held.append(rows[lo:hi])
+                size += hi - lo
+                if star and size > 2 * GROUP_ROWS:
+                    part = pairs(at, held)
+                    found += part
+                    spoken = np.unique(np.concatenate([p[1] for p in part])) if part else rows[:0, 1]
+                    held = np.concatenate(held)
+                    held = [held[~np.isin(held[:, 1], spoken)][:GROUP_ROWS]]
+                    size = len(held[0])
             yield out(found)
-        if len(held) > 1:
-            yield out(near_pairs(at >> 32, held, star))
+        if held:
+            yield out(pairs(at, held))
 
-    return keyed_halves(nodes).repartition("key").sortWithinPartitions("key", "size", "root", "node").mapInArrow(run, "a long, b long")
+    keyed = keyed_halves(nodes).select("key", *[F.lit(0).cast("long").alias(c) for c in ("low", "high", "part")], *NODE) if star else spread(nodes)
+    order = ["key", "low", "high", "size", "root", "node"]
+    return keyed.repartition("key", "low", "high").sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
 
 
 def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -313,10 +393,10 @@ def verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").filter(den * both >= num * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of the rows with a doc_id: links are pairs of texts whose five-word shingle sets have a
-    similarity of LEAST or more; component_id is the smallest doc_id reachable over links."""
-    docs = id_text(docs, id_col, text_col).filter("doc_id is not null")
+def grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, node, root, component_id) of each row of docs(doc_id, text) with a doc_id; links are pairs of texts whose five-word shingle
+    sets have a similarity of LEAST or more; component_id is the smallest doc_id reachable over links, root tells groups apart that share one; digest is text_digest()."""
+    docs = docs.filter("doc_id is not null")
     sketched = stored(sketches(docs))
     nodes = stored(sketched.groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.min(f).alias(f) for f in FP]))
 
@@ -328,18 +408,31 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     some = nodes.filter("node != 0")
     label = connected_components(links(stored(proposed(some.select("*", F.col("node").alias("root"), F.lit(1).cast("long").alias("size")), star=True).distinct())), "a", "b")
     sizes = label.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    placed = some.join(label.join(sizes, "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("size", F.lit(1)).cast("long").alias("size"), *FP)
+    placed = stored(some.join(label.join(sizes, "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("size", F.lit(1)).cast("long").alias("size"), *FP))
     more = links(stored(proposed(placed, star=False).distinct()))
     label = connected_components(label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b")  # (node, root), linked ones only
     rooted = nodes.join(label, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_node = rooted.join(smallest, "root").select("node", "component_id")
-    return sketched.select("doc_id", "node").join(by_node, "node").select("doc_id", "component_id")
+    by_node = rooted.join(smallest, "root").select("node", "root", "component_id")
+    return sketched.select("doc_id", "digest", "node").join(by_node, "node")
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) of the rows with a doc_id, by grouped()."""
+    return grouped(id_text(docs, id_col, text_col)).select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that stand for their group in similar(): the smallest doc_id, once. Rows without a doc_id stay."""
-    keep = similar(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    mine = docs.join(keep, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    return mine.withColumn("_place", F.row_number().over(first)).filter("_place = 1").drop("_place").unionByName(docs.filter("doc_id is null"))
+    """The rows of docs, with all their columns, that stand for their group in grouped(). Rows without a doc_id stay.
+
+    Of a group it is a row of the smallest doc_id, with the smallest digest of its text where that doc_id has several texts; of equal
+    rows, one. Each row is judged by its own text, also where a doc_id is repeated.
+    """
+    groups = grouped(id_text(docs)).filter("doc_id = component_id").groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    # texts that differ but are in one group, under the same doc_id: the first stands for them
+    first = groups.groupBy("root").agg(F.min("digest").alias("digest"))
+    own, text, many = (free_name(docs, n) for n in ("kept_id", "kept_text", "kept_rows"))
+    keep = groups.join(first, ["root", "digest"]).select(F.col("doc_id").alias(own), F.col("digest").alias(text), F.col("n").alias(many))
+    mine = docs.join(keep, (F.col("doc_id").cast("long") == F.col(own)) & (text_digest("text") == F.col(text)))
+    several = mine.filter(F.col(many) > 1).dropDuplicates([own, text])  # rows that repeat, only these are shuffled
+    return mine.filter(F.col(many) == 1).unionByName(several).select(*docs.columns).unionByName(docs.filter("doc_id is null"))

@@ -63,3 +63,52 @@ def test_stage_on_documents(spark):
     want = brute_components([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
     got = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(want.values()))
+
+
+def test_large_groups_lose_no_pair(spark, monkeypatch):
+    """With groups of 8 rows all three ways are taken: by half, by variant, and variants in parts."""
+    from pitchlake.llm import simhash
+
+    monkeypatch.setattr(simhash, "GROUP_ROWS", 8)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    items = made()[:200]
+    # two families of near copies that are no near copies of each other, but whose fingerprints share most halves
+    base = [word() for _ in range(400)]
+    other = base[:340] + [word() for _ in range(60)]
+    for family, n in ((base, 30), (other, 60)):
+        for _ in range(n):
+            copy = list(family)
+            copy[rng.randrange(400)] = word()
+            items.append((5000 + len(items), " ".join(copy)))
+    want = brute_components(items)
+    got = simhash.similar(spark.createDataFrame(items, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
+def test_parts_of_a_group_give_the_pairs_of_the_whole(spark, monkeypatch):
+    """What is proposed between components is the same, however small the groups."""
+    from pyspark.sql import functions as F
+
+    from pitchlake.llm import simhash
+
+    docs = spark.createDataFrame(made()[:150], "doc_id long, text string")
+    nodes = simhash.stored(simhash.sketches(docs).select("node", (F.col("doc_id") % 7).alias("root"), (F.col("doc_id") % 7 + 1).alias("size"), *simhash.FP).filter("node != 0"))
+    whole = {tuple(r) for r in simhash.proposed(nodes, star=False).collect()}
+    for rows in (40, 5, 2):
+        monkeypatch.setattr(simhash, "GROUP_ROWS", rows)
+        assert {tuple(r) for r in simhash.proposed(nodes, star=False).collect()} == whole and len(whole) > 40
+
+
+def test_rows_of_a_repeated_id_are_judged_by_their_own_texts(spark):
+    a, x, y = ("alpha beta gamma delta epsilon zeta " * 9, "one two three four five six seven " * 8, "eins zwei drei vier fuenf sechs sieben")
+    rows = [(3, a, 1, 1, 1), (5, a, 1, 1, 1), (5, x, 1, 1, 1), (5, x, 2, 2, 2), (6, y, 1, 1, 1), (6, y + " acht", 1, 1, 1), (None, a, 1, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _kept int, _place int, kept_id int")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id or 0, r.text) for r in got.collect())) == sorted([(0, a), (3, a), (5, x), (6, y), (6, y + " acht")])
+
+
+def test_decontamination_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", "d", "e")], "doc_id long, text string, _digest string, dirty string")
+    assert corpus_pipeline.drop_contaminated(spark, docs, SF).collect() == docs.collect()
