@@ -51,13 +51,16 @@ def drift_velocity(runs: DataFrame, kin: DataFrame, direction: DataFrame, p: Par
     return v.groupBy("run_id").agg(F.coalesce(F.avg(F.col("vx") * F.col("attack_sign")), F.lit(0.0)).alias("drift_x"), F.coalesce(F.avg(F.col("vy") * F.col("attack_sign")), F.lit(0.0)).alias("drift_y"))
 
 
-def counterfactuals(runs: DataFrame, frames: DataFrame, direction: DataFrame, drift: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """(run_id, v1_actual, v1_frozen, v1_drift, v2_..., cf_gain_v1_frozen, ...): value of the window that ends with the run, as it was and with the runner edited.
+#: What a run's window is scored as.
+VARIANTS = ("actual", "frozen", "drift")
+
+
+def variant_frames(runs: DataFrame, frames: DataFrame, direction: DataFrame, drift: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """The frames of the window that ends with each run: features of all but the runner, and those that the runner is part of by variant (`att_x_frozen`).
 
     runs has x_start and y_start (run_geometry()). Frozen: the runner stays at the
-    start; drift: goes on with the velocity before, within the pitch. Null where
-    the window is not whole. Only the runner changes: what the others add up to is
-    worked out once a frame, and each variant adds its runner to it.
+    start; drift: goes on with the velocity before, within the pitch. What the others add up to is worked out once a frame, and each
+    variant adds its runner to it. `wide` is how many frames the window has.
     """
     wide = ms_to_frames(p.window_ms, F.col("fps"))
     r = runs.select("run_id", "match_id", "period", "player_id", "team", F.col("fps").alias("rate"), "f_start", "x_start", "y_start", wide.alias("wide"), F.explode(F.sequence(F.col("f_end") - wide + 1, F.col("f_end"))).alias("frame")).join(drift, "run_id")
@@ -75,23 +78,40 @@ def counterfactuals(runs: DataFrame, frames: DataFrame, direction: DataFrame, dr
     }
     there, n = F.col("_me").isNotNull(), F.col("_n")
     own: dict[str, dict[str, Column]] = {}
-    for name, xy in edits.items():
-        x, y = (F.when(F.col("frame") >= F.col("f_start"), c).otherwise(F.col(f"_me.{axis}")) for axis, c in zip("xy", xy, strict=True))
+    for name in VARIANTS:
+        x, y = (F.when(F.col("frame") >= F.col("f_start"), c).otherwise(F.col(f"_me.{axis}")) for axis, c in zip("xy", edits[name], strict=True))
         whole = lambda total, me: F.when(there, (F.coalesce(total * n, F.lit(0.0)) + me) / (n + 1)).otherwise(total)
         own[name] = {
             "att_x": whole(F.col("att_x"), x),
+            "att_y": whole(F.col("att_y"), y),
             "att_in_box": F.col("att_in_box") + F.when(there & in_box(x, y, p), 1.0).otherwise(0.0),
             "deepest_x": F.greatest("deepest_x", F.when(there, x)),
             "beyond": F.col("beyond") + F.when(there & (x > F.col("_line")), 1.0).otherwise(0.0),
             "nearest_goal": F.least("nearest_goal", F.when(there, goal_distance(x, y, p))),
+            "runner_x": x,
+            "runner_y": y,
         }
-    common = [c for c in {**V1, **V2} if c and c not in own["actual"]]
-    cells = df.select("run_id", "wide", *common, *[c.alias(f"{c_name}_{name}") for name, cs in own.items() for c_name, c in cs.items()])
-    state = cells.groupBy("run_id").agg(F.first("wide").alias("wide"), F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in cells.columns if c not in ("run_id", "wide")])
-    values = {f"{v}_{name}": F.when(F.col("n") == F.col("wide"), logistic(weights, lambda c, name=name: f"{c}_{name}" if c in own[name] else c)) for v, weights in (("v1", V1), ("v2", V2)) for name in edits}
+    common = [c for c in (*FEATURES, *ENTITY_FEATURES) if c not in own["actual"]]
+    return df.select("run_id", *FRAME, "wide", "player_id", "f_start", "drift_x", "drift_y", *common, *[c.alias(f"{c_name}_{name}") for name, cs in own.items() for c_name, c in cs.items()])
+
+
+def counterfactuals(runs: DataFrame, frames: DataFrame, direction: DataFrame, drift: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """(run_id, v1_actual, v1_frozen, v1_drift, v2_..., cf_gain_v1_frozen, ...): value of the window that ends with the run, as it was and with the runner edited.
+
+    Null where the window is not whole.
+    """
+    cells = variant_frames(runs, frames, direction, drift, p)
+    column = lambda c, name: f"{c}_{name}" if f"{c}_{name}" in cells.columns else c
+    used = sorted({column(c, name) for name in VARIANTS for c in (*V1, *V2) if c})
+    state = cells.groupBy("run_id").agg(F.first("wide").alias("wide"), F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in used])
+    values = {f"{v}_{name}": F.when(F.col("n") == F.col("wide"), logistic(weights, lambda c, name=name: column(c, name))) for v, weights in (("v1", V1), ("v2", V2)) for name in VARIANTS}
     wide_row = state.select("run_id", *[c.alias(name) for name, c in values.items()])
-    gains = [(F.col(f"{v}_actual") - F.col(f"{v}_{name}")).alias(f"cf_gain_{v}_{name}") for v in ("v1", "v2") for name in ("frozen", "drift")]
-    return runs.select("run_id").join(wide_row.select("*", *gains), "run_id", "left")
+    return runs.select("run_id").join(wide_row.select("*", *gains()), "run_id", "left")
+
+
+def gains() -> list[Column]:
+    """V(actual) - V(variant) of each model, as cf_gain_<model>_<variant>."""
+    return [(F.col(f"{v}_actual") - F.col(f"{v}_{name}")).alias(f"cf_gain_{v}_{name}") for v in ("v1", "v2") for name in VARIANTS[1:]]
 
 
 def probability_trace(runs: DataFrame, features: DataFrame, p: Params = DEFAULT) -> DataFrame:

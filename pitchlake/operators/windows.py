@@ -91,6 +91,12 @@ def vector_sequences(windows: DataFrame, vectors: DataFrame) -> DataFrame:
     return df.groupBy(*WINDOW, "team", "fps", "w_end").agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["v"]).alias("seq"))
 
 
+def node_sequences(windows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Windows with seq, their frames' node matrices in time order; null where a frame has none."""
+    v = vector_sequences(windows, nodes.withColumnRenamed("nodes", "v"))
+    return v.withColumn("seq", F.when(~F.exists("seq", lambda x: x.isNull()), F.col("seq")))
+
+
 def frame_flags(frames: DataFrame, direction: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """(match_id, period, team, frame) with in_box (the ball is in the box that team attacks) and past_line (the ball is past its last line)."""
     df = oriented(frames.select(*FRAME, "ball", "players", F.explode(F.array(F.lit("home"), F.lit("away"))).alias("team")), direction, p)
@@ -114,7 +120,12 @@ def window_labels(windows: DataFrame, frames: DataFrame, direction: DataFrame, s
 
 
 def node_matrix(framed: DataFrame, direction: DataFrame, tracking: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """(match_id, period, frame, possession_id, nodes): 23 x 8 node features as a flat array in slot order; null if a team has fewer than team_size players.
+    """entity_nodes() without ids."""
+    return entity_nodes(framed, direction, tracking, p).drop("ids")
+
+
+def entity_nodes(framed: DataFrame, direction: DataFrame, tracking: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """(match_id, period, frame, possession_id, nodes, ids): 23 x 8 node features as a flat array in slot order; null if a team has fewer than team_size players. ids are the attackers', in that order.
 
     A node is x, y, vx, vy, speed, in attack, is ball, distance to the ball, normalised to the attack. One grouping
     brings a frame's rows together; the ball is found inside the row.
@@ -135,7 +146,7 @@ def node_matrix(framed: DataFrame, direction: DataFrame, tracking: DataFrame, p:
     g = g.withColumn("rows", F.array_sort(F.transform("all", lambda r: F.struct(slot(r).alias("slot"), r["player_id"].alias("player_id"), node(r).alias("node")))))
     count = lambda s: F.size(F.filter("rows", lambda r: r["slot"] == s))
     whole = (count(0) == p.team_size) & (count(1) == p.team_size) & (count(2) == 1)
-    return g.select(*FRAME, "possession_id", F.when(whole, F.flatten(F.transform("rows", lambda r: r["node"]))).alias("nodes"))
+    return g.select(*FRAME, "possession_id", F.when(whole, F.flatten(F.transform("rows", lambda r: r["node"]))).alias("nodes"), F.transform(F.filter("rows", lambda r: r["slot"] == 0), lambda r: r["player_id"]).alias("ids"))
 
 
 def sparse_frames(tracking: DataFrame, p: Params = DEFAULT) -> DataFrame:

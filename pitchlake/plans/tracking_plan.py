@@ -73,6 +73,20 @@ class TrackingPlan:
     def features(self) -> DataFrame:
         return windows.frame_features(self.frames, self.framed, self.t.direction, self.p)
 
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return windows.node_matrix(self.framed, self.t.direction, self.kin, self.p)
+
+    @cached_property
+    def v1_sequences(self) -> DataFrame:
+        """What V1 sees of each window: its pooled features, frame by frame."""
+        return windows.window_sequences(self.windows, self.features)
+
+    @cached_property
+    def v2_sequences(self) -> DataFrame:
+        """What V2 sees of each window: its entities, frame by frame."""
+        return windows.node_sequences(self.windows, self.nodes)
+
     @cached_property
     def window_values(self) -> DataFrame:
         return value.window_values(windows.window_features(self.windows, self.features))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pitchlake import oracle
 from pitchlake.functions import evaluation
-from pitchlake.operators import models, search, value, video, windows
+from pitchlake.operators import counterfactual, models, networks, search, training, value, video, windows
 from pitchlake.oracle import FEATURES, needed, rounded
 from pitchlake.params import DEFAULT, FRAME
 from pitchlake.plans.tracking_plan import TrackingPlan
@@ -395,6 +395,76 @@ def trained_auc(spark, sf_dir):
     return out
 
 
+TARGETS = ["shot", "box_entry", "line_break"]
+HELD_OUT = F.expr("match_id % 5 = 4")
+#: Steps of training in queries.
+V1_STEPS, V2_STEPS = 30, 25
+
+
+#: Weights trained in this application, by data folder.
+_weights: dict[tuple[str, str], dict[str, training.Trained]] = {}
+
+
+def trained(p: TrackingPlan, name: str) -> dict[str, training.Trained]:
+    """Both models, trained on four fifths of the matches; once a session and folder."""
+    key = (p.t.spark.sparkContext.applicationId, name)
+    if key not in _weights:
+        labelled = lambda seq: seq.filter(~HELD_OUT).join(p.window_labels.select(*windows.WINDOW, *TARGETS), list(windows.WINDOW))
+        v1 = training.packs(labelled(p.v1_sequences), ["shot"])
+        v2 = training.packs(labelled(p.v2_sequences), TARGETS, size=32)
+        _weights[key] = {
+            "v1": training.fit(v1, networks.new_lstm(len(windows.FEATURES)), (len(windows.FEATURES),), V1_STEPS),
+            "v2": training.fit(v2, networks.new_attention_lstm(8), (23, 8), V2_STEPS),
+        }
+    return _weights[key]
+
+
+def network_gains(p: TrackingPlan, name: str) -> DataFrame:
+    w = trained(p, name)
+    cells = value.variant_frames(p.geometry, p.frames, p.t.direction, value.drift_velocity(p.runs, p.kin, p.t.direction, p.p), p.p)
+    scored = counterfactual.score_variants(counterfactual.run_sequences(cells, windows.entity_nodes(p.framed, p.t.direction, p.kin, p.p)), w["v1"].weights, w["v2"].weights)
+    return p.runs.select("run_id").join(scored, "run_id", "left")
+
+
+@query()
+def cf_gain_networks(spark, sf_dir):
+    """Counterfactual gain of every run under the trained models themselves; null where a model cannot score it."""
+    return network_gains(stored_plan(spark, sf_dir), sf_dir)
+
+
+@query()
+def cf_gain_networks_summary(spark, sf_dir):
+    """Coverage of runs by each trained model, mean and largest gain, the share of gains of 0.05 or more, and how the models' gains go together."""
+    g = stored(network_gains(stored_plan(spark, sf_dir), sf_dir))
+    r = F.corr("cf_gain_v1_frozen", "cf_gain_v2_frozen").alias("r")
+    figures = [f(F.col(f"cf_gain_{v}_frozen")).alias(f"{name}_{v}") for v in ("v1", "v2") for name, f in (("coverage", lambda c: F.count(c) / F.count(F.lit(1))), ("mean_gain", F.avg), ("max_gain", F.max), ("share", lambda c: F.avg((c >= DEFAULT.gain_share).cast("double"))))]
+    return g.agg(F.count(F.lit(1)).alias("n"), *figures, r)
+
+
+@query()
+def trained_networks(spark, sf_dir):
+    """V1 (shot) and V2 (shot, box entry, line break) trained by gradient descent, with the mean loss of each head before and after.
+
+    AUC is that on the fifth of the matches that training has not seen, beside the fixed logistic function that stands in
+    for the model elsewhere; null where the held-out labels have one class. Windows without eleven tracked players a team are not scored by V2.
+    """
+    p = stored_plan(spark, sf_dir)
+    labels = stored(p.window_labels.join(p.window_values.select(*windows.WINDOW, "v1", "v2"), list(windows.WINDOW)))
+    models_ = trained(p, sf_dir)
+    own = {"v1": (p.v1_sequences, (len(windows.FEATURES),), ["shot"]), "v2": (p.v2_sequences, (23, 8), TARGETS)}
+    lines, scored = [], []
+    for m, (seq, shape, targets) in own.items():
+        losses = models_[m].losses
+        lines += [(m, t, losses[0][h], losses[-1][h]) for h, t in enumerate(targets)]
+        of = training.predict(seq.filter(HELD_OUT), models_[m].weights, shape, [f"p_{t}" for t in targets]).join(labels.select(*windows.WINDOW, *TARGETS, F.col(m).alias("fixed")), list(windows.WINDOW))
+        each = [F.struct(F.lit(m).alias("model"), F.lit(t).alias("target"), F.col(f"p_{t}").alias("p"), F.col("fixed"), F.col(t).alias("y")) for t in targets]
+        scored.append(of.select(F.explode(F.array(*each)).alias("e")).select("e.*"))
+    scored = stored(reduce(DataFrame.unionByName, scored))
+    new, old = (evaluation.auc(scored.filter("p is not null"), c, "y", ["model", "target"]).select("model", "target", F.col("auc").alias(name), "n_pos", "n_neg") for c, name in (("p", "auc"), ("fixed", "auc_stand_in")))
+    out = spark.createDataFrame(lines, "model string, target string, loss_first double, loss_last double")
+    return out.join(new, ["model", "target"], "left").join(old.drop("n_pos", "n_neg"), ["model", "target"], "left")
+
+
 @query("""SELECT user_id, session_id, count(*) AS n_events, min(event_id) AS first_event, max(event_id) AS last_event FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session_id FROM (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 86400000000 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))) GROUP BY ALL""")
 def event_islands(spark, sf_dir):
     """The possession pattern on raw events: islands of a user's events with no gap over a day."""
