@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchlake.functions.geometry import goal_distance, in_box, ms_to_frames, sigmoid
-from pitchlake.operators.windows import ENTITY_FEATURES, FEATURES, oriented, with_features
+from pitchlake.operators.windows import ENTITY_FEATURES, FEATURES, oriented, trailing_means, with_features
 from pitchlake.params import DEFAULT, FRAME, Params
 
 V1 = {"": -2.0, "ball_x": 0.02, "ball_speed": 0.005, "goal_dist": -0.05, "att_x": 0.02, "def_x": -0.01, "compactness": 0.02, "pressure": -0.2, "att_in_box": 0.3}
@@ -35,12 +35,17 @@ def window_values(features: DataFrame) -> DataFrame:
 
 
 def value_gained(runs: DataFrame, values: DataFrame, score: str = "v1") -> DataFrame:
-    """(run_id, v_before, v_after, value_gained): the latest windows of the possession that end by the run's start and by its end; null without one."""
+    """(run_id, v_before, v_after, value_gained): the latest windows of the possession that end by the run's start and by its end; null without one.
+
+    One pass in time order over the possession's windows and its runs' ends: each takes the last window before it.
+    """
     key = ["match_id", "period", "possession_id"]
-    v = values.select(*key, "w_end", F.col(score).alias("v"))
-    near = runs.select("run_id", *key, "f_start", "f_end").join(v, key).filter("w_end <= f_end")
-    upto = lambda f: F.max_by(F.when(F.col("w_end") <= F.col(f), F.col("v")), F.when(F.col("w_end") <= F.col(f), F.col("w_end")))
-    got = near.groupBy("run_id").agg(upto("f_start").alias("v_before"), upto("f_end").alias("v_after"))
+    v = values.select(*key, F.col("w_end").alias("frame"), F.struct(F.col(score).alias("v")).alias("value"), F.lit(0).alias("place"), F.lit(None).cast("string").alias("run_id"))
+    ends = runs.select("run_id", *key, F.posexplode(F.array("f_start", "f_end")).alias("end", "frame"))
+    ends = ends.select(*key, "frame", F.lit(None).cast(v.schema["value"].dataType).alias("value"), (F.col("end") + 1).alias("place"), "run_id")
+    before = Window.partitionBy(*key).orderBy("frame", F.col("place") > 0).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = v.unionByName(ends).withColumn("value", F.last("value", ignorenulls=True).over(before)).filter("place > 0")
+    got = seen.groupBy("run_id").agg(*[F.max(F.when(F.col("place") == i, F.col("value.v"))).alias(name) for i, name in ((1, "v_before"), (2, "v_after"))])
     return runs.select("run_id").join(got, "run_id", "left").withColumn("value_gained", F.col("v_after") - F.col("v_before"))
 
 
@@ -116,8 +121,5 @@ def gains() -> list[Column]:
 
 def probability_trace(runs: DataFrame, features: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """(run_id, frame, v1): the value along each run, of the window that ends at each of its frames; whole windows inside the possession only."""
-    wide = ms_to_frames(p.window_ms, F.col("fps"))
-    r = runs.select("run_id", "match_id", "period", "possession_id", wide.alias("wide"), F.explode(F.sequence("f_start", "f_end")).alias("at"))
-    r = r.withColumn("frame", F.explode(F.sequence(F.col("at") - F.col("wide") + 1, F.col("at"))))
-    g = r.join(features.drop("team", "fps"), [*FRAME, "possession_id"]).groupBy("run_id", "at").agg(F.first("wide").alias("wide"), F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in (*FEATURES, *ENTITY_FEATURES)])
-    return g.filter("n = wide").select("run_id", F.col("at").alias("frame"), logistic(V1).alias("v1"))
+    r = runs.select("run_id", "match_id", "period", "possession_id", F.explode(F.sequence("f_start", "f_end")).alias("frame"))
+    return r.join(trailing_means(features, p), [*FRAME, "possession_id"]).select("run_id", "frame", logistic(V1).alias("v1"))

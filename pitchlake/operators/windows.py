@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchlake.functions.geometry import attack_x, attack_y, goal_distance, in_box, length, ms_to_frames
@@ -71,11 +71,32 @@ def frame_features(frames: DataFrame, framed: DataFrame, direction: DataFrame, p
     return with_features(df, p).select(*FRAME, "possession_id", "team", "fps", *FEATURES, *ENTITY_FEATURES)
 
 
-def window_features(windows: DataFrame, features: DataFrame) -> DataFrame:
+#: A window's length on the clock of trailing_means().
+SPAN = 1_000_000
+
+
+def trailing_means(features: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """(match_id, period, frame, possession_id, *features): the mean of each feature over the window that ends at each possession frame, where it is whole.
+
+    A mean is the difference of two running sums over the possession. The one before the window is found on a clock in which every
+    match's window is SPAN long, whatever its frame rate: that of frame f is f * SPAN div frames of a window, and only
+    frames outside the window are SPAN or more behind. All is worked out in one sorted pass.
+    """
+    names = [*FEATURES, *ENTITY_FEATURES]
+    wide = ms_to_frames(p.window_ms, F.col("fps"))
+    df = features.select(*FRAME, "possession_id", wide.alias("wide"), *names).withColumn("clock", F.expr(f"frame * {SPAN} div wide"))
+    order = Window.partitionBy("match_id", "period", "possession_id").orderBy("clock")
+    upto, before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rangeBetween(Window.unboundedPreceding, -SPAN)
+    sums = F.struct(F.count(F.lit(1)).over(upto).alias("n"), *[F.coalesce(F.sum(c).over(upto), F.lit(0.0)).alias(c) for c in names], *[F.count(c).over(upto).alias(f"n_{c}") for c in names])
+    df = df.withColumn("sums", sums).withColumn("gone", F.last("sums").over(before))
+    less = lambda c: F.col(f"sums.{c}") - F.coalesce(F.col(f"gone.{c}"), F.lit(0))
+    return df.filter(less("n") == F.col("wide")).select(*FRAME, "possession_id", *[F.try_divide(less(c), less(f"n_{c}")).alias(c) for c in names])
+
+
+def window_features(windows: DataFrame, features: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Windows with the mean of each feature over their frames."""
-    w = windows.withColumn("frame", F.explode(F.sequence("w_start", "w_end")))
-    df = w.join(features.drop("team", "fps"), [*FRAME, "possession_id"])
-    return df.groupBy(*WINDOW, "team", "fps", "w_end").agg(*[F.avg(c).alias(c) for c in (*FEATURES, *ENTITY_FEATURES)])
+    means = trailing_means(features, p).withColumnRenamed("frame", "w_end")
+    return windows.join(means, ["match_id", "period", "possession_id", "w_end"]).select(*WINDOW, "team", "fps", "w_end", *FEATURES, *ENTITY_FEATURES)
 
 
 def window_sequences(windows: DataFrame, features: DataFrame) -> DataFrame:
@@ -107,16 +128,23 @@ def frame_flags(frames: DataFrame, direction: DataFrame, p: Params = DEFAULT) ->
 def window_labels(windows: DataFrame, frames: DataFrame, direction: DataFrame, shots: DataFrame, matches: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Windows with shot (null where the match has no shot events), box_entry and line_break within the horizon after their end.
 
-    What can happen in a frame is three flags, worked out once a frame and team; only they and frame numbers meet the windows.
+    What can happen in a frame is three flags. One pass over flagged frames and windows, backwards in time, gives each window
+    the next frame with each flag after its end.
     """
     ahead = ms_to_frames(p.horizon_ms, F.col("fps"))
+    names = {"in_box": "box_entry", "past_line": "line_break", "hit": "shot"}
     flags = frame_flags(frames, direction, p).filter("in_box or past_line").select(*FRAME, "team", "in_box", "past_line", F.lit(False).alias("hit"))
     hits = shots.select(*FRAME, "team").distinct().select(*FRAME, "team", F.lit(False).alias("in_box"), F.lit(False).alias("past_line"), F.lit(True).alias("hit"))
-    w = windows.select(*WINDOW, "team", F.explode(F.sequence(F.col("w_end") + 1, F.col("w_end") + ahead)).alias("frame"))
-    seen = w.join(flags.unionByName(hits), [*FRAME, "team"]).groupBy(*WINDOW).agg(F.max("in_box").alias("box_entry"), F.max("past_line").alias("line_break"), F.max("hit").alias("shot"))
-    df = windows.join(seen, list(WINDOW), "left").join(matches.select("match_id", "has_shots"), "match_id", "left")
-    known = df.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("box_entry", "line_break", "shot")})
-    return known.withColumn("shot", F.when(F.col("has_shots"), F.col("shot"))).drop("has_shots")
+    row = F.struct(*[c for c in windows.columns if c not in ("match_id", "period", "team")]).alias("window")
+    asked = windows.select("match_id", "period", "team", F.col("w_end").alias("frame"), row)
+    events = flags.unionByName(hits).select("match_id", "period", "team", "frame", *names)
+    both = asked.unionByName(events, allowMissingColumns=True)
+    # a window comes before what happens in its last frame, which is not after it
+    after = Window.partitionBy("match_id", "period", "team").orderBy(F.desc("frame"), F.col("window").isNull()).rowsBetween(Window.unboundedPreceding, -1)
+    seen = both.withColumns({f"next_{c}": F.last(F.when(F.col(c), F.col("frame")), ignorenulls=True).over(after) for c in names}).filter("window is not null")
+    df = seen.select("match_id", "period", "team", "window.*", *[f"next_{c}" for c in names]).join(matches.select("match_id", "has_shots"), "match_id", "left")
+    known = df.withColumns({to: F.coalesce(F.col(f"next_{c}") <= F.col("w_end") + ahead, F.lit(False)) for c, to in names.items()})
+    return known.withColumn("shot", F.when(F.col("has_shots"), F.col("shot"))).select(*windows.columns, "box_entry", "line_break", "shot")
 
 
 def node_matrix(framed: DataFrame, direction: DataFrame, tracking: DataFrame, p: Params = DEFAULT) -> DataFrame:

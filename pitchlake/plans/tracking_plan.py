@@ -89,7 +89,7 @@ class TrackingPlan:
 
     @cached_property
     def window_values(self) -> DataFrame:
-        return value.window_values(windows.window_features(self.windows, self.features))
+        return value.window_values(windows.window_features(self.windows, self.features, self.p))
 
     @cached_property
     def window_labels(self) -> DataFrame:

@@ -396,7 +396,7 @@ def trained_auc(spark, sf_dir):
 
 
 TARGETS = ["shot", "box_entry", "line_break"]
-HELD_OUT = F.expr("match_id % 5 = 4")
+HELD_OUT = "match_id % 5 = 4"
 #: Steps of training in queries.
 V1_STEPS, V2_STEPS = 30, 25
 
@@ -409,7 +409,7 @@ def trained(p: TrackingPlan, name: str) -> dict[str, training.Trained]:
     """Both models, trained on four fifths of the matches; once a session and folder."""
     key = (p.t.spark.sparkContext.applicationId, name)
     if key not in _weights:
-        labelled = lambda seq: seq.filter(~HELD_OUT).join(p.window_labels.select(*windows.WINDOW, *TARGETS), list(windows.WINDOW))
+        labelled = lambda seq: seq.filter(f"NOT ({HELD_OUT})").join(p.window_labels.select(*windows.WINDOW, *TARGETS), list(windows.WINDOW))
         v1 = training.packs(labelled(p.v1_sequences), ["shot"])
         v2 = training.packs(labelled(p.v2_sequences), TARGETS, size=32)
         _weights[key] = {
