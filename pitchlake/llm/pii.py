@@ -3,11 +3,14 @@
 Fixed patterns give the base spans, which always stay. Looser patterns propose
 further candidates. Regex, gazetteer and context labelers vote on every
 candidate, those of the base kinds included (for, against, abstain).
-Expectation-maximisation estimates each labeler's reliability from how they agree
-over the whole corpus, and with it the probability that a candidate is personal
+Expectation-maximisation estimates each labeler's reliability for each kind, as a
+labeler means something else in each, from how they agree over the whole corpus and
+on a list of decoys: look-alikes that are known not to be personal data, and weigh as much as the
+kind's candidates do. With it goes the probability that a candidate is personal
 data, by its votes. A logistic classifier of spans is trained on these
 probabilities as soft labels; it sees a span's shape and surroundings besides the
-votes. A second pass over the texts keeps the candidates that it accepts.
+votes. A second pass over the texts keeps the candidates that it accepts, of kinds for
+which the corpus has evidence: without candidates that are likely by their votes, nothing of a kind is added.
 
 What is counted over the corpus is a table of (kind, votes, shape): as many rows
 as there are such combinations at most, however many documents.
@@ -23,8 +26,10 @@ empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -87,8 +92,26 @@ SECRET = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9]))?")
 #: How keys of common services begin, and letters of a hash or key in hexadecimal.
 SECRET_PREFIX = ("AKIA", "ASIA", "sk-", "sk_", "pk_", "rk_", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "AIza", "eyJ", "ya29")
 HEX = re.compile(r"[0-9a-f]{32,}|[0-9A-F]{32,}")
+#: What comes right before a name.
+INTRODUCED = re.compile(r"(?:name is|named|called|signed|dear|regards,?|contact|heißt?|heiße|nommée?|appelle|llamo|llama)[ \n]$", re.IGNORECASE)
+#: Whole tokens of some of these services.
+TOKEN_FORMS = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pos]_[A-Za-z0-9]{36}|glpat-[A-Za-z0-9_-]{20}|AIza[A-Za-z0-9_-]{35}|[sprk]k[_-](?:live|test|proj)?[_-]?[A-Za-z0-9]{20,}|xox[bp]-[A-Za-z0-9-]{20,}")
 ASSIGNED = re.compile(r"[=:]\s*[\"']?$")
-NOT_PERSONAL = re.compile(r"version|licen[sc]e|copyright|isbn|rfc|chapter|figure|section|page|release|build|example", re.IGNORECASE)
+NOT_PERSONAL = re.compile(
+    r"version|licen[sc]e|copyright|isbn|\brfc|chapter|figure|section|\bpage|release|\bbuild|example|\bcommits?\b|revision|checksum|digest|\bsha-?[0-9]*\b|\bmd5|\buuid|\bguid|\betag|\border\b|invoice|\bmodel\b|"
+    r"serial|catalogue?|\bparts?\b|\bitem\b|\barticle|treaty|agreement|regulation|\bdated\b|published|updated|edition|\bfilm|\bnovel|\bstory|\bpath\b|\bfile\b",
+    re.IGNORECASE,
+)
+#: Look-alikes: every candidate in them is of the negative class.
+DECOYS = (
+    "released as version 10.2.0.14 of the build", "figure 4.10.200.7 and section 2.12.3.1 of the manual", "published 2019-05-12 by the office", "the agreement dated 03/11/2004 was long", "page updated on March 4, 2015 again",
+    "the old 14.07.1989 edition of the map", "they met on 21/09/1971 in spring", "between 1987-04-03 and 1990-11-02 it rained", "invoice 555-201-3344 is open", "model 800-555-0199 in the catalogue", "a ratio of 410-555-7788 units",
+    "serial number 219-09-9998 on the back", "item 078-05-1121 of the list", "the code 457-55-5462 is old", "commit 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b fixes it", "reverts a94a8fe5ccb19ba61c4c0873d391e987982fbbd3 again",
+    "sha256 e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855 matches", "etag 5d41402abc4b2a76b9719d911017c592 sent", "row 123e4567-e89b-12d3-a456-426614174000 was read", "in /home/projects/release2021/main_window/src1 there",
+    "see https://site.example/articles/2020/09/15/summary-of-events1 for more", "open USER_PROFILE_PAGE_2023_FINAL_v2 now", "the token field_name_number_17_of_the_form is empty", "key: default-layout-for-page-2-wide", "internationalisation2024edition of it",
+    "Maria Theresa reigned for long", "when Jean Jacques wrote it", "Peter Pan is a story", "in San Juan Carmen Bay lies", "the film 10 Cloverfield Lane ran", "a novel, 42 Long Winding Road", "gauge 1234 5678 9012 3456 read", "id 1111-2222-3333-4444 is taken",
+    "write a(at)b.cd in the formula", "vector x (at) point.one (dot) two", "grid 1:2:3:4:5:6:7:8 was drawn", "article AB12 3456 7890 1234 of the catalogue", "part ZX99 1111 2222 3333 4444 fits",
+)
 TOKEN = re.compile(r"[\w-]+")
 
 
@@ -143,22 +166,22 @@ def valid(kind: str, s: str) -> int:
         return 1 if all(0 < x <= 31 for x in numbers if x < 1900) and max(numbers) <= 2025 else -1
     if kind in ("local_phone", "phone"):
         return -1 if len(set(DIGIT.findall(s))) < 3 else 1
-    if kind == "secret":
-        return 1 if HEX.fullmatch(s) or (mixture(s) == 3 and len(set(s)) >= 12) else -1 if mixture(s) == 1 or len(set(s)) < 8 else 0
+    if kind == "secret":  # no words joined by signs, no word with a number after it, but many different characters mixed
+        if max(map(len, re.split(r"[_/+-]", s.rstrip("=")))) < 16 or re.fullmatch(r"[A-Za-z]+[0-9]+", s) or len(set(s)) < 8:
+            return -1
+        return 1 if HEX.fullmatch(s) or (mixture(s) > 1 and len(set(s)) >= 9) else 0
     if kind in ("card", "card_like"):
         return 1 if luhn("".join(DIGIT.findall(s))) else -1
     if kind == "ip":
         return -1 if s.startswith("0.") or s.endswith(".0") else 1
-    return 1 if kind in ("email", "ipv6") else 0
+    return 0
 
 
 def known(kind: str, s: str) -> int:
     """Gazetteer labeler."""
     words = TOKEN.findall(s)
-    if kind == "person":
-        return 1 if any(w in GIVEN for w in words) else 0
-    if kind == "address":
-        return 1
+    if kind == "person":  # a given name after a title; without one it is what makes the candidate
+        return 1 if words[0] in TITLES and any(w in GIVEN for w in words[1:]) else 0
     if kind in ("spelled_email", "email"):
         return 1 if words[-1].lower() in ("com", "org", "net", "edu", "de", "fr", "es", "eu", "io") else -1
     if kind in ("card", "card_like"):
@@ -176,17 +199,17 @@ def cued(kind: str, before: str) -> int:
 
 def plain_context(before: str, after: str) -> int:
     """Context labeler against: versions, licences, references."""
-    return -1 if NOT_PERSONAL.search(before) or NOT_PERSONAL.search(after) else 0
+    return -1 if NOT_PERSONAL.search(before[-28:]) or NOT_PERSONAL.search(after[:16]) else 0
 
 
 def formed(kind: str, s: str, before: str) -> int:
-    """Regex labeler of form: a title, brackets or spacing that the kind is written with, or an assignment."""
+    """Regex labeler of form: a title or an introduction, brackets or spacing that the kind is written with, or an assignment."""
     if kind == "person":
-        return 1 if s.split(" ")[0].rstrip(".") in TITLES else 0
+        return 1 if s.split(" ")[0].rstrip(".") in TITLES or INTRODUCED.search(before) else 0
     if kind in ("local_phone", "iban", "phone"):
         return 1 if " " in s or "(" in s else 0
     if kind == "secret":
-        return 1 if ASSIGNED.search(before) else -1 if "/" in s and before[-1:] in ("/", ":", ".") else 0
+        return 1 if ASSIGNED.search(before) or TOKEN_FORMS.fullmatch(s) else -1 if "/" in s and before[-1:] in ("/", ":", ".") else 0
     return 0
 
 
@@ -222,7 +245,7 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
     for start, end, kind in sorted(found, key=lambda x: (x[0], -x[1], KINDS.index(x[2]))):
         while i < len(base) and base[i][1] <= start:
             i += 1
-        touched = [b for b in base[i : i + 8] if b[0] < end and start < b[1]]
+        touched = [b for b in base[i : bisect_left(base, (end, 0, ""), i)] if start < b[1]]
         if start < free or any(kind != "secret" or b[0] <= start and end <= b[1] for b in touched):
             continue
         out.append((start, end, kind, judged(text, start, end, kind)))
@@ -230,62 +253,95 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
     return out
 
 
-def expectation_maximisation(votes: np.ndarray, n: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """(probability of each row of votes, reliabilities P(vote | class) by labeler, class, vote + 1); n rows each.
+#: Counts that a labeler's reliability begins with, P(against, abstain, for | class): better than chance; for one kind, abstaining says little.
+BETTER_THAN_CHANCE = 10 * np.array([[0.4, 0.4, 0.2], [0.05, 0.4, 0.55]])
+OF_A_KIND = 8 * np.array([[0.35, 0.6, 0.05], [0.05, 0.55, 0.4]])
+
 
-    Two classes, labelers independent given the class. It begins with the majority; prior counts hold that a labeler is
-    better than chance, which also tells which class is which.
+def expectation_maximisation(votes: np.ndarray, n: np.ndarray, rounds: int = 50, negative: np.ndarray | None = None, start: np.ndarray = BETTER_THAN_CHANCE, against: float = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(probability of each row of votes, reliabilities P(vote | class) by labeler, class, vote + 1); n rows each, those in `negative` known to be none.
+
+    Two classes, labelers independent given the class. It begins with the majority; prior counts (start; one row for and
+    `against` rows against) tell which class is which.
     """
+    negative = np.zeros(len(votes), dtype=bool) if negative is None else negative
     at, labelers = votes + 1, votes.shape[1]
-    post = 1 / (1 + np.exp(-1.5 * votes.sum(axis=1) + 0.5))
+    post = np.where(negative, 0.0, 1 / (1 + np.exp(-1.5 * votes.sum(axis=1) + 0.5)))
     rel = np.full((labelers, 2, 3), 1 / 3)
     for _ in range(rounds):
-        rel = np.tile(10 * np.array([[0.4, 0.4, 0.2], [0.05, 0.4, 0.55]]), (labelers, 1, 1))
+        rel = np.tile(start, (labelers, 1, 1))
         for j in range(labelers):
             rel[j, 1] += np.bincount(at[:, j], weights=n * post, minlength=3)
             rel[j, 0] += np.bincount(at[:, j], weights=n * (1 - post), minlength=3)
         rel /= rel.sum(axis=2, keepdims=True)
-        prior = (1 + (n * post).sum()) / (2 + n.sum())
+        prior = (1 + (n * post).sum()) / (1 + against + n.sum())
         odds = np.log(prior / (1 - prior)) + sum(np.log(rel[j, 1, at[:, j]] / rel[j, 0, at[:, j]]) for j in range(labelers))
-        post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        post = np.where(negative, 0.0, 1 / (1 + np.exp(-np.clip(odds, -30, 30))))
     return post, rel
 
 
+@lru_cache(maxsize=1)
+def decoys() -> dict[Pattern, int]:
+    """Patterns of the candidates in DECOYS, and how often each is there."""
+    counts: Counter[Pattern] = Counter()
+    for text in DECOYS:
+        base = base_spans(text)
+        counts.update(judged(text, s, e, k) for s, e, k in base)
+        counts.update(c[3] for c in candidates(text, base))
+    return dict(counts)
+
+
 def features(patterns: np.ndarray) -> np.ndarray:
-    """Kind, votes and shape as zeros and ones, and a constant."""
-    votes, form = patterns[:, 1 : 1 + LABELERS] + 1, patterns[:, 1 + LABELERS :]
-    return np.concatenate([np.eye(len(KINDS))[patterns[:, 0]], *[np.eye(3)[votes[:, j]] for j in range(LABELERS)], *[np.eye(4)[form[:, j]] for j in range(SHAPES)], np.ones((len(patterns), 1))], axis=1)
+    """Kind, votes, votes by kind and shape as zeros and ones, and a constant."""
+    kind, votes, form = np.eye(len(KINDS))[patterns[:, 0]], patterns[:, 1 : 1 + LABELERS] + 1, patterns[:, 1 + LABELERS :]
+    said = np.concatenate([np.eye(3)[votes[:, j]] for j in range(LABELERS)], axis=1)
+    own = (kind[:, :, None] * said[:, None, :]).reshape(len(patterns), -1)
+    return np.concatenate([kind, said, own, *[np.eye(4)[form[:, j]] for j in range(SHAPES)], np.ones((len(patterns), 1))], axis=1)
 
 
 @dataclass
 class Model:
-    """The classifier's weights, and the labelers' reliabilities."""
+    """The classifier's weights, the labelers' reliabilities by kind, and how many spans of each kind are likely by their votes."""
 
     weights: np.ndarray | None = None
-    reliability: np.ndarray = field(default_factory=lambda: np.full((LABELERS, 2, 3), 1 / 3))
+    reliability: np.ndarray = field(default_factory=lambda: np.full((len(KINDS), LABELERS, 2, 3), 1 / 3))
+    evidence: np.ndarray = field(default_factory=lambda: np.zeros(len(KINDS)))
     known: dict[Pattern, float] = field(default_factory=dict)
 
     def probability(self, pattern: Pattern) -> float:
-        if self.weights is None:
+        if self.weights is None or self.evidence[pattern[0]] < 1:
             return 0.0
         if pattern not in self.known:  # as many as there are patterns at most
             self.known[pattern] = float(1 / (1 + np.exp(-(features(np.array([pattern])) @ self.weights)[0])))
         return self.known[pattern]
 
 
-def train(counts: dict[Pattern, int], rounds: int = 50, steps: int = 800) -> Model:
-    """Reliabilities by expectation-maximisation, then a logistic classifier of spans on its probabilities."""
+def train(counts: dict[Pattern, int], rounds: int = 50, steps: int = 1500) -> Model:
+    """Reliabilities of each kind by expectation-maximisation, then a logistic classifier of spans on its probabilities.
+
+    Decoys weigh as much as the kind's candidates, and ten at least. evidence counts what the votes make more likely than not.
+    """
     if not counts:
         return Model()
-    patterns = np.array(sorted(counts))
-    n = np.array([counts[tuple(p)] for p in patterns.tolist()], dtype=float)
-    post, rel = expectation_maximisation(patterns[:, 1 : 1 + LABELERS], n, rounds)
+    known = decoys()
+    patterns = np.array([*sorted(counts), *sorted(known)])
+    negative = np.arange(len(patterns)) >= len(counts)
+    n = np.array([*(counts[p] for p in sorted(counts)), *(known[p] for p in sorted(known))], dtype=float)
+    post, model = np.zeros(len(patterns)), Model()
+    for k in range(len(KINDS)):
+        own = patterns[:, 0] == k
+        if own.any():
+            of = n[own & ~negative].sum()
+            n[own & negative] *= max(10.0, of) / max(1.0, n[own & negative].sum())
+            post[own], model.reliability[k] = expectation_maximisation(patterns[own, 1 : 1 + LABELERS], n[own], rounds, negative[own], OF_A_KIND, against=3)
+            model.evidence[k] = (n * post)[own & ~negative & (post > 0.5)].sum()
     x = features(patterns)
     w, weight = np.zeros(x.shape[1]), np.log1p(n) / np.log1p(n).sum()  # frequent patterns count more, but do not drown the others
     for _ in range(steps):
         p = 1 / (1 + np.exp(-x @ w))
         w -= 2.0 * (x.T @ (weight * (p - post)) + 1e-4 * w)
-    return Model(w, rel)
+    model.weights = w
+    return model
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
