@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitchlake.functions.ordering import ranked
 from pitchlake.operators.runs import normalised
 from pitchlake.params import DEFAULT, FRAME, Params
 
@@ -92,6 +93,20 @@ def best_per(runs: DataFrame, by: list[str], key: str, k: int = 1) -> DataFrame:
     return runs.filter(F.col(key).isNotNull()).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def rank_all(runs: DataFrame, key: str) -> DataFrame:
+    """Every run that has the key, with its rank over the whole table, ties by run_id; no task orders them all."""
+    return ranked(runs.filter(F.col(key).isNotNull()), [F.desc(key), F.asc("run_id")])
+
+
+def slice_digests(slices: DataFrame) -> DataFrame:
+    """(run_id, part, n_rows, sum_x, sum_y, digest) of run_slice(): digest is of the part's rows in order, places in millimetres."""
+    mm = lambda c: F.round(F.col(c) * 1000).cast("long").alias(c)
+    row = F.array_sort(F.collect_list(F.struct("frame", "player_id", mm("x"), mm("y"))))  # as long as the run
+    g = slices.groupBy("run_id", "part").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("x"), 6).alias("sum_x"), F.round(F.sum("y"), 6).alias("sum_y"), row.alias("rows"))
+    text = F.concat_ws(",", F.transform("rows", lambda r: F.concat_ws(":", r["frame"], r["player_id"], r["x"], r["y"])))
+    return g.select("run_id", "part", "n_rows", "sum_x", "sum_y", F.md5(text).alias("digest"))
+
+
 def run_slice(runs: DataFrame, tracking: DataFrame) -> DataFrame:
     """Every entity's place in every frame of the runs: what an animation of them shows."""
     r = runs.select("run_id", "match_id", "period", F.col("player_id").alias("runner_id"), "nearest_def", F.explode(F.sequence("f_start", "f_end")).alias("frame"))

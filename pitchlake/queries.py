@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from dataclasses import replace
 from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
@@ -16,8 +16,9 @@ from pitchlake.operators import counterfactual, models, networks, search, traini
 from pitchlake.oracle import FEATURES, needed, rounded
 from pitchlake.params import DEFAULT, FRAME
 from pitchlake.plans.tracking_plan import TrackingPlan
+from pitchlake.sources import artifacts
 from pitchlake.sources.fixture import from_events
-from pitchlake.storage import stored
+from pitchlake.storage import folder, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,6 +73,7 @@ def rows_by_source(spark, sf_dir):
 
 @query(f"SELECT {oracle.F3}, n_home, n_away FROM (SELECT {oracle.F3}, count(*) FILTER (team = 'home') AS n_home, count(*) FILTER (team = 'away') AS n_away FROM tracking WHERE NOT (player_id = 3 AND frame % 7 = 0) GROUP BY ALL) WHERE n_home < 11 OR n_away < 11")
 def sparse_frames(spark, sf_dir):
+    """Frames with too few players. The table has none: as a fixture, player 3 is taken out of every seventh frame first."""
     t = from_events(spark, sf_dir).tracking.filter(~((F.col("player_id") == 3) & (F.col("frame") % 7 == 0)))
     return windows.sparse_frames(t)
 
@@ -151,21 +153,30 @@ def window_labels(spark, sf_dir):
     return stored_plan(spark, sf_dir).window_labels.select(*KEY, "w_start", "shot", "box_entry", "line_break")
 
 
-@query("""SELECT match_id, count(*) AS n_windows, round(sum(len(seq)), 6) AS n_steps, round(sum(seq[1]), 6) AS first_ball_x FROM (SELECT w.match_id, w.possession_id, w_start, list(ball_x ORDER BY frame) AS seq
- FROM win w JOIN ff f ON f.match_id = w.match_id AND f.period = w.period AND f.possession_id = w.possession_id AND f.frame BETWEEN w_start AND w_end GROUP BY ALL) GROUP BY match_id""")
+@query(f"""SELECT match_id, count(DISTINCT (period, possession_id, w_start)) AS n_windows, count(*) AS n_steps, {", ".join(f"round(sum(coalesce({c}, 0)), 4) AS sum_{c}, round(sum((frame - w_start) * coalesce({c}, 0)), 3) AS order_{c}" for c in windows.FEATURES)}
+ FROM (SELECT w.match_id, w.period, w.possession_id, w_start, f.frame, {", ".join(windows.FEATURES)} FROM win w JOIN ff f ON f.match_id = w.match_id AND f.period = w.period AND f.possession_id = w.possession_id AND f.frame BETWEEN w_start AND w_end) GROUP BY match_id""")
 def window_sequences(spark, sf_dir):
-    p = stored_plan(spark, sf_dir)
-    s = windows.window_sequences(p.windows, p.features)
-    return s.groupBy("match_id").agg(F.count(F.lit(1)).alias("n_windows"), F.round(F.sum(F.size("seq")).cast("double"), 6).alias("n_steps"), F.round(F.sum(F.get(F.get("seq", 0), 0)), 6).alias("first_ball_x"))
+    """Every feature of every window's sequence, added up, plainly and weighted by the step that it is in."""
+    s = stored_plan(spark, sf_dir).v1_sequences
+    steps = s.select("match_id", F.posexplode("seq").alias("step", "v"))
+    sums = [F.round(F.sum(F.get("v", i) * w), d).alias(f"{name}_{c}") for i, c in enumerate(windows.FEATURES) for name, w, d in (("sum", F.lit(1), 4), ("order", F.col("step"), 3))]
+    return s.groupBy("match_id").agg(F.count(F.lit(1)).alias("n_windows")).join(steps.groupBy("match_id").agg(F.count(F.lit(1)).alias("n_steps"), *sums), "match_id")
+
 
+NODE_SUMS = {"x": "x", "y": "y", "vx": "vx", "vy": "vy", "speed": "speed", "attack": "attack", "ball": "is_ball", "to_ball": "to_ball"}
 
-@query("""SELECT match_id, count(*) AS n_frames, round(sum(x), 6) AS sum_x, round(sum(speed), 6) AS sum_speed, round(sum(to_ball), 6) AS sum_to_ball FROM (SELECT k.match_id, k.frame, sum(CASE WHEN sign < 0 THEN 105.0 - k.x ELSE k.x END) AS x, sum(coalesce(k.speed, 0)) AS speed,
- sum(sqrt((k.x - ballx) * (k.x - ballx) + (k.y - bally) * (k.y - bally))) AS to_ball FROM framed f JOIN kin k USING (match_id, period, frame) JOIN ball b USING (match_id, period, frame) JOIN side s ON s.match_id = f.match_id AND s.period = f.period AND s.team = f.team GROUP BY ALL) GROUP BY match_id""")
+
+@query(f"""SELECT match_id, count(DISTINCT (period, frame)) AS n_frames, {", ".join(f"round(sum({c}), 6) AS sum_{n}, round(sum((slot + 1) * {c}), 4) AS order_{n}" for n, c in NODE_SUMS.items())} FROM (
+ SELECT k.match_id, k.period, k.frame, row_number() OVER (PARTITION BY k.match_id, k.period, k.frame ORDER BY CASE WHEN k.team = f.team THEN 0 WHEN k.team = 'ball' THEN 2 ELSE 1 END, k.player_id) - 1 AS slot, {oracle.nx("k.x")} AS x, {oracle.ny("k.y")} AS y, coalesce(k.vx, 0) * sign AS vx, coalesce(k.vy, 0) * sign AS vy, coalesce(k.speed, 0) AS speed,
+ (k.team = f.team)::INT AS attack, (k.team = 'ball')::INT AS is_ball, sqrt((k.x - ballx) * (k.x - ballx) + (k.y - bally) * (k.y - bally)) AS to_ball
+ FROM framed f JOIN kin k USING (match_id, period, frame) JOIN ball b USING (match_id, period, frame) JOIN side s ON s.match_id = f.match_id AND s.period = f.period AND s.team = f.team) GROUP BY match_id""")
 def node_matrices(spark, sf_dir):
-    p = stored_plan(spark, sf_dir)
-    n = windows.node_matrix(p.framed, p.t.direction, p.kin).filter("nodes is not null")
-    part = lambda i: F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(22)), lambda k: F.get("nodes", k * 8 + i)), F.lit(0.0), lambda a, x: a + x)
-    return n.groupBy("match_id").agg(F.count(F.lit(1)).alias("n_frames"), F.round(F.sum(part(0)), 6).alias("sum_x"), F.round(F.sum(part(4)), 6).alias("sum_speed"), F.round(F.sum(part(7)), 6).alias("sum_to_ball"))
+    """Every feature of every node, added up, plainly and weighted by the slot that it is in."""
+    n = stored_plan(spark, sf_dir).nodes.filter("nodes is not null")
+    values = n.select("match_id", F.posexplode("nodes").alias("at", "v"))
+    of, slot = F.expr("at % 8"), F.expr("at div 8 + 1")
+    sums = [F.round(F.sum(F.when(of == i, F.col("v") * w)), d).alias(f"{name}_{c}") for i, c in enumerate(NODE_SUMS) for name, w, d in (("sum", F.lit(1), 6), ("order", slot, 4))]
+    return n.groupBy("match_id").agg(F.count(F.lit(1)).alias("n_frames")).join(values.groupBy("match_id").agg(*sums), "match_id")
 
 
 # -- value and counterfactuals
@@ -300,12 +311,20 @@ def run_explanations(spark, sf_dir):
     return stored_plan(spark, sf_dir).geometry.select("run_id", search.explain().alias("explanation"))
 
 
-@query("""SELECT g.run_id, t.frame, t.player_id, t.team, CASE WHEN t.player_id = g.player_id THEN 'runner' WHEN t.player_id = nearest_def THEN 'defender' WHEN t.team = 'ball' THEN 'ball' ELSE 'other' END AS part, t.x, t.y
- FROM geo g JOIN tracking t ON t.match_id = g.match_id AND t.period = g.period AND t.frame BETWEEN f_start AND f_end""")
+@query("""SELECT run_id, part, count(*) AS n_rows, round(sum(x), 6) AS sum_x, round(sum(y), 6) AS sum_y, md5(string_agg(frame || ':' || player_id || ':' || round(x * 1000)::BIGINT || ':' || round(y * 1000)::BIGINT, ',' ORDER BY frame, player_id)) AS digest FROM (
+ SELECT g.run_id, t.frame, t.player_id, CASE WHEN t.player_id = g.player_id THEN 'runner' WHEN t.player_id = nearest_def THEN 'defender' WHEN t.team = 'ball' THEN 'ball' ELSE 'other' END AS part, t.x, t.y
+ FROM geo g JOIN tracking t ON t.match_id = g.match_id AND t.period = g.period AND t.frame BETWEEN f_start AND f_end) GROUP BY ALL""")
 def run_slices(spark, sf_dir):
-    """The frames of every run, with each entity in them."""
+    """The frames of every run, with each entity in them: a row for each run and part, with a digest of its rows in order."""
     p = stored_plan(spark, sf_dir)
-    return search.run_slice(p.geometry, p.t.tracking).select("run_id", "frame", "player_id", "team", "part", "x", "y")
+    return search.slice_digests(search.run_slice(p.geometry, p.t.tracking))
+
+
+@query("SELECT run_id, row_number() OVER (ORDER BY round(distance, 6) DESC, run_id) AS rank, round(distance, 6) AS distance FROM runs")
+def run_ranks(spark, sf_dir):
+    """Every run's rank by distance."""
+    r = plan(spark, sf_dir).runs
+    return search.rank_all(r.select("run_id", *r6(r, "distance")), "distance").select("run_id", "rank", "distance")
 
 
 @query("SELECT press_id, match_id, period, possession_id, f_start, f_end, reaction_ms, n_pressers, forced_turnover FROM presses")
@@ -321,22 +340,36 @@ def press_summary(spark, sf_dir):
 # -- artifacts, video, models, events
 
 
-@query("SELECT run_id, distance, 'a' AS only_in FROM (SELECT run_id, round(distance, 6) AS distance FROM runs) WHERE false")
+@query("SELECT match_id, count(*) AS n_a, count(*) AS n_b, true AS same FROM runs GROUP BY match_id")
 def artifact_diff(spark, sf_dir):
-    """Runs found twice, the second time from rows dealt out in another way: nothing differs."""
+    """Runs found twice, the second time from rows dealt out in another way: each match has the same ones, by digests that are stored with both versions."""
     t = from_events(spark, sf_dir)
     again = from_events(spark, sf_dir)
     again.__dict__["tracking"] = t.tracking.repartition("player_id", "frame")
-    a, b = (TrackingPlan(x).runs.select("run_id", F.round("distance", 6).alias("distance")) for x in (t, again))
-    return evaluation.diff(a, b)
+    return compared(spark, *(runs_for_artifact(TrackingPlan(x)) for x in (t, again))).compare("runs", "old", "new", ["match_id"])
+
 
+PLANTED = "(SELECT run_id, match_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY match_id ORDER BY round(distance, 6) DESC, run_id) = 1 AS best FROM runs)"
 
-@query("SELECT run_id, round(distance, 6) AS distance, 'a' AS only_in FROM runs WHERE distance < 8")
+
+@query(f"SELECT match_id, run_id, distance, 'a' AS only_in FROM {PLANTED} WHERE best UNION ALL SELECT match_id, run_id, distance + 1.0, 'b' FROM {PLANTED} WHERE best")
 def artifact_diff_planted(spark, sf_dir):
-    """Runs with two least distances, 5 m and 8 m: the shorter ones are only in the first."""
-    t = from_events(spark, sf_dir)
-    a, b = (TrackingPlan(t, p).runs.select("run_id", F.round("distance", 6).alias("distance")) for p in (DEFAULT, replace(DEFAULT, min_run_distance=8.0)))
-    return evaluation.diff(a, b)
+    """Two versions of the runs, the second with the longest run of each match a metre longer: the rows that tell them apart."""
+    a = stored(runs_for_artifact(plan(spark, sf_dir)))
+    best = search.best_per(a, ["match_id"], "distance").select("run_id", F.lit(1.0).alias("more"))
+    b = a.join(best, "run_id", "left").select("match_id", "run_id", (F.col("distance") + F.coalesce("more", F.lit(0.0))).alias("distance"))
+    return compared(spark, a, b).rows_that_differ("runs", "old", "new", ["match_id"]).select("match_id", "run_id", "distance", "only_in")
+
+
+def runs_for_artifact(p: TrackingPlan) -> DataFrame:
+    return p.runs.select("match_id", "run_id", F.round("distance", 6).alias("distance"))
+
+
+def compared(spark: SparkSession, a: DataFrame, b: DataFrame) -> artifacts.Artifacts:
+    kept = artifacts.Artifacts(spark, f"{folder(spark)}/artifacts-{uuid.uuid4()}")
+    kept.save(a, "runs", "old", ["match_id"])
+    kept.save(b, "runs", "new", ["match_id"])
+    return kept
 
 
 def projected(t: DataFrame) -> DataFrame:
@@ -482,8 +515,3 @@ def event_look_ahead(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ms").rangeBetween(1, 3_600_000)
     soon = F.coalesce(F.sum((F.col("event_type") == "error").cast("long")).over(w), F.lit(0)) > 0
     return e.withColumn("soon", soon).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("soon").alias("n_soon"))
-
-
-# names that the whole-table forms had before
-for _name in ("probability_trace", "run_slices", "homography_apply"):
-    QUERIES[f"{_name}_all"], ORACLE_SQL[f"{_name}_all"] = QUERIES[_name], ORACLE_SQL[_name]
