@@ -8,7 +8,9 @@ quarter. Sums over a sliding window of lines surge where the article begins and
 dive to nothing where it ends; the text between such points is kept, less the
 furniture inside. On every page it is these points that decide: a mark is a weight.
 Lines right before the surge, such as a short heading, belong to it. Article elements that are
-comments or teasers by class, or lie in a comment section, are furniture.
+comments or teasers by class, or lie in a comment section, are furniture. A form, or an element that
+only its class marks, is no furniture where it holds most of the page's text and its heading, or nearly all
+of it where the page has no heading: it wraps the page.
 
 Defined results: null or empty html gives an empty text; markup that is cut off
 or never closed ends with the page; an advert or menu that is never closed ends
@@ -59,6 +61,10 @@ COMMENTS = set("comment comments reply replies respond disqus discussion".split(
 #: Of these, those that mark furniture only where nothing but such words and names of boxes stand beside them: `share-buttons`, not `share-price`.
 VAGUE = set("alert banner legal notice notices promo related share sharing skip social widget widgets".split())
 BOXES = set("area bar block bottom box button buttons container content icons inner item items left link links list main page panel post posts right section site stories text title top wrap wrapper".split())
+#: Words beside which a mark says what a box has or lacks, not what it is: `with-sidebar`.
+ABOUT = set("with has have no not without".split())
+#: Elements that may wrap a whole page; others are furniture whatever they hold.
+WRAPS = HOLDS - (FURNITURE - {"form", "fieldset"})
 WORD = re.compile(r"[a-z]+")
 
 
@@ -66,36 +72,41 @@ def marks(names: str) -> bool:
     """Whether the words of a class and id mark furniture."""
     for name in names.lower().split():
         words = WORD.findall(name)
-        if any(w in MARKS and (w not in VAGUE or all(x in MARKS or x in BOXES for x in words)) for w in words):
+        if ABOUT.isdisjoint(words) and any(w in MARKS and (w not in VAGUE or all(x in MARKS or x in BOXES for x in words)) for w in words):
             return True
     return False
 
 
+def is_out(name: str, attrs: dict[str, str]) -> bool:
+    """Whether an element is out by its role or as hidden."""
+    return attrs.get("role", "") in ROLES - {"form"} or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
+
+
 def is_furniture(name: str, attrs: dict[str, str], in_article: bool) -> bool:
     if name in FURNITURE or (name == "header" and not in_article):
         return True
     if name in ("html", "body", "main", "h1"):
         return False
-    if attrs.get("role", "") in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", ""):
+    if is_out(name, attrs) or attrs.get("role", "") == "form":
         return True
     return marks(f"{attrs.get('class', '')} {attrs.get('id', '')}") and not (in_article and name == "header")
 
 
 def lines_of(html: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
     """Lines as (text, characters outside links, furniture?, inside article or main?), and whether the page marks an article."""
-    lines: list[tuple[str, int, bool, bool]] = []
+    lines: list[tuple[str, int, list[int], bool]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # open containers: name, furniture, article, comments
+    stack: list[tuple[str, int, bool, bool]] = []  # open containers: name, furniture (0, -1, or a number if it may be a wrapper), article, comments
+    headed: dict[int, bool] = {}  # possible wrappers: whether a heading of the page is in it
     inline: list[tuple[str, int]] = []  # open inline furniture
-    linked, in_link, marked = 0, False, False
+    linked, in_link, marked, heading = 0, False, False, False
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                furniture = any(f for _, f, *_ in stack)
-                lines.append((text, max(0, len(text) - linked), furniture, any(a for _, _, a, _ in stack)))
+                lines.append((text, max(0, len(text) - linked), [f for _, f, *_ in stack if f], any(a for _, _, a, _ in stack)))
             parts.clear()
         linked = 0
 
@@ -140,8 +151,9 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
         if name == "a":
             in_link = not closing
         if closing:
-            if inline and inline[-1][0] == name:
-                inline.pop()
+            opened = next((i for i in range(len(inline) - 1, -1, -1) if inline[i][0] == name), None)
+            if opened is not None:
+                del inline[opened:]
             if name in HOLDS:
                 depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
                 if depth is not None:
@@ -158,6 +170,9 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
         if name in VOID or rest.endswith("/"):
             continue
         attrs = {k.lower(): (a or b or c) for k, a, b, c in ATTR.findall(rest)} if rest.strip() else {}
+        if name in ("h1", "article", "main"):
+            heading = True
+            headed |= {f: True for _, f, *_ in stack if f > 0}
         article = name in ("article", "main") or attrs.get("itemprop") == "articleBody" or attrs.get("role") in ("main", "article")
         within = any(a for _, _, a, _ in stack)
         furniture = is_furniture(name, attrs, within)
@@ -166,16 +181,26 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
             inline.clear()
         if name in HOLDS:
             comments = furniture and not COMMENTS.isdisjoint(WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
-            stack.append((name, furniture, article and not furniture, comments))
+            wraps = furniture and not comments and name in WRAPS and not is_out(name, attrs) and not (name == "header")
+            if wraps:
+                headed[len(headed) + 1] = False
+            stack.append((name, len(headed) if wraps else -1 if furniture else 0, article and not furniture, comments))
             marked |= article and not furniture and not any(f for _, f, *_ in stack)
-        elif furniture and name not in BLOCK:
+        elif name not in BLOCK and (furniture or inline):  # what is inside inline furniture is closed first
             inline.append((name, 0))
         elif furniture:  # a marked paragraph or list item: its text is left out up to the next block
             inline.append((name, 0))
         elif name in BLOCK:
             inline.clear()
     flush()
-    return lines, marked
+    # wrappers, from the outermost: they hold most of what nothing else takes out
+    open_ = {f for *_, fs, _ in lines for f in fs if f > 0}
+    for f in sorted(open_):
+        text = [(own, fs) for _, own, fs, _ in lines if not any(x < 0 or (x < f and x in open_) for x in fs)]
+        every, held = sum(own for own, _ in text), sum(own for own, fs in text if f in fs)
+        if 2 * held > every and (headed[f] or (not heading and 10 * (every - held) <= held)):
+            open_.discard(f)
+    return [(text, own, any(f < 0 or f in open_ for f in fs), inside) for text, own, fs, inside in lines], marked
 
 
 def main_lines(lines: list[tuple[str, int, bool, bool]], marked: bool, window: int = WINDOW, surge: int = SURGE, share: float = SHARE) -> list[str]:
