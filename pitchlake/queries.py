@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pitchlake import oracle
 from pitchlake.functions import evaluation
-from pitchlake.operators import counterfactual, models, networks, search, training, value, video, windows
+from pitchlake.operators import association, calibration, counterfactual, models, networks, search, training, value, video, windows
 from pitchlake.oracle import FEATURES, needed, rounded
 from pitchlake.params import DEFAULT, FRAME
 from pitchlake.plans.tracking_plan import TrackingPlan
@@ -385,6 +385,39 @@ def homography_apply(spark, sf_dir):
     return projected(from_events(spark, sf_dir).tracking)
 
 
+#: Fixture: what a moving camera sees of the pitch; its pixels, exactly, from places.
+CAMERA = "struct((px - 0.01 * pan + 20) * 12 / (1 + 0.004 * py) as u, (py + 30) * 9 / (1 + 0.004 * py) as v)"
+
+
+@query("SELECT match_id, count(DISTINCT (period, frame)) AS n, 1.0::DOUBLE AS success_rate, 0.0::DOUBLE AS median_error FROM tracking GROUP BY match_id")
+def calibration_check(spark, sf_dir):
+    """Every frame's homography, solved from its entities' pixels, of which those of two fifths are wrong, and how far the others are off.
+
+    As a fixture, a camera that pans sees the tracking table, and entities whose number ends in 1, 4, 7 or 9 are mistaken for others metres away.
+    """
+    t = from_events(spark, sf_dir).tracking.select("match_id", "period", "frame", "player_id", F.col("x").alias("px"), F.col("y").alias("py"), (F.col("frame") % 500).alias("pan"))
+    t = t.withColumn("p", F.expr(CAMERA)).select("match_id", "period", "frame", "player_id", "p.u", "p.v", "px", "py")
+    wrong = (F.col("player_id") % 10).isin(1, 4, 7, 9)
+    seen = t.select(*FRAME, "u", "v", F.when(wrong, F.col("px") + 7 + F.col("player_id")).otherwise(F.col("px")).alias("px"), F.when(wrong, F.col("py") - 9 - F.col("player_id") / 2).otherwise(F.col("py")).alias("py"))
+    h = stored(calibration.solve(calibration.points(seen, list(FRAME)), list(FRAME)))
+    off = video.apply_homography(t.select(*FRAME, "u", "v", F.col("px").alias("x"), F.col("py").alias("y")), h.select(*FRAME, "h"))
+    errors = off.groupBy(*FRAME).agg(F.max(F.sqrt((F.col("px") - F.col("x")) ** 2 + (F.col("py") - F.col("y")) ** 2)).alias("error"))
+    good = F.coalesce(F.col("error") <= 1.0, F.lit(False))
+    return errors.groupBy("match_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(good.cast("double")), 6).alias("success_rate"), F.round(F.median(F.when(good, F.col("error"))), 6).alias("median_error"))
+
+
+@query()
+def player_tracks(spark, sf_dir):
+    """Every player's box in every frame, seen from above and followed through each match: how many tracks there are, and how many boxes are in a track that is mostly theirs."""
+    t = from_events(spark, sf_dir).tracking.filter("team <> 'ball'")
+    half = F.lit(12.0)  # a fixture: boxes of 24 pixels, ten pixels to a metre
+    box = [(F.col(c) * 10 + d).alias(n) for n, c, d in (("x1", "x", -half), ("y1", "y", -half), ("x2", "x", half), ("y2", "y", half))]
+    found = association.tracked(t.select(F.concat_ws("-", "match_id", "period").alias("clip"), "match_id", "player_id", "frame", *box, F.lit(0.9).alias("conf")), segment=300)
+    each = found.groupBy("match_id", "clip", "track_id", "player_id").count()
+    tracks = each.groupBy("match_id", "clip", "track_id").agg(F.sum("count").alias("n"), F.max("count").alias("own"))
+    return tracks.groupBy("match_id").agg(F.sum("n").alias("n_boxes"), F.count(F.lit(1)).alias("n_tracks"), F.sum("own").alias("n_right"))
+
+
 @query()
 def v1_lstm(spark, sf_dir):
     """Sequence model over windows, with seeded weights: numbers without meaning, for the path of inference."""
