@@ -63,10 +63,22 @@ def run_geometry(runs: DataFrame, frames: DataFrame, direction: DataFrame, p: Pa
     return runs.join(both, "run_id", "left")
 
 
+def shots_after(runs: DataFrame, shots: DataFrame, matches: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """(run_id, shot_ms): every shot of the team after a run's end and within the horizon.
+
+    Time is cut into buckets as long as the horizon: a shot is in one, and a run asks in the two that its horizon reaches, so that
+    a run meets the shots of ten seconds and not of a period.
+    """
+    bucket = lambda c: F.expr(f"{c} div {p.horizon_ms}")
+    s = shots.join(matches.select("match_id", "fps"), "match_id").select("match_id", "period", "team", F.expr("frame * 1000 div fps").alias("shot_ms")).distinct().withColumn("bucket", bucket("shot_ms"))
+    r = runs.select("run_id", "match_id", "period", "team", F.expr("f_end * 1000 div fps").alias("end_ms"))
+    asked = r.withColumn("bucket", F.explode(F.array(bucket("end_ms"), bucket("end_ms") + 1)))
+    near = asked.join(s, ["match_id", "period", "team", "bucket"])
+    return near.filter((F.col("shot_ms") > F.col("end_ms")) & (F.col("shot_ms") <= F.col("end_ms") + p.horizon_ms)).select("run_id", "shot_ms")
+
+
 def label_shots(runs: DataFrame, shots: DataFrame, matches: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """runs with shot_5s: the team shoots after the run's end and within the horizon; null where the match has no shot events."""
-    ms = F.expr("f_end * 1000 div fps")
-    s = shots.join(matches.select("match_id", "fps"), "match_id").select("match_id", "period", "team", F.expr("frame * 1000 div fps").alias("shot_ms")).distinct()
-    hit = runs.select("run_id", "match_id", "period", "team", ms.alias("end_ms")).join(s, ["match_id", "period", "team"]).filter((F.col("shot_ms") > F.col("end_ms")) & (F.col("shot_ms") <= F.col("end_ms") + p.horizon_ms)).select("run_id").distinct().withColumn("hit", F.lit(True))
+    hit = shots_after(runs, shots, matches, p).select("run_id").distinct().withColumn("hit", F.lit(True))
     df = runs.join(hit, "run_id", "left").join(matches.select("match_id", "has_shots"), "match_id", "left")
     return df.withColumn("shot_5s", F.when(F.col("has_shots"), F.coalesce("hit", F.lit(False)))).drop("hit", "has_shots")
