@@ -49,12 +49,12 @@ def run_geometry(runs: DataFrame, frames: DataFrame, direction: DataFrame, p: Pa
     seen = seen.withColumn("players", normalised(F.col("players"), F.col("attack_sign"), p)).withColumn("ball_x", attack_x(F.col("ball.x"), F.col("attack_sign"), p))
     me = F.get(F.filter("players", lambda q: q["player_id"] == F.col("player_id")), 0)
     seen = seen.withColumn("me", me).withColumn("opponents", F.filter("players", lambda q: q["team"] != F.col("team")))
-    near = F.array_min(F.transform(F.filter("opponents", lambda q: ~q["is_gk"]), lambda q: F.struct(length(q["x"] - F.col("me.x"), q["y"] - F.col("me.y")).alias("d"), q["player_id"].alias("player_id"))))
-    seen = seen.select("run_id", "at", "me", "opponents", near.alias("near"), (F.col("me.x") > offside_line(F.col("opponents"), F.col("ball_x"), p)).alias("past"))
+    near = F.array_min(F.transform(F.filter("opponents", lambda q: ~q["is_gk"]), lambda q: F.struct(length(q["x"] - F.col("me.x"), q["y"] - F.col("me.y")).alias("d"), q["player_id"].alias("player_id"), q["x"].alias("x"), q["y"].alias("y"))))
+    # who is nearest at the start is settled there; only the end's opponents travel, for that one to be looked up
+    seen = seen.select("run_id", "at", "me", F.when(F.col("at") == 1, F.col("opponents")).alias("opponents"), near.alias("near"), (F.col("me.x") > offside_line(F.col("opponents"), F.col("ball_x"), p)).alias("past"))
     pick = lambda c, at: F.max(F.when(F.col("at") == at, F.col(c)))
-    both = seen.groupBy("run_id").agg(*[pick(c, at).alias(f"{c}{at}") for c in ("me", "near", "past") for at in (0, 1)], *[F.first(F.when(F.col("at") == at, F.col("opponents")), ignorenulls=True).alias(f"opponents{at}") for at in (0, 1)])
-    place = lambda at: F.get(F.filter(f"opponents{at}", lambda q: q["player_id"] == F.col("near0.player_id")), 0)
-    both = both.withColumn("d0", place(0)).withColumn("d1", place(1))
+    both = seen.groupBy("run_id").agg(*[pick(c, at).alias(f"{c}{at}") for c in ("me", "near", "past") for at in (0, 1)], F.first("opponents", ignorenulls=True).alias("opponents"))
+    both = both.withColumn("d0", F.col("near0")).withColumn("d1", F.get(F.filter("opponents", lambda q: q["player_id"] == F.col("near0.player_id")), 0))
     both = both.select(
         "run_id", F.col("me0.x").alias("x_start"), F.col("me0.y").alias("y_start"), F.col("me1.x").alias("x_end"), F.col("me1.y").alias("y_end"),
         F.col("near0.player_id").alias("nearest_def"), F.col("near0.d").alias("space_before"), F.col("near1.d").alias("space_after"),

@@ -17,7 +17,7 @@ from pitchlake.oracle import FEATURES, needed, rounded
 from pitchlake.params import DEFAULT, FRAME
 from pitchlake.plans.tracking_plan import TrackingPlan
 from pitchlake.sources import artifacts
-from pitchlake.sources.fixture import from_events
+from pitchlake.sources.fixture import Fixture, from_events
 from pitchlake.storage import folder, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,13 +26,26 @@ ORACLE_SQL: dict[str, str] = {}
 KEY = ["match_id", "period", "possession_id"]
 
 
+_tables: dict[tuple[str, str], Fixture] = {}
+
+
+def tables(spark: SparkSession, sf_dir: str) -> Fixture:
+    """The canonical tables of a data folder; positions are made from the event log once a session, and stored, as a provider's would be."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _tables:
+        made = from_events(spark, sf_dir)
+        made.__dict__["tracking"] = stored(made.tracking)
+        _tables[key] = made
+    return _tables[key]
+
+
 def plan(spark: SparkSession, sf_dir: str) -> TrackingPlan:
-    return TrackingPlan(from_events(spark, sf_dir))
+    return TrackingPlan(tables(spark, sf_dir))
 
 
 def stored_plan(spark: SparkSession, sf_dir: str) -> TrackingPlan:
     """For queries that read the shared steps several times."""
-    return TrackingPlan(from_events(spark, sf_dir), store=True)
+    return TrackingPlan(tables(spark, sf_dir), store=True)
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -56,7 +69,7 @@ def r6(df: DataFrame, *names: str) -> list:
 
 @query("SELECT match_id, count(*) AS n_rows, count(DISTINCT (period, frame)) AS n_frames, count(DISTINCT player_id) AS n_entities, max(fps) AS fps, max(t_ms) AS last_ms FROM tracking GROUP BY match_id")
 def tracking_profile(spark, sf_dir):
-    t = from_events(spark, sf_dir).tracking
+    t = tables(spark, sf_dir).tracking
     return t.groupBy("match_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("period", "frame").alias("n_frames"), F.count_distinct("player_id").alias("n_entities"), F.max("fps").alias("fps"), F.max("t_ms").alias("last_ms"))
 
 
@@ -67,14 +80,14 @@ def speed_by_player(spark, sf_dir):
 
 @query("SELECT CASE WHEN match_id % 4 = 3 THEN 'optical' ELSE 'broadcast' END AS source, count(DISTINCT match_id) AS n_matches, count(*) AS n_rows FROM tracking GROUP BY ALL")
 def rows_by_source(spark, sf_dir):
-    t = from_events(spark, sf_dir)
+    t = tables(spark, sf_dir)
     return t.tracking.join(t.matches.select("match_id", "source"), "match_id").groupBy("source").agg(F.count_distinct("match_id").alias("n_matches"), F.count(F.lit(1)).alias("n_rows"))
 
 
 @query(f"SELECT {oracle.F3}, n_home, n_away FROM (SELECT {oracle.F3}, count(*) FILTER (team = 'home') AS n_home, count(*) FILTER (team = 'away') AS n_away FROM tracking WHERE NOT (player_id = 3 AND frame % 7 = 0) GROUP BY ALL) WHERE n_home < 11 OR n_away < 11")
 def sparse_frames(spark, sf_dir):
     """Frames with too few players. The table has none: as a fixture, player 3 is taken out of every seventh frame first."""
-    t = from_events(spark, sf_dir).tracking.filter(~((F.col("player_id") == 3) & (F.col("frame") % 7 == 0)))
+    t = tables(spark, sf_dir).tracking.filter(~((F.col("player_id") == 3) & (F.col("frame") % 7 == 0)))
     return windows.sparse_frames(t)
 
 
@@ -272,7 +285,8 @@ def probability_trace(spark, sf_dir):
 
 @query("SELECT run_id, match_id, player_id, team, duration_ms, round(distance, 6) AS distance, round(cf_gain_v2_frozen, 6) AS cf_gain FROM scores WHERE cf_gain_v2_frozen IS NOT NULL ORDER BY round(cf_gain_v2_frozen, 6) DESC, run_id LIMIT 10")
 def ranked_report(spark, sf_dir):
-    s = stored_plan(spark, sf_dir).scores.withColumn("cf_gain", F.round("cf_gain_v2_frozen", 6))
+    p = stored_plan(spark, sf_dir)
+    s = p.runs.join(p.counterfactual.select("run_id", F.round("cf_gain_v2_frozen", 6).alias("cf_gain")), "run_id")  # the key alone, not the other scores
     r = search.ranked_report(s, "cf_gain", 10)
     return r.select("run_id", "match_id", "player_id", "team", "duration_ms", *r6(r, "distance"), "cf_gain")
 
@@ -382,7 +396,7 @@ def projected(t: DataFrame) -> DataFrame:
 @query(f"""SELECT {oracle.F3}, player_id, round((0.9 * x * 10 + 0.1 * y * 10 + 3) / (0.0001 * x * 10 + 0.0002 * y * 10 + 1), 6) AS px, round((-0.05 * x * 10 + 1.1 * y * 10 + 5) / (0.0001 * x * 10 + 0.0002 * y * 10 + 1), 6) AS py FROM tracking""")
 def homography_apply(spark, sf_dir):
     """Every position, in pixels (ten to a metre), through its frame's homography."""
-    return projected(from_events(spark, sf_dir).tracking)
+    return projected(tables(spark, sf_dir).tracking)
 
 
 #: Fixture: what a moving camera sees of the pitch; its pixels, exactly, from places.
@@ -395,7 +409,7 @@ def calibration_check(spark, sf_dir):
 
     As a fixture, a camera that pans sees the tracking table, and entities whose number ends in 1, 4, 7 or 9 are mistaken for others metres away.
     """
-    t = from_events(spark, sf_dir).tracking.select("match_id", "period", "frame", "player_id", F.col("x").alias("px"), F.col("y").alias("py"), (F.col("frame") % 500).alias("pan"))
+    t = tables(spark, sf_dir).tracking.select("match_id", "period", "frame", "player_id", F.col("x").alias("px"), F.col("y").alias("py"), (F.col("frame") % 500).alias("pan"))
     t = t.withColumn("p", F.expr(CAMERA)).select("match_id", "period", "frame", "player_id", "p.u", "p.v", "px", "py")
     wrong = (F.col("player_id") % 10).isin(1, 4, 7, 9)
     seen = t.select(*FRAME, "u", "v", F.when(wrong, F.col("px") + 7 + F.col("player_id")).otherwise(F.col("px")).alias("px"), F.when(wrong, F.col("py") - 9 - F.col("player_id") / 2).otherwise(F.col("py")).alias("py"))
@@ -409,7 +423,7 @@ def calibration_check(spark, sf_dir):
 @query()
 def player_tracks(spark, sf_dir):
     """Every player's box in every frame, seen from above and followed through each match: how many tracks there are, and how many boxes are in a track that is mostly theirs."""
-    t = from_events(spark, sf_dir).tracking.filter("team <> 'ball'")
+    t = tables(spark, sf_dir).tracking.filter("team <> 'ball'")
     half = F.lit(12.0)  # a fixture: boxes of 24 pixels, ten pixels to a metre
     box = [(F.col(c) * 10 + d).alias(n) for n, c, d in (("x1", "x", -half), ("y1", "y", -half), ("x2", "x", half), ("y2", "y", half))]
     found = association.tracked(t.select(F.concat_ws("-", "match_id", "period").alias("clip"), "match_id", "player_id", "frame", *box, F.lit(0.9).alias("conf")), segment=300)
