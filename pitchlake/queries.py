@@ -166,20 +166,20 @@ def window_labels(spark, sf_dir):
     return stored_plan(spark, sf_dir).window_labels.select(*KEY, "w_start", "shot", "box_entry", "line_break")
 
 
-@query(f"""SELECT match_id, count(DISTINCT (period, possession_id, w_start)) AS n_windows, count(*) AS n_steps, {", ".join(f"round(sum(coalesce({c}, 0)), 4) AS sum_{c}, round(sum((frame - w_start) * coalesce({c}, 0)), 3) AS order_{c}" for c in windows.FEATURES)}
+@query(f"""SELECT match_id, count(DISTINCT (period, possession_id, w_start)) AS n_windows, count(*) AS n_steps, {", ".join(f"round(sum(coalesce({c}, 0)), 4) AS sum_{c}, round(sum((frame - w_start) * coalesce({c}, 0)), 4) AS order_{c}" for c in windows.FEATURES)}
  FROM (SELECT w.match_id, w.period, w.possession_id, w_start, f.frame, {", ".join(windows.FEATURES)} FROM win w JOIN ff f ON f.match_id = w.match_id AND f.period = w.period AND f.possession_id = w.possession_id AND f.frame BETWEEN w_start AND w_end) GROUP BY match_id""")
 def window_sequences(spark, sf_dir):
     """Every feature of every window's sequence, added up, plainly and weighted by the step that it is in."""
     s = stored_plan(spark, sf_dir).v1_sequences
     steps = s.select("match_id", F.posexplode("seq").alias("step", "v"))
-    sums = [F.round(F.sum(F.get("v", i) * w), d).alias(f"{name}_{c}") for i, c in enumerate(windows.FEATURES) for name, w, d in (("sum", F.lit(1), 4), ("order", F.col("step"), 3))]
+    sums = [F.round(F.sum(F.get("v", i) * w), d).alias(f"{name}_{c}") for i, c in enumerate(windows.FEATURES) for name, w, d in (("sum", F.lit(1), 4), ("order", F.col("step"), 4))]  # places are whole millimetres, means of ten of them a digit more: four digits leave no ties
     return s.groupBy("match_id").agg(F.count(F.lit(1)).alias("n_windows")).join(steps.groupBy("match_id").agg(F.count(F.lit(1)).alias("n_steps"), *sums), "match_id")
 
 
 NODE_SUMS = {"x": "x", "y": "y", "vx": "vx", "vy": "vy", "speed": "speed", "attack": "attack", "ball": "is_ball", "to_ball": "to_ball"}
 
 
-@query(f"""SELECT match_id, count(DISTINCT (period, frame)) AS n_frames, {", ".join(f"round(sum({c}), 6) AS sum_{n}, round(sum((slot + 1) * {c}), 4) AS order_{n}" for n, c in NODE_SUMS.items())} FROM (
+@query(f"""SELECT match_id, count(DISTINCT (period, frame)) AS n_frames, {", ".join(f"round(sum({c}), 3) AS sum_{n}, round(sum((slot + 1) * {c}), 3) AS order_{n}" for n, c in NODE_SUMS.items())} FROM (
  SELECT k.match_id, k.period, k.frame, row_number() OVER (PARTITION BY k.match_id, k.period, k.frame ORDER BY CASE WHEN k.team = f.team THEN 0 WHEN k.team = 'ball' THEN 2 ELSE 1 END, k.player_id) - 1 AS slot, {oracle.nx("k.x")} AS x, {oracle.ny("k.y")} AS y, coalesce(k.vx, 0) * sign AS vx, coalesce(k.vy, 0) * sign AS vy, coalesce(k.speed, 0) AS speed,
  (k.team = f.team)::INT AS attack, (k.team = 'ball')::INT AS is_ball, sqrt((k.x - ballx) * (k.x - ballx) + (k.y - bally) * (k.y - bally)) AS to_ball
  FROM framed f JOIN kin k USING (match_id, period, frame) JOIN ball b USING (match_id, period, frame) JOIN side s ON s.match_id = f.match_id AND s.period = f.period AND s.team = f.team) GROUP BY match_id""")
@@ -188,7 +188,7 @@ def node_matrices(spark, sf_dir):
     n = stored_plan(spark, sf_dir).nodes.filter("nodes is not null")
     values = n.select("match_id", F.posexplode("nodes").alias("at", "v"))
     of, slot = F.expr("at % 8"), F.expr("at div 8 + 1")
-    sums = [F.round(F.sum(F.when(of == i, F.col("v") * w)), d).alias(f"{name}_{c}") for i, c in enumerate(NODE_SUMS) for name, w, d in (("sum", F.lit(1), 6), ("order", slot, 4))]
+    sums = [F.round(F.sum(F.when(of == i, F.col("v") * w)), d).alias(f"{name}_{c}") for i, c in enumerate(NODE_SUMS) for name, w, d in (("sum", F.lit(1), 3), ("order", slot, 3))]
     return n.groupBy("match_id").agg(F.count(F.lit(1)).alias("n_frames")).join(values.groupBy("match_id").agg(*sums), "match_id")
 
 
