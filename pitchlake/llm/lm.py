@@ -13,7 +13,7 @@ document itself.
 (only the second part, unweighted, after nothing or a v without counts). c are exact counts,
 T the model's tokens, V the vocabulary's size. Words are runs of letters and digits, lower-cased
 in A-Z, and runs of other characters that are not space. The vocabulary is every
-word that comes twice or more in the target sample, all others being one unknown word.
+word that comes twice or more in the target, all others being one unknown word.
 
 Layout over Spark: 1. the vocabulary and both models' word counts, sums of
 batches; 2. exact pair counts of the ``HEAD`` most frequent words with each
@@ -23,8 +23,9 @@ pair, to buckets that count them and return each document's losses; 4. the losse
 go back to the documents. Losses are added as whole numbers of 2^-20 nats, so that
 sums do not depend on their order.
 
-Bounded: the target sample (about ``max_target`` documents, a seeded share of the
-labelled ones) and with it the vocabulary. All counts cover all documents.
+All good labelled documents are the target, and all counts cover all documents. ``max_target``, if it
+is given, takes a seeded share of about that many; nothing here gives it. The driver and each task hold the
+vocabulary and its counts, some 50 bytes a word that comes twice or more in the target.
 
 Defined results: a null or empty text or one of spaces has no tokens and null losses and
 score, and is not selected; a null doc_id is scored but is never a target; a
@@ -52,6 +53,8 @@ from pitchlake.llm.textkernels import ALNUM, LOWER, NONSPACE, chunked, mix, span
 
 MIX = 0.6
 MAX_TARGET = 20_000
+#: Ids that are sent to every task; of more, texts are dealt by id.
+MAX_SENT = 1_000_000
 #: Words whose pairs with each other are counted in a dense table.
 HEAD = 1000
 #: Bytes of text that are cut up together, and bytes of text whose pairs share a bucket, about.
@@ -166,16 +169,18 @@ def unpacked(z: bytes, n: int) -> np.ndarray:
     return np.stack([np.ascontiguousarray(p.T).reshape(-1).view("<i8") for p in planes.reshape(n, 8, -1)])
 
 
-def flagged(docs: DataFrame, target_ids: DataFrame, max_target: int) -> DataFrame:
-    """(doc_id, raw, target) of docs: target are about max_target of the ids at most."""
+def flagged(docs: DataFrame, target_ids: DataFrame, max_target: int | None = None) -> DataFrame:
+    """(doc_id, raw, target) of docs: target are the ids, or about max_target of them at most."""
     ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
-    share = min(1.0, max_target / max(1, ids.count()))
-    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = ids.filter(unit < share).withColumn("target", F.lit(1).cast("long"))
+    n = ids.count()
+    if max_target is not None and n > max_target:
+        unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+        ids, n = ids.filter(unit < max_target / n), max_target
+    chosen = ids.withColumn("target", F.lit(1).cast("long"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text").cast("string")).alias("raw"))
-    if chosen.count() <= 2 * MAX_TARGET:  # some 1 MB
-        chosen = F.broadcast(chosen)
-    return rows.join(chosen, "doc_id", "left").select("doc_id", "raw", F.coalesce("target", F.lit(0).cast("long")).alias("target"))
+    few = n <= MAX_SENT
+    both = rows.join(F.broadcast(chosen) if few else chosen, "doc_id", "left").select("doc_id", "raw", F.coalesce("target", F.lit(0).cast("long")).alias("target"))
+    return both if few else stored(both)  # texts go to their ids once, not for each count
 
 
 def read(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
@@ -349,7 +354,7 @@ def score(rows: DataFrame, model: Model, bucket_bytes: int = BUCKET_BYTES) -> Da
     return documents.unionByName(settled).unionByName(in_parts).groupBy("batch").applyInArrow(gather, "doc_id long, target long, n_tokens long, target_loss double, background_loss double")
 
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, max_target: int = MAX_TARGET, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, max_target: int | None = None, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score, selected), with the documents labelled as good quality for the target.
 
     The target model has fewer tokens than the background, which lifts every score; selected are the documents that are

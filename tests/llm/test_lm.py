@@ -124,3 +124,21 @@ def test_a_pair_of_a_third_of_the_rows_is_settled_in_parts(spark, monkeypatch):
     for d, n, a, b in want:
         r = whole[d]
         assert r[2] == n and r[3:5] == pytest.approx((a, b), abs=1e-5)
+
+
+def test_every_labelled_document_is_a_target(spark):
+    """More labels than any sample holds, most of them of other documents: the model is that of the labels that matter."""
+    docs = spark.createDataFrame([(i, f"the cat {i % 7} sat on the mat {i % 3} of house {i % 5}") for i in range(60)], "doc_id long, text string")
+    few = spark.range(40).selectExpr("id AS doc_id", "1 AS quality")
+    many = few.unionByName(spark.range(1000, 81000).selectExpr("id AS doc_id", "1 AS quality"))
+    a, b = (sorted(map(tuple, lm.cross_entropy_difference(docs, labels).collect())) for labels in (few, many))
+    assert a == b
+    assert lm.flagged(docs, many).filter("target = 1").count() == 40
+
+
+def test_targets_are_the_same_when_too_many_are_sent(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 50, f"text {i}") for i in range(60)], "doc_id long, text string")
+    ids = spark.range(0, 50, 3).selectExpr("id AS doc_id")
+    a = sorted(map(tuple, lm.flagged(docs, ids).collect()))
+    monkeypatch.setattr(lm, "MAX_SENT", 5)
+    assert sorted(map(tuple, lm.flagged(docs, ids).collect())) == a
