@@ -123,7 +123,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         for t in range(s):
             here &= F.bit_count(in_seg[t]) > 1
         once |= here
-    met = keyed.alias("a").join(keyed.alias("b"), (F.col("a.key") == F.col("b.key")) & (a < b) & (F.bit_count(diff) <= max_bits) & once)
+    # no broadcast: Spark takes the exploded variants to be as small as the fingerprints that they come from
+    met = keyed.alias("a").hint("merge").join(keyed.alias("b"), (F.col("a.key") == F.col("b.key")) & (a < b) & (F.bit_count(diff) <= max_bits) & once)
     return met.select(a.alias("a"), b.alias("b"))
 
 

@@ -112,3 +112,14 @@ def test_rows_of_a_repeated_id_are_judged_by_their_own_texts(spark):
 def test_decontamination_keeps_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b c", "d", "e")], "doc_id long, text string, _digest string, dirty string")
     assert corpus_pipeline.drop_contaminated(spark, docs, SF).collect() == docs.collect()
+
+
+def test_variants_of_stored_fingerprints_are_not_broadcast(spark):
+    """They are 66 rows a fingerprint, which estimates by the stored file's size do not see: a broadcast took the driver's memory."""
+    from pyspark.sql import functions as F
+
+    from pitchlake.llm import simhash
+
+    fps = simhash.stored(spark.range(3000).select(F.xxhash64("id").alias("fp")))
+    plan = simhash.links(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan, plan
