@@ -225,15 +225,18 @@ def first_half(diff: np.ndarray) -> np.ndarray:
     return out
 
 
-def near_pairs(half: int, rows: np.ndarray, star: bool, bit: int | None = None, apart: np.ndarray | None = None) -> list[np.ndarray]:
+def near_pairs(half: int, rows: np.ndarray, star: bool, bit: int | None = None, apart: np.ndarray | None = None, spoken: list[np.ndarray] | None = None) -> list[np.ndarray]:
     """Pairs of nodes that share a variant and nearly agree as a whole. rows are (node, root, size, fingerprint) in order of (size, root, node).
 
     All share a half; a variant is the other half with one bit left out (only that bit, if given: then all rows share it).
     Under each variant, the first row leads: it is
     compared with the rest and leaves, until none is left. As a star, those within NEAR bits of it are its pairs and leave
-    with it, so that there are no more pairs than rows. Else its pairs are those of other roots within PROPOSE bits, and a
+    with it, so that there are no more pairs than rows; these are added to spoken, if it is given. Else its pairs are those of other roots within PROPOSE bits, and a
     variant is through when all that are left have one root: the largest component is only ever compared with. Where
     apart is given, only rows that differ in it are pairs.
+
+    A pair is told under the first half that the two share. A star still leaves no row alone: if the pair with its leader is left
+    out here, the row leads or has a leader under that earlier half.
     """
     node, root, fps = rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 3:]).view(np.uint64)
     _, _, at, n = HALVES[half]
@@ -258,10 +261,11 @@ def near_pairs(half: int, rows: np.ndarray, star: bool, bit: int | None = None,
         if apart is not None:
             near &= apart[row] != apart[lead]
         pair = np.unique(np.stack([lead[near], row[near]]), axis=1)
-        if not star:  # the two meet under each half that they share: it is told once
-            pair = pair[:, first_half(fps[pair[0]] ^ fps[pair[1]]) == half]
-            if bit:  # and under each bit, where the whole half is equal: under the first
-                pair = pair[:, rest[pair[0]] != rest[pair[1]]]
+        if star and spoken is not None:
+            spoken.append(node[pair[1]])
+        pair = pair[:, first_half(fps[pair[0]] ^ fps[pair[1]]) == half]  # the two meet under each half that they share: it is told once
+        if bit and not star:  # and under each bit, where the whole half is equal: under the first
+            pair = pair[:, rest[pair[0]] != rest[pair[1]]]
         found.append(node[pair])
         left = row != lead
         if star:
@@ -336,13 +340,13 @@ def proposed(nodes: DataFrame, star: bool) -> DataFrame:
         ab = np.unique(ab, axis=1)
         return pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], ["a", "b"])
 
-    def pairs(at: tuple[int, int, int], held: list[np.ndarray]) -> list[np.ndarray]:
+    def pairs(at: tuple[int, int, int], held: list[np.ndarray], spoken: list[np.ndarray] | None = None) -> list[np.ndarray]:
         rows = np.concatenate(held)
         if len(rows) < 2:
             return []
         key, low, high = at
         half, bit = (key >> HALF_AT & 0xFF, key >> BIT_AT & 0xFF) if key & BY_VARIANT else (key >> HALF_AT, None)
-        return near_pairs(half, rows[:, 1:], star, bit, rows[:, 0] if low != high else None)
+        return near_pairs(half, rows[:, 1:], star, bit, rows[:, 0] if low != high else None, spoken)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, size = None, [], 0
@@ -358,11 +362,10 @@ def proposed(nodes: DataFrame, star: bool) -> DataFrame:
                 held.append(rows[lo:hi])
                 size += hi - lo
                 if star and size > 2 * GROUP_ROWS:
-                    part = pairs(at, held)
-                    found += part
-                    spoken = np.unique(np.concatenate([p[1] for p in part])) if part else rows[:0, 1]
+                    spoken: list[np.ndarray] = [rows[:0, 1]]
+                    found += pairs(at, held, spoken)
                     held = np.concatenate(held)
-                    held = [held[~np.isin(held[:, 1], spoken)][:GROUP_ROWS]]
+                    held = [held[~np.isin(held[:, 1], np.concatenate(spoken))][:GROUP_ROWS]]
                     size = len(held[0])
             yield out(found)
         if held:

@@ -123,3 +123,24 @@ def test_variants_of_stored_fingerprints_are_not_broadcast(spark):
     fps = simhash.stored(spark.range(3000).select(F.xxhash64("id").alias("fp")))
     plan = simhash.links(fps)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan, plan
+
+
+def test_a_star_tells_each_link_of_a_large_group_once():
+    """Near copies share nearly all halves: a link under each of them is 38 times the rows. Every copy keeps a link."""
+    import numpy as np
+
+    from pitchlake.llm import simhash
+
+    rng = np.random.default_rng(4)
+    n = 400
+    bits = np.tile(rng.integers(0, 2, 64 * simhash.WIDE_WORDS), (n, 1))
+    for row in bits:
+        row[rng.choice(bits.shape[1], 6, replace=False)] ^= 1
+    fps = np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view("<u8")
+    rows = np.column_stack([np.arange(n), np.arange(n), np.ones(n, dtype=np.int64), fps.view(np.int64)])
+    told = []
+    for half, (at, m, _, _) in enumerate(simhash.HALVES):
+        key = simhash.segment_bits(fps, at, m)
+        told += [p for k in np.unique(key) for p in simhash.near_pairs(half, rows[key == k], star=True)]
+    told = np.concatenate(told, axis=1)
+    assert set(told.ravel().tolist()) == set(range(n)) and n - 1 <= told.shape[1] < 8 * n, told.shape
