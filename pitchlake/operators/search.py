@@ -55,7 +55,7 @@ def overlaps(runs: DataFrame, frames: DataFrame, framed: DataFrame, direction: D
     """runs with overlap: behind the carrier at the start, ahead and wider at the end; false if there is no carrier then."""
     held = framed.select(*FRAME, F.col("player_id").alias("carrier_id"))
     at = runs.select("run_id", "match_id", "period", "team", F.explode(F.array(F.struct(F.lit(0).alias("at"), F.col("f_start").alias("frame")), F.struct(F.lit(1).alias("at"), F.col("f_end").alias("frame")))).alias("e")).select("*", "e.*").drop("e")
-    at = at.join(held, list(FRAME))
+    at = held.join(at.hint("shuffle_hash"), list(FRAME))
     c = frames.select(*FRAME, "players").join(at.hint("shuffle_hash"), list(FRAME)).join(direction.hint("shuffle_hash"), ["match_id", "period", "team"])
     c = c.withColumn("c", F.get(F.filter(normalised(F.col("players"), F.col("attack_sign"), p), lambda q: q["player_id"] == F.col("carrier_id")), 0))
     pick = lambda i, f: F.max(F.when(F.col("at") == i, F.col("c")[f]))

@@ -124,4 +124,4 @@ def gains() -> list[Column]:
 def probability_trace(runs: DataFrame, features: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """(run_id, frame, v1): the value along each run, of the window that ends at each of its frames; whole windows inside the possession only."""
     r = runs.select("run_id", "match_id", "period", "possession_id", F.explode(F.sequence("f_start", "f_end")).alias("frame"))
-    return r.join(trailing_means(features, p), [*FRAME, "possession_id"]).select("run_id", "frame", logistic(V1).alias("v1"))
+    return trailing_means(features, p).join(r.hint("shuffle_hash"), [*FRAME, "possession_id"]).select("run_id", "frame", logistic(V1).alias("v1"))

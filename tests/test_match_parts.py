@@ -3,6 +3,7 @@
 import pytest
 
 from pitchlake import storage
+from pitchlake.operators import search, value
 from pitchlake.queries import QUERIES, plan, stored_plan
 
 SF = "/root/testdata/sf0.01"
@@ -33,6 +34,16 @@ def test_no_stored_table_is_broadcast_by_its_file_size(spark):
     assert "BroadcastHashJoin" not in p.features._jdf.queryExecution().executedPlan().toString()
 
 
+def test_what_runs_grow_to_is_not_broadcast_by_their_file_size(spark):
+    """A row for each frame of every run, and the frames of possessions, went through the driver wherever the stored file was small."""
+    p = stored_plan(spark, SF)
+    overlap = search.overlaps(p.geometry, p.frames, p.framed, p.t.direction)
+    for df in (value.probability_trace(p.runs, p.features), overlap):
+        plan_of = df._jdf.queryExecution().executedPlan().toString()
+        lines = [line for line in plan_of.splitlines() if "BroadcastHashJoin" in line and "frame" in line]
+        assert not lines, lines
+
+
 def test_slices_have_every_entity_of_every_frame(spark):
     p = stored_plan(spark, "/root/testdata/sf0.001")
     frames = p.geometry.selectExpr("sum(f_end - f_start + 1) AS n").first().n
