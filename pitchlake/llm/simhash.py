@@ -225,7 +225,7 @@ def first_half(diff: np.ndarray) -> np.ndarray:
     return out
 
 
-def near_pairs(half: int, rows: np.ndarray, star: bool, bit: int | None = None, apart: np.ndarray | None = None, spoken: list[np.ndarray] | None = None) -> list[np.ndarray]:
+def near_pairs(half: int, rows: np.ndarray, star: bool, bit: int | None = None, apart: np.ndarray | None = None, spoken: list[np.ndarray] | None = None, nearest: bool = False) -> list[np.ndarray]:
     """Pairs of nodes that share a variant and nearly agree as a whole. rows are (node, root, size, fingerprint) in order of (size, root, node).
 
     All share a half; a variant is the other half with one bit left out (only that bit, if given: then all rows share it).
@@ -233,7 +233,8 @@ def near_pairs(half: int, rows: np.ndarray, star: bool, bit: int | None = None,
     compared with the rest and leaves, until none is left. As a star, those within NEAR bits of it are its pairs and leave
     with it, so that there are no more pairs than rows; these are added to spoken, if it is given. Else its pairs are those of other roots within PROPOSE bits, and a
     variant is through when all that are left have one root: the largest component is only ever compared with. Where
-    apart is given, only rows that differ in it are pairs.
+    apart is given, only rows that differ in it are pairs. With nearest, of a leader's pairs with one root only the nearest
+    is told, and (in a third row) whether there are more.
 
     A pair is told under the first half that the two share. A star still leaves no row alone: if the pair with its leader is left
     out here, the row leads or has a leader under that earlier half.
@@ -266,7 +267,15 @@ def near_pairs(half: int, rows: np.ndarray, star: bool, bit: int | None = None,
         pair = pair[:, first_half(fps[pair[0]] ^ fps[pair[1]]) == half]  # the two meet under each half that they share: it is told once
         if bit and not star:  # and under each bit, where the whole half is equal: under the first
             pair = pair[:, rest[pair[0]] != rest[pair[1]]]
-        found.append(node[pair])
+        if nearest:
+            apart_by = np.bitwise_count(fps[pair[0]] ^ fps[pair[1]]).sum(axis=1, dtype=np.int64)
+            pair = pair[:, np.lexsort((pair[1], apart_by, root[pair[1]], pair[0]))]
+            to = np.stack([pair[0], root[pair[1]]])
+            at_first = np.flatnonzero(np.concatenate(([True], (to[:, 1:] != to[:, :-1]).any(axis=0)))) if pair.shape[1] else np.empty(0, dtype=np.int64)
+            many = np.diff(np.append(at_first, pair.shape[1])) > 1
+            found.append(np.concatenate([node[pair[:, at_first]], [many]]))
+        else:
+            found.append(node[pair])
         left = row != lead
         if star:
             left &= ~near
@@ -328,17 +337,19 @@ def spread(nodes: DataFrame) -> DataFrame:
     return usual.unionByName(dealt.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", *NODE))
 
 
-def proposed(nodes: DataFrame, star: bool) -> DataFrame:
-    """(a, b) with a < b: near_pairs() of nodes(*NODE); some come several times.
+def proposed(nodes: DataFrame, star: bool, nearest: bool = False) -> DataFrame:
+    """(a, b) with a < b: near_pairs() of nodes(*NODE); some come several times. With nearest, also more: 1 if some of the leader's pairs with that root are not told.
 
     As a star, leaders of a large group that goes by in parts stay, GROUP_ROWS of them at most: what it misses
     the other form finds.
     """
 
+    names = ["a", "b", "more"] if nearest else ["a", "b"]
+
     def out(found: list[np.ndarray]) -> pa.RecordBatch:
-        ab = np.sort(np.concatenate([np.empty((2, 0), dtype=np.int64), *found], axis=1), axis=0)
-        ab = np.unique(ab, axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], ["a", "b"])
+        ab = np.concatenate([np.empty((len(names), 0), dtype=np.int64), *found], axis=1)
+        ab[:2] = np.sort(ab[:2], axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in np.unique(ab, axis=1)], names)
 
     def pairs(at: tuple[int, int, int], held: list[np.ndarray], spoken: list[np.ndarray] | None = None) -> list[np.ndarray]:
         rows = np.concatenate(held)
@@ -346,7 +357,7 @@ def proposed(nodes: DataFrame, star: bool) -> DataFrame:
             return []
         key, low, high = at
         half, bit = (key >> HALF_AT & 0xFF, key >> BIT_AT & 0xFF) if key & BY_VARIANT else (key >> HALF_AT, None)
-        return near_pairs(half, rows[:, 1:], star, bit, rows[:, 0] if low != high else None, spoken)
+        return near_pairs(half, rows[:, 1:], star, bit, rows[:, 0] if low != high else None, spoken, nearest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, size = None, [], 0
@@ -373,7 +384,7 @@ def proposed(nodes: DataFrame, star: bool) -> DataFrame:
 
     keyed = keyed_halves(nodes).select("key", *[F.lit(0).cast("long").alias(c) for c in ("low", "high", "part")], *NODE) if star else spread(nodes)
     order = ["key", "low", "high", "size", "root", "node"]
-    return keyed.repartition("key", "low", "high").sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
+    return keyed.repartition("key", "low", "high").sortWithinPartitions(*order).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -409,12 +420,25 @@ def grouped(docs: DataFrame) -> DataFrame:
         shingles = stored(contents(docs, nodes.join(ends, "node").select(F.col("rep").alias("doc_id"), "node")))
         return cut(verified(pairs, shingles))
 
+    def placed(label: DataFrame) -> DataFrame:
+        sizes = label.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+        return stored(some.join(label.join(sizes, "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("size", F.lit(1)).cast("long").alias("size"), *FP))
+
+    def merged(label: DataFrame, more: DataFrame) -> DataFrame:
+        return connected_components(label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b")
+
     some = nodes.filter("node != 0")
     label = connected_components(links(stored(proposed(some.select("*", F.col("node").alias("root"), F.lit(1).cast("long").alias("size")), star=True).distinct())), "a", "b")
-    sizes = label.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    placed = stored(some.join(label.join(sizes, "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("size", F.lit(1)).cast("long").alias("size"), *FP))
-    more = links(stored(proposed(placed, star=False).distinct()))
-    label = connected_components(label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b")  # (node, root), linked ones only
+    # between components: the nearest of each that a row meets, as one link joins the two; what stays apart and has more, in full
+    near = stored(proposed(placed(label), star=False, nearest=True).groupBy("a", "b").agg(F.max("more").alias("more")))
+    label = merged(label, links(near.select("a", "b")))
+    now = placed(label)
+    root_of = lambda end: now.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    open_ = near.filter("more = 1").join(root_of("a"), "a").join(root_of("b"), "b").filter("root_a != root_b")
+    roots = stored(open_.select(F.explode(F.array("root_a", "root_b")).alias("root")).distinct())
+    if not roots.isEmpty():
+        rest = proposed(now.join(roots, "root", "left_semi").select(*NODE), star=False).distinct().join(near, ["a", "b"], "left_anti")
+        label = merged(label, links(stored(rest)))  # (node, root), linked ones only
     rooted = nodes.join(label, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_node = rooted.join(smallest, "root").select("node", "root", "component_id")

@@ -144,3 +144,29 @@ def test_a_star_tells_each_link_of_a_large_group_once():
         told += [p for k in np.unique(key) for p in simhash.near_pairs(half, rows[key == k], star=True)]
     told = np.concatenate(told, axis=1)
     assert set(told.ravel().tolist()) == set(range(n)) and n - 1 <= told.shape[1] < 8 * n, told.shape
+
+
+def test_a_row_near_a_large_component_tells_its_nearest_there(spark):
+    """Rows that are near a component of n but not of it told n pairs each, a number that grew with the square of the family."""
+    import numpy as np
+
+    from pitchlake.llm import simhash
+
+    rng = np.random.default_rng(6)
+    n, outside = 300, 40
+    bits = np.tile(rng.integers(0, 2, 64 * simhash.WIDE_WORDS), (n, 1))
+    for i, row in enumerate(bits):
+        row[rng.choice(bits.shape[1], 6 if i >= outside else 12, replace=False)] ^= 1
+    fps = np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view("<u8").view(np.int64)
+    root = [i if i < outside else outside for i in range(n)]
+    size = [1 if i < outside else n - outside for i in range(n)]
+    nodes = simhash.stored(spark.createDataFrame([(i, root[i], size[i], *fps[i].tolist()) for i in range(n)], simhash.NODE_SCHEMA))
+    every = {tuple(r) for r in simhash.proposed(nodes, star=False).collect()}
+    told = [tuple(r) for r in simhash.proposed(nodes, star=False, nearest=True).collect()]
+    family = lambda pairs: {p for p in pairs if p[1] >= outside > p[0]}
+    assert len(family(every)) > 0.8 * outside * (n - outside)
+    assert {(a, b) for a, b, _ in told} <= every and len({p[:2] for p in family(told)}) < 0.1 * len(family(every))
+    # no row that has pairs with a component is left without one, and where not all are told, it is said
+    assert {(a, root[b]) for a, b in every} == {(a, root[b]) for a, b, _ in told}
+    silent = {(a, root[b]) for a, b in every - {p[:2] for p in told}}
+    assert silent <= {(a, root[b]) for a, b, more in told if more}
