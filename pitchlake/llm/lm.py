@@ -38,7 +38,7 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -48,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchlake.llm.common import map_batches, sliced, stored, utf8
+from pitchlake.llm.common import map_batches, release, sliced, stored, utf8
 from pitchlake.llm.textkernels import ALNUM, LOWER, NONSPACE, chunked, mix, span_hashes
 
 MIX = 0.6
@@ -62,6 +62,8 @@ BATCH_BYTES = 4 << 20
 BUCKET_BYTES = 4 << 20
 #: A bucket whose entries take more than so many times that is settled in parts.
 LARGE = 4
+#: Entries whose losses are worked out at once.
+PART = 1 << 16
 ONE = float(1 << 20)
 
 
@@ -142,8 +144,13 @@ def counts_of(raws: list[bytes], vocabulary: np.ndarray) -> Counts:
 def losses(model: Model, target: np.ndarray, length: np.ndarray, before: np.ndarray | None, after: np.ndarray, own_before: np.ndarray | None, own_after: np.ndarray, pair: np.ndarray | None, own: np.ndarray) -> np.ndarray:
     """Nats * 2^20 of `own` tokens each, under the target and the background model, as whole numbers.
 
-    target and length belong to each entry's document; pair are the pair's counts in both models.
+    target and length belong to each entry's document; pair are the pair's counts in both models. PART entries go by at once,
+    as what is held between steps is several times the entries.
     """
+    if len(own) > PART:
+        some = lambda x, at: None if x is None else x[..., at]
+        cuts = [slice(i, i + PART) for i in range(0, len(own), PART)]
+        return np.concatenate([losses(model, *(some(x, at) for x in (target, length, before, after, own_before, own_after, pair, own))) for at in cuts], axis=1)
     out = []
     for which in (0, 1):
         mine = target if which == 0 else np.ones(len(own), dtype=np.int64)  # are the document's counts in this model?
@@ -163,10 +170,13 @@ def packed(*columns: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(planes)
 
 
-def unpacked(z: bytes, n: int) -> np.ndarray:
-    """n columns of packed()."""
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(z), dtype=np.uint8)
-    return np.stack([np.ascontiguousarray(p.T).reshape(-1).view("<i8") for p in planes.reshape(n, 8, -1)])
+def unpacked(z: bytes, n: int, kind: type = np.int64) -> np.ndarray:
+    """n columns of packed(), as numbers of that kind, which holds them."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(z), dtype=np.uint8).reshape(n, 8, -1)
+    out = np.empty((n, planes.shape[2]), dtype=kind)
+    for column, p in zip(out, planes, strict=True):
+        column[:] = np.ascontiguousarray(p.T).reshape(-1).view("<i8")
+    return out
 
 
 def flagged(docs: DataFrame, target_ids: DataFrame, max_target: int | None = None) -> DataFrame:
@@ -242,44 +252,62 @@ def score(rows: DataFrame, model: Model, bucket_bytes: int = BUCKET_BYTES) -> Da
     n_buckets = 1 + (rows.agg(F.sum(F.octet_length("raw"))).first()[0] or 0) // bucket_bytes
     step = "batch long, bucket long, entries binary, docs binary"
 
+    def cut_one(batch: pa.RecordBatch, batch_id: int, place: np.ndarray) -> pa.RecordBatch:
+        """A batch's entries by bucket, and its documents."""
+        model = shared.value
+        raws, target = read(batch)
+        c = counts_of(raws, model.words)
+        own_before, own_after = c.own(c.doc, c.before, model.size), c.own(c.doc, c.after, model.size)
+        total = np.zeros((2, len(raws)), dtype=np.int64)
+        full = np.flatnonzero(c.length)
+        if len(full):
+            total[:, full] += losses(model, target[full], c.length[full], None, c.first, None, c.own(full, c.first, model.size), None, np.ones(len(full), dtype=np.int64))
+        head = np.flatnonzero((place[c.before] >= 0) & (place[c.after] >= 0))
+        d, pair = c.doc[head], model.pairs[:, place[c.before[head]], place[c.after[head]]]
+        loss = losses(model, target[d], c.length[d], c.before[head], c.after[head], own_before[head], own_after[head], pair, c.n[head])
+        for which in (0, 1):
+            np.add.at(total[which], d, loss[which])
+        ids = batch.column("doc_id")
+        known = np.array([x is not None for x in ids.to_pylist()], dtype=np.int64)
+        own = packed(ids.fill_null(0).to_numpy(), known, target, c.length, *total)
+        rest = np.flatnonzero((place[c.before] < 0) | (place[c.after] < 0))
+        bucket = (mix((c.before[rest] * model.size + c.after[rest]).astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
+        by = np.lexsort((c.doc[rest], c.after[rest], c.before[rest], bucket))
+        rest, bucket = rest[by], bucket[by]
+        edge = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(rest) else np.empty(0, dtype=np.int64)
+        out = [(batch_id % n_buckets, None, own)]  # the documents themselves pass through
+        for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(rest)], strict=False):
+            r = rest[lo:hi]
+            d = c.doc[r]
+            out.append((int(bucket[lo]), packed(d, np.diff(c.before[r], prepend=0), c.after[r], c.n[r], own_before[r], own_after[r], target[d], c.length[d]), None))
+        return pa.RecordBatch.from_arrays([pa.array([batch_id] * len(out)), pa.array([b for b, *_ in out], pa.int64()), pa.array([e for _, e, _ in out], pa.binary()), pa.array([o for *_, o in out], pa.binary())], ["batch", "bucket", "entries", "docs"])
+
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, place = shared.value, None
-        batch_id = TaskContext.get().partitionId() << 32
-        for whole in batches:
-            for batch in sliced(whole, "raw", BATCH_BYTES):
-                place = model.place() if place is None else place
-                raws, target = read(batch)
-                c = counts_of(raws, model.words)
-                own_before, own_after = c.own(c.doc, c.before, model.size), c.own(c.doc, c.after, model.size)
-                total = np.zeros((2, len(raws)), dtype=np.int64)
-                full = np.flatnonzero(c.length)
-                if len(full):
-                    total[:, full] += losses(model, target[full], c.length[full], None, c.first, None, c.own(full, c.first, model.size), None, np.ones(len(full), dtype=np.int64))
-                head = np.flatnonzero((place[c.before] >= 0) & (place[c.after] >= 0))
-                d, pair = c.doc[head], model.pairs[:, place[c.before[head]], place[c.after[head]]]
-                loss = losses(model, target[d], c.length[d], c.before[head], c.after[head], own_before[head], own_after[head], pair, c.n[head])
-                for which in (0, 1):
-                    np.add.at(total[which], d, loss[which])
-                ids = batch.column("doc_id")
-                known = np.array([x is not None for x in ids.to_pylist()], dtype=np.int64)
-                own = packed(ids.fill_null(0).to_numpy(), known, target, c.length, *total)
-                rest = np.flatnonzero((place[c.before] < 0) | (place[c.after] < 0))
-                bucket = (mix((c.before[rest] * model.size + c.after[rest]).astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
-                by = np.lexsort((c.doc[rest], c.after[rest], c.before[rest], bucket))
-                rest, bucket = rest[by], bucket[by]
-                edge = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(rest) else np.empty(0, dtype=np.int64)
-                out = [(batch_id % n_buckets, None, own)]  # the documents themselves pass through
-                for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(rest)], strict=False):
-                    r = rest[lo:hi]
-                    d = c.doc[r]
-                    out.append((int(bucket[lo]), packed(d, np.diff(c.before[r], prepend=0), c.after[r], c.n[r], own_before[r], own_after[r], target[d], c.length[d]), None))
-                yield pa.RecordBatch.from_arrays([pa.array([batch_id] * len(out)), pa.array([b for b, *_ in out], pa.int64()), pa.array([e for _, e, _ in out], pa.binary()), pa.array([o for *_, o in out], pa.binary())], ["batch", "bucket", "entries", "docs"])
-                batch_id += 1
+        batch_id, place = TaskContext.get().partitionId() << 32, shared.value.place()
+        try:
+            for whole in batches:
+                for batch in sliced(whole, "raw", BATCH_BYTES):
+                    yield cut_one(batch, batch_id, place)
+                    batch_id += 1
+        finally:
+            release()  # the worker goes on to other tasks, or idles beside them
+
+    def frugal(fn: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+        """fn, and its memory given back after large groups."""
+
+        def run(t: pa.Table) -> pa.Table:
+            try:
+                return fn(t)
+            finally:
+                if t.nbytes > 1 << 20:
+                    release()
+
+        return run
 
     def entries_of(t: pa.Table) -> tuple[list[int], list[np.ndarray], np.ndarray]:
         """Of a bucket: batches, their entries, and the pairs of all entries."""
-        batches, parts = t.column("batch").to_pylist(), [unpacked(z, 8) for z in t.column("entries").to_pylist()]
-        before = np.concatenate([np.cumsum(p[1]) for p in parts]) if parts else np.empty(0, dtype=np.int64)
+        batches, parts = t.column("batch").to_pylist(), [unpacked(z, 8, np.int32) for z in t.column("entries").to_pylist()]
+        before = np.concatenate([np.cumsum(p[1], dtype=np.int64) for p in parts]) if parts else np.empty(0, dtype=np.int64)
         return batches, parts, before * shared.value.size + (np.concatenate([p[2] for p in parts]) if parts else before)
 
     def losses_of(batches: list[int], parts: list[np.ndarray], code: np.ndarray, pair: np.ndarray) -> pa.Table:
@@ -344,14 +372,14 @@ def score(rows: DataFrame, model: Model, bucket_bytes: int = BUCKET_BYTES) -> Da
     size = F.sum(F.octet_length("entries"))
     large = stored(entries.groupBy("bucket").agg(size.alias("size")).filter(F.col("size") > LARGE * bucket_bytes).select("bucket", F.ceil(F.col("size") / bucket_bytes).alias("parts")))
     done = "batch long, entries binary, docs binary"
-    settled = entries.join(large, "bucket", "left_anti").groupBy("bucket").applyInArrow(settle, done)
+    settled = entries.join(large, "bucket", "left_anti").groupBy("bucket").applyInArrow(frugal(settle), done)
     dealt = entries.join(large, "bucket").withColumn("part", F.pmod(F.xxhash64("batch"), F.col("parts"))).drop("parts")
-    partial = dealt.groupBy("bucket", "part").applyInArrow(count_part, "bucket long, counts binary")
-    counts = partial.groupBy("bucket").applyInArrow(add_up, "bucket long, counts binary")
+    partial = dealt.groupBy("bucket", "part").applyInArrow(frugal(count_part), "bucket long, counts binary")
+    counts = partial.groupBy("bucket").applyInArrow(frugal(add_up), "bucket long, counts binary")
     to_parts = counts.join(large, "bucket").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "counts")
-    in_parts = dealt.unionByName(to_parts, allowMissingColumns=True).groupBy("bucket", "part").applyInArrow(settle_part, done)
+    in_parts = dealt.unionByName(to_parts, allowMissingColumns=True).groupBy("bucket", "part").applyInArrow(frugal(settle_part), done)
     documents = pieces.filter("docs is not null").select("batch", F.lit(None).cast("binary").alias("entries"), "docs")
-    return documents.unionByName(settled).unionByName(in_parts).groupBy("batch").applyInArrow(gather, "doc_id long, target long, n_tokens long, target_loss double, background_loss double")
+    return documents.unionByName(settled).unionByName(in_parts).groupBy("batch").applyInArrow(frugal(gather), "doc_id long, target long, n_tokens long, target_loss double, background_loss double")
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, max_target: int | None = None, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:

@@ -142,3 +142,22 @@ def test_targets_are_the_same_when_too_many_are_sent(spark, monkeypatch):
     a = sorted(map(tuple, lm.flagged(docs, ids).collect()))
     monkeypatch.setattr(lm, "MAX_SENT", 5)
     assert sorted(map(tuple, lm.flagged(docs, ids).collect())) == a
+
+
+def test_losses_hold_little_beside_their_entries(monkeypatch):
+    """What is worked out between steps took some ten times the entries, in each of an executor's workers."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    n, words = 1 << 20, 5000
+    model = lm.Model(np.arange(words - 1, dtype=np.uint64), rng.integers(50, 500, (2, words)))
+    before, after = rng.integers(0, words, (2, n))
+    one, pair = np.ones(n, dtype=np.int32), rng.integers(1, 40, (2, n))
+    args = (model, one * 0, one * 100, before, after, one, one, pair, one)
+    tracemalloc.start()
+    got = lm.losses(*args)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * 8 * n, peak / 8 / n
+    monkeypatch.setattr(lm, "PART", 2 * n)
+    assert (got == lm.losses(*args)).all()
