@@ -24,6 +24,15 @@ def ball_state(kin: DataFrame) -> DataFrame:
     return kin.filter("team = 'ball'").select("match_id", "period", "frame", F.col("x").alias("ball_x"), F.col("y").alias("ball_y"), F.col("speed").alias("ball_speed"))
 
 
+def balls(tracking: DataFrame) -> DataFrame:
+    """ball_state() of the ball's rows, a row a frame; only these are put in order. frames() with the ball's speed have it already."""
+    if "ball" in tracking.columns:
+        return tracking.filter("ball is not null").select("match_id", "period", "frame", F.col("ball.x").alias("ball_x"), F.col("ball.y").alias("ball_y"), F.col("ball.speed").alias("ball_speed"))
+    place = F.max(F.struct("x", "y")).alias("at")  # a second ball in a frame does not double its rows
+    one = tracking.filter("team = 'ball'").groupBy("match_id", "period", "frame", "fps", "player_id", "team").agg(place)
+    return ball_state(kinematics(one.select("match_id", "period", "frame", "fps", "player_id", "team", "at.x", "at.y")))
+
+
 def with_ball_speed(frames: DataFrame) -> DataFrame:
     """frames with the ball's speed as kinematics() has it: from a frame's ball and that of the frame before, without the other entities' order."""
     w = Window.partitionBy("match_id", "period").orderBy("frame")

@@ -26,6 +26,28 @@ def frames(tracking: DataFrame, roster: DataFrame) -> DataFrame:
     )
 
 
+def frames_at(tracking: DataFrame, roster: DataFrame, asked: DataFrame) -> DataFrame:
+    """frames() of the frames in asked alone: other rows go before a frame's entities are brought together."""
+    return frames(tracking.join(asked.select(*FRAME).distinct().hint("shuffle_hash"), list(FRAME), "left_semi"), roster)
+
+
+def players(tracking: DataFrame, roster: DataFrame) -> DataFrame:
+    """(match_id, period, frame, fps, t_ms, player_id, q_team, is_gk, x, y): a row a player and frame; of frames() too, whose arrays are taken apart."""
+    if "players" in tracking.columns:
+        return tracking.select(*FRAME, "fps", "t_ms", F.inline("players")).withColumnRenamed("team", "q_team")
+    keeper = roster.filter("is_gk").select("match_id", "player_id", F.lit(True).alias("is_gk"))
+    t = tracking.filter("team <> 'ball'").join(keeper.hint("shuffle_hash"), ["match_id", "player_id"], "left")
+    return t.select(*FRAME, "fps", "t_ms", "player_id", F.col("team").alias("q_team"), F.coalesce("is_gk", F.lit(False)).alias("is_gk"), "x", "y")
+
+
+def nearest(players: DataFrame, balls: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """carrier() of players() and balls (a row a frame): only players within the radius are brought together by frame."""
+    b = balls.select(*FRAME, "ball_x", "ball_y")
+    near = players.filter("not is_gk").join(b.hint("shuffle_hash"), list(FRAME)).withColumn("dist", length(F.col("x") - F.col("ball_x"), F.col("y") - F.col("ball_y"))).filter(F.col("dist") <= p.carrier_radius)
+    best = near.groupBy(*FRAME, "fps", "t_ms").agg(F.min(F.struct("dist", "player_id", F.col("q_team").alias("team_raw"))).alias("c"))
+    return best.select(*FRAME, "fps", "t_ms", "c.player_id", "c.team_raw", "c.dist")
+
+
 def carrier(frames: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """(match_id, period, frame, fps, t_ms, player_id, team_raw, dist): the outfield player nearest to the ball, ties to the lower id, if within the radius."""
     near = F.transform(F.filter("players", lambda q: ~q["is_gk"]), lambda q: F.struct(length(q["x"] - F.col("ball.x"), q["y"] - F.col("ball.y")).alias("dist"), q["player_id"].alias("player_id"), q["team"].alias("team_raw")))

@@ -22,7 +22,7 @@ class TrackingPlan:
 
     SHARED = ("kin", "frames", "framed", "runs")
     #: Velocities cost more to store than to find again.
-    STORED = ("frames", "framed", "runs", "geometry")
+    STORED = ("frames", "framed", "runs", "end_frames", "geometry")
 
     def __init__(self, tables: Any, params: Params = DEFAULT, store: bool | tuple[str, ...] = False) -> None:
         """store: write the shared steps when they are first needed, as several later ones read them; names of steps: these only."""
@@ -41,9 +41,17 @@ class TrackingPlan:
     def frames(self) -> DataFrame:
         return self._shared("frames", kinematics.with_ball_speed(possession.frames(self.t.tracking, self.t.roster)))
 
+    @cached_property
+    def players(self) -> DataFrame:
+        return possession.players(self.t.tracking, self.t.roster)
+
+    @cached_property
+    def balls(self) -> DataFrame:
+        return kinematics.balls(self.t.tracking)
+
     @cached_property
     def carrier(self) -> DataFrame:
-        return possession.carrier(self.frames, self.p)
+        return possession.nearest(self.players, self.balls, self.p)
 
     @cached_property
     def smoothed(self) -> DataFrame:
@@ -63,7 +71,13 @@ class TrackingPlan:
 
     @cached_property
     def geometry(self) -> DataFrame:
-        return self._shared("geometry", runs.run_geometry(self.runs, self.frames, self.t.direction, self.p))
+        return self._shared("geometry", runs.run_geometry(self.runs, self.end_frames, self.t.direction, self.p))
+
+    @cached_property
+    def end_frames(self) -> DataFrame:
+        """frames of the starts and ends of runs alone."""
+        asked = self.runs.select("match_id", "period", F.explode(F.array("f_start", "f_end")).alias("frame"))
+        return self._shared("end_frames", possession.frames_at(self.t.tracking, self.t.roster, asked))
 
     @cached_property
     def labelled(self) -> DataFrame:
@@ -114,7 +128,7 @@ class TrackingPlan:
 
     @cached_property
     def searchable(self) -> DataFrame:
-        return search.overlaps(search.defender_role(self.labelled, self.t.roster), self.frames, self.framed, self.t.direction, self.p)
+        return search.overlaps(search.defender_role(self.labelled, self.t.roster), self.end_frames, self.framed, self.t.direction, self.p)
 
     @cached_property
     def pressers(self) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 
 from pitchlake import storage
-from pitchlake.operators import search, value
+from pitchlake.operators import possession, search, value
 from pitchlake.queries import QUERIES, plan, stored_plan
 
 SF = "/root/testdata/sf0.01"
@@ -48,3 +48,17 @@ def test_slices_have_every_entity_of_every_frame(spark):
     p = stored_plan(spark, "/root/testdata/sf0.001")
     frames = p.geometry.selectExpr("sum(f_end - f_start + 1) AS n").first().n
     assert QUERIES["run_slices"](spark, "/root/testdata/sf0.001").count() == 23 * frames
+
+
+@pytest.mark.parametrize("step", ["carrier", "runs", "geometry"])
+def test_frames_are_not_assembled_for_runs(spark, step):
+    """Every entity of every frame was collected into arrays, which lambdas went through: most of the time of what needs runs alone."""
+    made = getattr(plan(spark, SF), step)._jdf.queryExecution().optimizedPlan().toString()
+    assert made.count("collect_list") == (1 if step == "geometry" else 0)
+    assert step == "geometry" or "lambda" not in made
+
+
+def test_carrier_of_rows_is_that_of_frames(spark):
+    p = plan(spark, SF)
+    a, b = p.carrier, possession.carrier(p.frames)
+    assert a.columns == b.columns and a.exceptAll(b).count() == b.exceptAll(a).count() == 0 < a.count()
