@@ -9,13 +9,12 @@ from pitchlake.functions.geometry import length
 from pitchlake.params import DEFAULT, FRAME, Params
 
 
-def pressers(frames: DataFrame, framed: DataFrame, p: Params = DEFAULT) -> DataFrame:
+def pressers(players: DataFrame, framed: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """(match_id, period, possession_id, player_id, fps, f_start, f_end): outfield opponents who close on the carrier, within the radius and faster than the press speed, for the least time."""
-    held = framed.select(*FRAME, "possession_id", "team", F.col("player_id").alias("carrier_id"))
-    df = frames.select(*FRAME, "fps", "players").join(held.hint("shuffle_hash"), list(FRAME))
-    me = F.get(F.filter("players", lambda q: q["player_id"] == F.col("carrier_id")), 0)
-    df = df.withColumn("me", me).withColumn("q", F.explode(F.filter("players", lambda q: (q["team"] != F.col("team")) & ~q["is_gk"])))
-    df = df.select(*FRAME, "fps", "possession_id", "carrier_id", F.col("q.player_id").alias("player_id"), length(F.col("q.x") - F.col("me.x"), F.col("q.y") - F.col("me.y")).alias("d"))
+    held = framed.select(*FRAME, "possession_id", "team", "player_id")
+    held = players.select(*FRAME, "player_id", F.col("x").alias("me_x"), F.col("y").alias("me_y")).join(held.hint("shuffle_hash"), [*FRAME, "player_id"]).withColumnRenamed("player_id", "carrier_id")
+    df = players.filter("not is_gk").join(held.hint("shuffle_hash"), list(FRAME)).filter("q_team <> team")
+    df = df.select(*FRAME, "fps", "possession_id", "carrier_id", "player_id", length(F.col("x") - F.col("me_x"), F.col("y") - F.col("me_y")).alias("d"))
     who = ["match_id", "period", "possession_id", "player_id"]
     w = Window.partitionBy(*who, "carrier_id").orderBy("frame")
     closing = F.when(F.col("frame") - F.lag("frame").over(w) == 1, (F.lag("d").over(w) - F.col("d")) * F.col("fps"))

@@ -22,7 +22,7 @@ class TrackingPlan:
 
     SHARED = ("kin", "frames", "framed", "runs")
     #: Velocities cost more to store than to find again.
-    STORED = ("frames", "framed", "runs", "end_frames", "geometry")
+    STORED = ("frames", "framed", "runs", "end_frames", "geometry", "marks")
 
     def __init__(self, tables: Any, params: Params = DEFAULT, store: bool | tuple[str, ...] = False) -> None:
         """store: write the shared steps when they are first needed, as several later ones read them; names of steps: these only."""
@@ -83,13 +83,21 @@ class TrackingPlan:
     def labelled(self) -> DataFrame:
         return runs.label_shots(self.geometry, self.t.shots, self.t.matches, self.p)
 
+    @cached_property
+    def marks(self) -> DataFrame:
+        return self._shared("marks", windows.marks(self.players, self.balls, self.p))
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        return windows.lines(self.marks, self.t.direction, self.p)
+
     @cached_property
     def windows(self) -> DataFrame:
         return windows.windows(self.possessions, self.p)
 
     @cached_property
     def features(self) -> DataFrame:
-        return windows.frame_features(self.frames, self.framed, self.t.direction, self.p)
+        return windows.frame_features(self.players, self.lines, self.framed, self.p)
 
     @cached_property
     def nodes(self) -> DataFrame:
@@ -111,15 +119,19 @@ class TrackingPlan:
 
     @cached_property
     def window_labels(self) -> DataFrame:
-        return windows.window_labels(self.windows, self.frames, self.t.direction, self.t.shots, self.t.matches, self.p)
+        return windows.window_labels(self.windows, self.lines, self.t.shots, self.t.matches, self.p)
 
     @cached_property
     def gained(self) -> DataFrame:
         return value.value_gained(self.runs, self.window_values)
 
+    @cached_property
+    def drift(self) -> DataFrame:
+        return value.drift_velocity(self.runs, value.motion_before(self.t.tracking, self.runs, self.p), self.t.direction, self.p)
+
     @cached_property
     def counterfactual(self) -> DataFrame:
-        return value.counterfactuals(self.geometry, self.frames, self.t.direction, value.drift_velocity(self.runs, self.kin, self.t.direction, self.p), self.p)
+        return value.counterfactuals(self.geometry, self.t.tracking, self.t.direction, self.drift, self.p, self.t.roster, self.marks)
 
     @cached_property
     def scores(self) -> DataFrame:
@@ -132,7 +144,7 @@ class TrackingPlan:
 
     @cached_property
     def pressers(self) -> DataFrame:
-        return press.pressers(self.frames, self.framed, self.p)
+        return press.pressers(self.players, self.framed, self.p)
 
     @cached_property
     def presses(self) -> DataFrame:
