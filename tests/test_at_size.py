@@ -1,5 +1,6 @@
 """What queries do at size, and that they do their whole job."""
 
+from pitchlake.functions import evaluation
 from pitchlake.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -10,3 +11,11 @@ def test_tracking_is_not_broadcast_to_count_its_rows(spark):
     made = QUERIES["rows_by_source"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     below = made[made.index("Join") :]
     assert below.index("Aggregate [match_id") < below.index("Generate")
+
+
+def test_every_row_of_both_versions_is_compared(spark):
+    """A version of no rows, or of other runs, passed for the same as long as its twin had the same fault."""
+    found = QUERIES["artifact_diff"](spark, SF).collect()
+    assert len(found) == QUERIES["runs_detected"](spark, SF).count() > 0 and all((r.n_a, r.n_b, r.only_in) == (1, 1, None) for r in found)
+    a, b = (spark.createDataFrame(rows, "k int, v double") for rows in ([(1, 0.5), (1, 0.5), (2, None), (3, 1.0)], [(1, 0.5), (2, None), (3, 2.0)]))
+    assert {tuple(r) for r in evaluation.compared(a, b).collect()} == {(1, 0.5, 2, 1, "a"), (2, None, 1, 1, None), (3, 1.0, 1, 0, "a"), (3, 2.0, 0, 1, "b")}
