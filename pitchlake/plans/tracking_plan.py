@@ -99,6 +99,10 @@ class TrackingPlan:
     def features(self) -> DataFrame:
         return windows.frame_features(self.players, self.lines, self.framed, self.p)
 
+    @cached_property
+    def node_rows(self) -> DataFrame:
+        return windows.node_rows(self.framed, self.t.direction, self.kin, self.p)
+
     @cached_property
     def nodes(self) -> DataFrame:
         return windows.node_matrix(self.framed, self.t.direction, self.kin, self.p)

@@ -1,7 +1,7 @@
 """What queries do at size, and that they do their whole job."""
 
 from pitchlake.functions import evaluation
-from pitchlake.queries import QUERIES
+from pitchlake.queries import QUERIES, plan
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,3 +19,13 @@ def test_every_row_of_both_versions_is_compared(spark):
     assert len(found) == QUERIES["runs_detected"](spark, SF).count() > 0 and all((r.n_a, r.n_b, r.only_in) == (1, 1, None) for r in found)
     a, b = (spark.createDataFrame(rows, "k int, v double") for rows in ([(1, 0.5), (1, 0.5), (2, None), (3, 1.0)], [(1, 0.5), (2, None), (3, 2.0)]))
     assert {tuple(r) for r in evaluation.compared(a, b).collect()} == {(1, 0.5, 2, 1, "a"), (2, None, 1, 1, None), (3, 1.0, 1, 0, "a"), (3, 2.0, 0, 1, "b")}
+
+
+def test_node_sums_make_no_arrays(spark):
+    """Each frame's entities went through arrays and lambdas before they were added up again."""
+    made = QUERIES["node_matrices"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in made and "lambda" not in made
+    rows = plan(spark, SF).node_rows.filter("frame = 100 and match_id = 0").orderBy("slot").collect()
+    assert [r.slot for r in rows] == list(range(23)) and [r.group for r in rows] == [0] * 11 + [1] * 11 + [2] and all(r.whole for r in rows)
+    nodes = plan(spark, SF).nodes.filter("frame = 100 and match_id = 0").first().nodes
+    assert nodes == [r[c] for r in rows for c in ("x", "y", "vx", "vy", "speed", "attack", "is_ball", "to_ball")]
