@@ -1,6 +1,9 @@
 """What queries do at size, and that they do their whole job."""
 
+import numpy as np
+
 from pitchlake.functions import evaluation
+from pitchlake.operators import calibration
 from pitchlake.queries import QUERIES, plan
 
 SF = "/root/testdata/sf0.001"
@@ -29,3 +32,23 @@ def test_node_sums_make_no_arrays(spark):
     assert [r.slot for r in rows] == list(range(23)) and [r.group for r in rows] == [0] * 11 + [1] * 11 + [2] and all(r.whole for r in rows)
     nodes = plan(spark, SF).nodes.filter("frame = 100 and match_id = 0").first().nodes
     assert nodes == [r[c] for r in rows for c in ("x", "y", "vx", "vy", "speed", "attack", "is_ball", "to_ball")]
+
+
+def test_frames_are_calibrated_many_at_once(spark, monkeypatch):
+    """Each frame drew and decomposed its samples alone; those of equally many points go together, and find what a frame alone does."""
+    rng = np.random.default_rng(4)
+    true = np.array([[0.05, 0.004, 10.0, -0.003, 0.08, 4.0, 0.00002, 0.0004, 1.0]])
+    for n, bad, noise in ((23, 9, 0.0), (20, 8, 0.03), (6, 1, 0.01), (4, 0, 0.0)):
+        m = np.full((30, n, 9), np.nan)
+        m[:, :, 0], m[:, :, 1] = rng.uniform(0, 1920, (30, n)), rng.uniform(100, 1080, (30, n))
+        for i in range(30):
+            x, y, _ = calibration.mapped(true, m[i, :, 0], m[i, :, 1])
+            m[i, :, 4], m[i, :, 5] = x[0] + rng.normal(size=n) * noise, y[0] + rng.normal(size=n) * noise
+            m[i, :bad, 4] += rng.uniform(3, 30, bad)
+        together, which = calibration.point_consensus(m, np.arange(30))
+        for i in range(30):
+            alone, own = calibration.consensus(m[i], seed=i)
+            assert np.allclose(together[i], alone, rtol=1e-6, atol=1e-9) and (which[i] == own).all()
+    on_a_line = np.full((1, 8, 9), np.nan)
+    on_a_line[0, :, 0] = on_a_line[0, :, 1] = on_a_line[0, :, 4] = on_a_line[0, :, 5] = np.arange(8)
+    assert np.isnan(calibration.point_consensus(on_a_line, np.arange(1))[0]).all()
