@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchlake.operators.video import iou
 from pitchlake.storage import stored
 
 #: Frames of a segment, and frames that it reaches into the segments before and after.
@@ -63,63 +62,97 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((j, i) for i, j in pairs) if turned else sorted(pairs)
 
 
-class Track:
-    """Centre, size and velocity of a box, with their uncertainty; each axis on its own."""
+class Tracks:
+    """Centres, sizes and velocities of the boxes of all live tracks, with their uncertainty; a row a track, each axis on its own."""
 
-    def __init__(self, number: int, frame: int, box: np.ndarray) -> None:
-        self.number, self.seen, self.at, self.size = number, frame, frame, box[2:] - box[:2]
-        self.state = np.stack([(box[:2] + box[2:]) / 2, np.zeros(2)])  # place, velocity
-        h2 = float(self.size[1]) ** 2
-        self.cov = np.array([[SEEN * h2, 0.0], [0.0, h2]])
+    def __init__(self) -> None:
+        self.number, self.seen = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.place, self.speed, self.size = (np.zeros((0, 2)) for _ in range(3))
+        self.cov = np.zeros((3, 0))  # of place, of place with velocity, of velocity
+        self.at = 0
 
-    def predict(self, frame: int) -> np.ndarray:
-        """The box in that frame."""
-        for _ in range(frame - self.at):
-            self.state[0] += self.state[1]
-            f = np.array([[1.0, 1.0], [0.0, 1.0]])
-            q = DRIVEN * float(self.size[1]) ** 2
-            self.cov = f @ self.cov @ f.T + q * np.array([[0.25, 0.5], [0.5, 1.0]])
-        self.at = frame
-        return np.concatenate([self.state[0] - self.size / 2, self.state[0] + self.size / 2])
+    def keep(self, which: np.ndarray) -> None:
+        for name in ("number", "seen", "place", "speed", "size"):
+            setattr(self, name, getattr(self, name)[which])
+        self.cov = self.cov[:, which]
 
-    def update(self, box: np.ndarray) -> None:
-        seen = SEEN * float(self.size[1]) ** 2
-        gain = self.cov[:, 0] / (self.cov[0, 0] + seen)
-        self.state = self.state + gain[:, None] * ((box[:2] + box[2:]) / 2 - self.state[0])
-        self.cov = self.cov - np.outer(gain, self.cov[0])
-        self.size, self.seen = 0.5 * self.size + 0.5 * (box[2:] - box[:2]), self.at
+    def start(self, numbers: np.ndarray, boxes: np.ndarray) -> None:
+        size, n = boxes[:, 2:] - boxes[:, :2], len(boxes)
+        h2 = size[:, 1] ** 2
+        self.number, self.seen = np.append(self.number, numbers), np.append(self.seen, np.full(n, self.at))
+        self.place, self.speed, self.size = np.concatenate([self.place, (boxes[:, :2] + boxes[:, 2:]) / 2]), np.concatenate([self.speed, np.zeros((n, 2))]), np.concatenate([self.size, size])
+        self.cov = np.concatenate([self.cov, np.stack([SEEN * h2, np.zeros(n), h2])], axis=1)
 
-    def cost(self, where: np.ndarray, box: np.ndarray, min_iou: float) -> float:
-        """One less the overlap; where boxes do not overlap, up to two by distance, as far as a height away. Infinite beyond."""
-        over = iou(where, box)
-        if over >= min_iou:
-            return 1 - over
-        away = float(np.linalg.norm((where[:2] + where[2:] - box[:2] - box[2:]) / 2)) / max(1e-9, float(self.size[1]))
-        return 1 + away if away <= 1 else np.inf
+    def predict(self, frame: int) -> np.ndarray:
+        """The boxes in that frame."""
+        q = DRIVEN * self.size[:, 1] ** 2
+        for _ in range(frame - self.at if len(self.number) else 0):
+            self.place = self.place + self.speed
+            a, b, c = self.cov
+            self.cov = np.stack([a + b + (b + c) + 0.25 * q, b + c + 0.5 * q, c + q])
+        self.at = frame
+        return np.concatenate([self.place - self.size / 2, self.place + self.size / 2], axis=1)
+
+    def update(self, which: np.ndarray, boxes: np.ndarray) -> None:
+        a, b, c = self.cov[:, which]
+        all_ = a + SEEN * self.size[which, 1] ** 2
+        off = (boxes[:, :2] + boxes[:, 2:]) / 2 - self.place[which]
+        g0, g1 = a / all_, b / all_
+        self.place[which] += g0[:, None] * off
+        self.speed[which] += g1[:, None] * off
+        self.cov[:, which] = np.stack([a - g0 * a, b - g0 * b, c - g1 * b])
+        self.size[which], self.seen[which] = 0.5 * self.size[which] + 0.5 * (boxes[:, 2:] - boxes[:, :2]), self.at
+
+
+def costs(where: np.ndarray, height: np.ndarray, boxes: np.ndarray, min_iou: float) -> np.ndarray:
+    """(tracks, boxes): one less the overlap; where boxes do not overlap, up to two by distance, as far as a height away. Infinite beyond."""
+    a, b = where[:, None], boxes[None]
+    wide = np.minimum(a[..., 2:], b[..., 2:]) - np.maximum(a[..., :2], b[..., :2])
+    both = np.where((wide > 0).all(axis=2), wide[..., 0] * wide[..., 1], 0.0)
+    area = lambda x: (x[..., 2] - x[..., 0]) * (x[..., 3] - x[..., 1])
+    union = area(a) + area(b) - both
+    over = np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+    dx = (a[..., :2] + a[..., 2:] - b[..., :2] - b[..., 2:]) / 2
+    away = np.sqrt(dx[..., 0] ** 2 + dx[..., 1] ** 2) / np.maximum(1e-9, height)[:, None]
+    return np.where(over >= min_iou, 1 - over, np.where(away <= 1, 1 + away, np.inf))
+
+
+def pairs_of(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """assignment() as rows and columns. Where each row's one cheapest column is no other row's, these are it."""
+    if not cost.size:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    to, least = cost.argmin(axis=1), cost.min(axis=1)
+    rows = np.flatnonzero(np.isfinite(least))
+    to = to[rows]
+    if len(np.unique(to)) == len(to) and (cost[rows] == least[rows, None]).sum() == len(rows):
+        return rows, to
+    found = np.array(assignment(cost), dtype=np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
 
 
 def follow(frames: np.ndarray, boxes: np.ndarray, conf: np.ndarray, min_iou: float, max_gap: int) -> np.ndarray:
     """The track of each box, in order of frames; -1 for an unsure box that belongs to none."""
-    out, live, count = np.full(len(frames), -1, dtype=np.int64), [], 0
+    out, live, count = np.full(len(frames), -1, dtype=np.int64), Tracks(), 0
     starts = np.flatnonzero(np.concatenate(([True], frames[1:] != frames[:-1]))) if len(frames) else np.array([], dtype=int)
     for lo, hi in zip(starts, [*starts[1:], len(frames)], strict=True):
         f = int(frames[lo])
-        live = [t for t in live if f - t.seen <= max_gap]
-        where, free = [t.predict(f) for t in live], list(range(len(live)))
+        near = f - live.seen <= max_gap
+        if not near.all():
+            live.keep(near)
+        where, free, sure_ones = live.predict(f), np.arange(len(live.number)), conf[lo:hi] >= SURE
         for sure in (True, False):
-            here = [i for i in range(lo, hi) if (conf[i] >= SURE) == sure]
-            cost = np.array([[live[t].cost(where[t], boxes[i], min_iou) for i in here] for t in free]).reshape(len(free), len(here))
-            pairs = assignment(cost)
-            for t, i in pairs:
-                out[here[i]] = live[free[t]].number
-                live[free[t]].update(boxes[here[i]])
-            free = [x for k, x in enumerate(free) if k not in {t for t, _ in pairs}]
+            here = lo + np.flatnonzero(sure_ones == sure)
+            if not len(here):
+                continue
+            t, i = pairs_of(costs(where[free], live.size[free, 1], boxes[here], min_iou))
+            out[here[i]] = live.number[free[t]]
+            live.update(free[t], boxes[here[i]])
+            free = np.delete(free, t)
             if sure:
-                taken = {here[i] for _, i in pairs}
-                fresh = [i for i in here if i not in taken]
-                for i in fresh:
-                    live.append(Track(count, f, boxes[i]))
-                    out[i], count = count, count + 1
+                fresh = np.delete(here, i)
+                out[fresh] = np.arange(count, count + len(fresh))
+                live.start(out[fresh], boxes[fresh])
+                count += len(fresh)
     return out
 
 
@@ -129,19 +162,20 @@ def tracked(detections: DataFrame, min_iou: float = 0.2, max_gap: int = 10, segm
     The overlap should be longer than max_gap. A box is told by its clip, frame and place in (x1, y1, x2, y2, conf); equal boxes of a frame are one.
     """
     box = ["clip", "frame", "x1", "y1", "x2", "y2", "conf"]
-    d = detections.select(*box).distinct()
+    d = detections.select(*box)
     own, at = F.expr(f"frame div {segment}"), F.col("frame") % segment
     parts = F.array(F.when(at < overlap, own - 1), own, F.when(at >= segment - overlap, own + 1))  # what comes before a segment tells it which tracks there are
     d = d.withColumn("part", F.explode(F.filter(parts, lambda p: p >= 0)))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["frame", "conf", "x1", "y1", "x2", "y2"], ascending=[True, False, True, True, True, True], kind="stable").reset_index(drop=True)
+        rows = rows.drop_duplicates(box).sort_values(["frame", "conf", "x1", "y1", "x2", "y2"], ascending=[True, False, True, True, True, True], kind="stable").reset_index(drop=True)
         ids = follow(rows["frame"].to_numpy(), rows[["x1", "y1", "x2", "y2"]].to_numpy(float), rows["conf"].to_numpy(float), min_iou, max_gap)
         return rows.assign(number=ids)
 
     own = stored(d.groupBy("clip", "part").applyInPandas(run, d.withColumn("number", F.lit(0).cast("long")).schema).filter("number >= 0"))
     # in an overlap, the later segment's track goes with the earlier one that has most of its boxes there, and the other way round
-    shared = own.select(*box, F.col("part").alias("p0"), F.col("number").alias("n0")).join(own.select(*box, F.col("part").alias("p1"), F.col("number").alias("n1")), box).filter("p1 = p0 + 1")
+    met = own.filter((F.col("frame") % segment < overlap) | (F.col("frame") % segment >= segment - overlap))  # no other box is in two parts
+    shared = met.select(*box, F.col("part").alias("p0"), F.col("number").alias("n0")).join(met.select(*box, F.col("part").alias("p1"), F.col("number").alias("n1")), box).filter("p1 = p0 + 1")
     votes = shared.groupBy("clip", "p0", "n0", "p1", "n1").count()
     best = lambda side, other: F.row_number().over(Window.partitionBy("clip", "p0", side).orderBy(F.desc("count"), other))
     links = votes.withColumns({"a": best("n0", "n1"), "b": best("n1", "n0")}).filter("a = 1 and b = 1")

@@ -3,7 +3,7 @@
 import numpy as np
 
 from pitchlake.functions import evaluation
-from pitchlake.operators import calibration
+from pitchlake.operators import association, calibration, video
 from pitchlake.queries import QUERIES, plan
 
 SF = "/root/testdata/sf0.001"
@@ -52,3 +52,19 @@ def test_frames_are_calibrated_many_at_once(spark, monkeypatch):
     on_a_line = np.full((1, 8, 9), np.nan)
     on_a_line[0, :, 0] = on_a_line[0, :, 1] = on_a_line[0, :, 4] = on_a_line[0, :, 5] = np.arange(8)
     assert np.isnan(calibration.point_consensus(on_a_line, np.arange(1))[0]).all()
+
+
+def test_tracks_are_moved_together_and_matched_as_one_by_one():
+    """A frame's tracks and boxes were compared pair by pair; the sums are the same, and pairs are the optimal assignment where cheapest columns clash."""
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        cost = rng.random(rng.integers(1, 7, 2))
+        cost[rng.random(cost.shape) < 0.4] = np.inf
+        rows, columns = association.pairs_of(cost)
+        assert list(zip(rows.tolist(), columns.tolist(), strict=True)) == association.assignment(cost)
+    a, b = (np.concatenate([p, p + rng.uniform(1, 4, (9, 2))], axis=1) for p in rng.uniform(0, 8, (2, 9, 2)))
+    found = association.costs(a, a[:, 3] - a[:, 1], b, 0.2)
+    for i in range(9):
+        for j in range(9):
+            over, away = video.iou(a[i], b[j]), np.linalg.norm((a[i, :2] + a[i, 2:] - b[j, :2] - b[j, 2:]) / 2) / (a[i, 3] - a[i, 1])
+            assert np.isclose(found[i, j], 1 - over if over >= 0.2 else 1 + away if away <= 1 else np.inf)
