@@ -3,7 +3,7 @@
 import numpy as np
 
 from pitchlake.functions import evaluation
-from pitchlake.operators import association, calibration, video
+from pitchlake.operators import association, calibration, networks, training, video
 from pitchlake.queries import QUERIES, plan
 
 SF = "/root/testdata/sf0.001"
@@ -68,3 +68,22 @@ def test_tracks_are_moved_together_and_matched_as_one_by_one():
         for j in range(9):
             over, away = video.iou(a[i], b[j]), np.linalg.norm((a[i, :2] + a[i, 2:] - b[j, :2] - b[j, 2:]) / 2) / (a[i, 3] - a[i, 1])
             assert np.isclose(found[i, j], 1 - over if over >= 0.2 else 1 + away if away <= 1 else np.inf)
+
+
+def test_windows_share_their_frames_in_training(spark):
+    """Each frame's entities stood in three windows, and every head went its own way back; one way back over shared frames has the same gradients."""
+    rng = np.random.default_rng(7)
+    w = {**networks.new_attention_lstm(8, 5, 4, 3), "shift": rng.normal(size=8), "scale": rng.uniform(0.5, 2, 8)}
+    x, at = rng.normal(size=(9, 6, 8)), np.arange(4)[:, None] + np.arange(5)
+    y, weight = np.array([[0, 1, -1], [1, -1, 0], [1, 0, 1], [0, 0, -1]], dtype=float), np.array([1.5, 1.0, 2.0])
+    loss, n, grads = networks.loss_and_gradients(w, x[at], y)
+    loss_too, one = networks.weighted_gradients(w, x, y, weight, at)
+    assert np.allclose(loss, loss_too) and all(np.allclose(one[k], sum(c * g[k] for c, g in zip(weight, grads, strict=True))) for k in one)
+    p = plan(spark, SF)
+    labels = p.window_labels.select("match_id", "period", "possession_id", "w_start", "w_end", "box_entry", "line_break")
+    plain = p.v2_sequences.join(labels.drop("w_end"), ["match_id", "period", "possession_id", "w_start"])
+    apart, together = training.packs(plain, ["box_entry", "line_break"]), training.shared_packs(labels, p.nodes, ["box_entry", "line_break"])
+    start = networks.new_attention_lstm(8, 4, 4, heads=2)
+    one, other = (training.fit(packed, start, (23, 8), steps=2) for packed in (apart, together))
+    assert np.allclose(one.losses, other.losses, atol=1e-8) and all(np.allclose(one.weights[k], other.weights[k], atol=1e-5) for k in one.weights)
+    assert together.selectExpr("sum(size(x))").first()[0] < 0.5 * apart.selectExpr("sum(size(x))").first()[0]
